@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, near_dup, secrets
+from . import bpe, fingerprints, hilbert, html_crf, near_dup, secrets, toxicity
 from .common import table
 
 
@@ -12,10 +12,22 @@ def op2_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op5_crf_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.assign(table(spark, sf_dir, "documents"))
+
+
 def op9_probminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -27,7 +39,7 @@ def op10_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_grammar, op4_bottom_k_fingerprints, op9_probminhash_near_dup, op10_bpe_segment_tree)}
+    return {f.__name__: f for f in (op2_secret_grammar, op3_boosted_toxicity, op4_bottom_k_fingerprints, op5_crf_main_text, op6_hilbert_shards, op9_probminhash_near_dup, op10_bpe_segment_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
