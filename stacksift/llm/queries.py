@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, hilbert, html_crf, near_dup, secrets, toxicity
+from . import bpe, decontaminate, fingerprints, hilbert, html_crf, near_dup, secrets, toxicity
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.assign(table(spark, sf_dir, "documents"))
 
 
+def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_probminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_grammar, op3_boosted_toxicity, op4_bottom_k_fingerprints, op5_crf_main_text, op6_hilbert_shards, op9_probminhash_near_dup, op10_bpe_segment_tree)}
+    return {f.__name__: f for f in (op2_secret_grammar, op3_boosted_toxicity, op4_bottom_k_fingerprints, op5_crf_main_text, op6_hilbert_shards, op7_latent_decontamination, op9_probminhash_near_dup, op10_bpe_segment_tree)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -31,6 +31,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_BASE))
+# Folded words: ASCII letters, digits and non-ASCII bytes; ASCII case does not count.
+_BREAK = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
+_FOLDED = _BYTE.copy()
+_FOLDED[65:91] = _BYTE[97:123]
 _PLACE = mix(np.arange(1, WIDTH + 1, dtype=_U) * _U(0xD1B54A32D192ED03)) | _U(1)
 
 
@@ -65,10 +69,10 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, np
         row = end
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, folded: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, first byte and end byte of each word, and for each row the place of its first word."""
     n = len(data)
-    solid = ~_SPACE[data]
+    solid = ~(_BREAK if folded else _SPACE)[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     start = solid.copy()
@@ -78,7 +82,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, end = np.flatnonzero(start), np.flatnonzero(end) + 1
     up, down = _power(n + 1)
     total = np.zeros(n + 1, _U)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
+    np.cumsum((_FOLDED if folded else _BYTE)[data] * up[:n], out=total[1:])
     return mix((total[end] - total[start]) * down[start]), start, end, np.searchsorted(start, offsets)
 
 
