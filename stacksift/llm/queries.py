@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, fingerprints, hilbert, html_crf, near_dup, secrets, toxicity
+from . import bpe, decontaminate, fingerprints, hilbert, html_crf, licenses, near_dup, pii, secrets, toxicity
 from .common import table
 
 
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [f"n_{k}" for k in pii.KINDS]
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", *counts)
+
+
 def op2_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,10 @@ def op7_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_probminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicate_classes(table(spark, sf_dir, "documents"))
 
@@ -43,7 +52,7 @@ def op10_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_secret_grammar, op3_boosted_toxicity, op4_bottom_k_fingerprints, op5_crf_main_text, op6_hilbert_shards, op7_latent_decontamination, op9_probminhash_near_dup, op10_bpe_segment_tree)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_secret_grammar, op3_boosted_toxicity, op4_bottom_k_fingerprints, op5_crf_main_text, op6_hilbert_shards, op7_latent_decontamination, op8_license_classifier, op9_probminhash_near_dup, op10_bpe_segment_tree)}
 
 
 def oracle_sql() -> dict[str, str]:

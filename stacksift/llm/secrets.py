@@ -23,6 +23,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -248,8 +249,6 @@ def mask(docs: DataFrame, labelled: Iterable[tuple[str, str]] | None = None, fil
             out.append("".join([*parts, text[at:]]) if spans else text)
         return out
 
-    import pandas as pd
-
     @F.pandas_udf("string")
     def masked(s: pd.Series) -> pd.Series:
         return pd.Series(clean(s), dtype=object)
