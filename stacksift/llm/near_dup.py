@@ -8,9 +8,9 @@
 3. ROWS registers make a band, BANDS bands a document: a pair with J_P = 0.8 meets with probability
    1 - (1 - 0.8**7)**40 = 0.9999.
 4. In each bucket the class that shares buckets most is the centre; the rest are compared with it
-   exactly (J_P of whole texts). Pairs that meet in a bucket and are still in different components are
-   all compared in a second pass, so no link that banding found is lost. Pairs inside one component are
-   not, since they cannot change it.
+   exactly (J_P of whole texts). Where a bucket still holds several components, all pairs across them are
+   compared: as rows in small buckets, in blocks of members in large ones, where only links leave the
+   task. So no link that banding found is lost; pairs inside one component cannot change it.
 5. Connected components of the verified links are the classes.
 
 The weight of a shingle that occurs n times is 1 + log2(n).
@@ -36,6 +36,8 @@ from .common import cut, text_or_empty
 
 ROWS, BANDS = 7, 40
 THRESHOLD = 0.8
+#: Buckets of more members are compared block by block, BLOCK members at a time.
+SMALL, BLOCK = 24, 512
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
 
@@ -153,6 +155,72 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_b.mapInArrow(run, "a binary, b binary, near double")
 
 
+def block_links(names: list, roots: list, texts: pa.Array, left: np.ndarray, right: np.ndarray) -> list[tuple]:
+    """Links between the rows ``left`` and ``right`` of one block pair that lie in different components.
+
+    With X and Y the weights of the common shingles in both texts, J_P <= 1 / (W_x / X + W_y / Y - 1);
+    the products of the weight matrices give X and Y of all pairs, and J_P is computed where the bound allows.
+    """
+    row, hashes, weight = [], [], []
+    for lo, h, at in S.shingle_rows(texts):
+        r, h, w = weighted(h, at)
+        row.append(r + lo)
+        hashes.append(h)
+        weight.append(w)
+    row, hashes, weight = np.concatenate(row), np.concatenate(hashes), np.concatenate(weight)
+    place = np.searchsorted(row, np.arange(len(names) + 1))
+    total = np.add.reduceat(np.append(weight, 0.0), place[:-1])
+    total[place[:-1] == place[1:]] = 0
+    _, term, seen = np.unique(hashes, return_inverse=True, return_counts=True)
+    shared = seen[term] > 1
+    r, w = row[shared], weight[shared]
+    _, t = np.unique(term[shared], return_inverse=True)
+    order = np.argsort(t, kind="stable")
+    r, w, t = r[order], w[order], t[order]
+    n = len(names)
+    x, y = np.zeros((len(left), len(right)), np.float32), np.zeros((len(left), len(right)), np.float32)
+    terms = int(t[-1]) + 1 if len(t) else 0
+    for lo in range(0, terms, 2048):
+        a, b = np.searchsorted(t, (lo, lo + 2048))
+        full = np.zeros((n, min(2048, terms - lo)), np.float32)
+        full[r[a:b], t[a:b] - lo] = w[a:b]
+        has = (full > 0).astype(np.float32)
+        x += full[left] @ has[right].T
+        y += has[left] @ full[right].T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bound = 1.0 / (total[left][:, None] / x + total[right][None, :] / y - 1.0)
+    code = np.unique(np.array(roots, dtype=object), return_inverse=True)[1]
+    fit = (x > 0) & (bound >= THRESHOLD - 1e-4) & (code[left][:, None] != code[right][None, :])
+    out = []
+    for i, j in np.argwhere(fit):
+        i, j = left[i], right[j]
+        near = probability_jaccard(hashes[place[i] : place[i + 1]], weight[place[i] : place[i + 1]], hashes[place[j] : place[j + 1]], weight[place[j] : place[j + 1]])
+        if near >= THRESHOLD:
+            out.append((names[i], names[j], near))
+    return out
+
+
+def _in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among members that large buckets hold: groups of such buckets, every block with every other."""
+    hub = rest.groupBy("key").agg(F.min("same").alias("hub"))
+    groups = connected_components(rest.join(hub, "key").select("same", "hub"), "same", "hub")
+    sizes = groups.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    roots = rest.select("same", F.col("root").alias("part")).distinct()
+    dealt = groups.join(sizes, "root").withColumnRenamed("node", "same").withColumn("block", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(roots, "same").join(texts, "same")
+    dealt = dealt.select("root", "same", "part", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("root", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "same", "part", "text", "block")
+
+    def run(group: pa.Table) -> pa.Table:
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        block = group.column("block").to_numpy()
+        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+        rows = block_links(group.column("same").to_pylist(), group.column("part").to_pylist(), S.strings(group.column("text")), left, right)
+        return pa.table({"a": pa.array([r[0] for r in rows], pa.binary()), "b": pa.array([r[1] for r in rows], pa.binary()), "near": pa.array([r[2] for r in rows], pa.float64())})
+
+    return dealt.groupBy("root", "lo", "hi").applyInArrow(run, "a binary, b binary, near double")
+
+
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, copies_id (least doc_id with the same text) of every row, and near-copy links of its text."""
     keys = cut(_keys(docs))
@@ -164,23 +232,31 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     members = cut(shared.join(weight, "same").select("key", "same", "degree"))
     centres = members.groupBy("key").agg(F.max(F.struct("degree", "same")).getField("same").alias("centre"))
     star = cut(members.join(centres, "key").where("same <> centre").select(F.col("same").alias("a"), F.col("centre").alias("b")).distinct())
-    texts = docs.select(F.unhex(F.substring(F.sha2(text_or_empty(), 256), 1, 32)).alias("same"), text_or_empty().alias("text"))
-    involved = members.select("same").distinct()
-    texts = cut(texts.join(involved, "same", "left_semi").groupBy("same").agg(F.first("text").alias("text")))
+    # one row for each class that shares a bucket; joined on the text and the id, so copies do not meet in one task
+    involved = members.select("same").distinct().join(classes, "same").select("same", "copies_id")
+    texts = docs.select(F.unhex(F.substring(F.sha2(text_or_empty(), 256), 1, 32)).alias("same"), F.col("doc_id").cast("long").alias("__id"), text_or_empty().alias("text"))
+    texts = texts.join(involved.withColumnRenamed("same", "__same"), F.col("same").eqNullSafe(F.col("__same")) & F.col("__id").eqNullSafe(F.col("copies_id")), "left_semi")
+    texts = cut(texts.groupBy("same").agg(F.first("text").alias("text")))
     links = cut(_verified(star, texts))
     parts = connected_components(links)
 
-    # Pairs that meet in a bucket but are not in one component yet: all of them are compared.
+    # Buckets that still hold several components: every pair across components is compared.
     labelled = members.join(parts.withColumnRenamed("node", "same"), "same", "left").select("key", "same", F.coalesce("root", "same").alias("root"))
-    split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
     rest = cut(labelled.join(split, "key"))
-    other = rest.select("key", F.col("same").alias("b"), F.col("root").alias("root_b"))
-    pairs = rest.select("key", F.col("same").alias("a"), "root").join(other, "key").where("a < b and root <> root_b").select("a", "b").distinct()
+    few = rest.where(F.col("n") <= SMALL)
+    other = few.select("key", F.col("same").alias("b"), F.col("root").alias("root_b"))
+    pairs = few.select("key", F.col("same").alias("a"), "root").join(other, "key").where("a < b and root <> root_b").select("a", "b").distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = cut(_verified(pairs.join(tried, ["a", "b"], "left_anti"), texts))
+    more = cut(_verified(pairs.join(tried, ["a", "b"], "left_anti"), texts).unionAll(_in_blocks(rest.where(F.col("n") > SMALL), texts)))
     if more.limit(1).count():
-        links = links.unionAll(more)
-        parts = connected_components(links)
+        links = cut(links.unionAll(more).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("near").alias("near")))
+        # only the components that the new links join are relabelled
+        roots = rest.select("same", "root").distinct()
+        ends = more.join(roots.select(F.col("same").alias("a"), F.col("root").alias("root_a")), "a").join(roots.select(F.col("same").alias("b"), F.col("root").alias("root_b")), "b")
+        joined = connected_components(ends.select("root_a", "root_b"), "root_a", "root_b").select(F.col("node").alias("root"), F.col("root").alias("to"))
+        old = parts.unionAll(joined.select(F.col("root").alias("node"), "root")).groupBy("node").agg(F.min("root").alias("root"))
+        parts = cut(old.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
 
     degree = links.select(F.explode(F.array("a", "b")).alias("same")).groupBy("same").agg(F.count("*").alias("n_links"))
     roots = classes.select("same", "copies_id").join(parts.withColumnRenamed("node", "same"), "same", "left").join(degree, "same", "left").select("same", "copies_id", F.coalesce("root", "same").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
