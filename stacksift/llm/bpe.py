@@ -16,11 +16,12 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 #: Pieces remembered by a worker; the memo starts anew beyond it.
 MEMO = 200_000
@@ -118,7 +119,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, tokens: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             n, ids, back, all_ids = [], [], [], []
             for text in b.column(1).to_pylist():
                 s = t.encode(text)
@@ -126,13 +127,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, tokens: bool =
                 ids.append(hashlib.sha256(s.encode()).hexdigest())
                 back.append(hashlib.sha256(t.decode(s)).hexdigest())
                 if tokens:
-                    all_ids.append([int(x) for x in s.split(",")] if s else [])
+                    all_ids.append(np.fromstring(s, np.int32, sep=",") if s else np.zeros(0, np.int32))
             columns = [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if tokens:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, all_ids)]), pa.int32()), pa.array(np.concatenate(all_ids), pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        t.memo.clear()  # workers live on
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if tokens else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)

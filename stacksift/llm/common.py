@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +26,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Most rows that a Python task works on at once.
+SLICE_ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most SLICE_ROWS rows, so what a task makes of one stays small.
+
+    At the end of the task unused memory goes back to the system, since workers live on.
+    """
+    for b in batches:
+        for lo in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(lo, SLICE_ROWS)
+    pa.default_memory_pool().release_unused()
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

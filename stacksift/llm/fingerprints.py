@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 K = 128
 
@@ -85,7 +85,7 @@ def sketch_documents(docs: DataFrame, k: int = K) -> DataFrame:
     """doc_id, n_shingles (estimate) and fingerprint of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = sketches(b.column(1), k)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([distinct_count(x, k) for x in made], pa.float64()), pa.array([encode(x) for x in made], pa.string())], ["doc_id", "n_shingles", "fingerprint"])
 
@@ -147,7 +147,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, parts: int | None = None) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row that waits for its follower, and its block
         closed = None  # the block whose guest has come
-        for b in batches:
+        for b in slices(batches):
             ids, texts, blocks, guest = (b.column(i).to_pylist() for i in range(4))
             prints = sketches(b.column(1), k)
             done = []

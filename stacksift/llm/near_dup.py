@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import shingles as S
-from .common import cut, text_or_empty
+from .common import cut, slices, text_or_empty
 
 ROWS, BANDS = 7, 40
 THRESHOLD = 0.8
@@ -110,7 +110,7 @@ def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.nda
 
 def _keys(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             digest = [hashlib.sha256(t.as_buffer() if hasattr(t, "as_buffer") and t.is_valid else b"").digest()[:16] for t in b.column(1).cast(pa.large_binary())]
             keys, filled = [], []
             for _, hashes, at in S.shingle_rows(b.column(1)):
@@ -137,7 +137,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = (None, None, None)
-        for batch in batches:
+        for batch in slices(batches):
             left, right = S.strings(batch.column(2)), batch.column(1).to_pylist()
             near = np.zeros(len(left))
             for lo, hashes, at in S.shingle_rows(left):

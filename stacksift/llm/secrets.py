@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import slices, text_or_empty
 
 # The base patterns of the scan.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -214,7 +214,7 @@ def scan(docs: DataFrame, labelled: Iterable[tuple[str, str]] | None = None) ->
     model = train(labelled_examples() if labelled is None else labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             counts, digests, spans = ([], [], [], []), [], []
             for text in b.column(1).to_pylist():
                 base = sorted(base_spans(text))

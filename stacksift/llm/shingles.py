@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 WIDTH = 5
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
