@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import slices, small_batches, text_or_empty
 
 #: Pieces remembered by a worker; the memo starts anew beyond it.
 MEMO = 200_000
@@ -136,5 +136,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, tokens: bool =
             yield pa.RecordBatch.from_arrays(columns, names)
         t.memo.clear()  # workers live on
 
+    small_batches(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if tokens else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, schema)

@@ -30,6 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
 SLICE_ROWS = 512
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 2 * SLICE_ROWS rows from here on: ten thousand long texts are too many for one buffer."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 2 * SLICE_ROWS:
+        spark.conf.set(name, str(2 * SLICE_ROWS))
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most SLICE_ROWS rows, so what a task makes of one stays small.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles as S
-from .common import slices, text_or_empty
+from .common import slices, small_batches, text_or_empty
 
 K = 128
 
@@ -127,6 +127,7 @@ def _rank(cuts: list[int]):
 def edited_fingerprints(docs: DataFrame, k: int = K, parts: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness (see the query's contract)."""
     spark = docs.sparkSession
+    small_batches(spark)
     parts = parts or max(96, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows, block, heads = with_followers(docs, parts)
     placed = rows.select("doc_id", "text", block.alias("block"))

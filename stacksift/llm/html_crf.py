@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, small_batches
 
 # Groups of HTML elements.
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "select", "object", "math", "title")
@@ -292,6 +292,7 @@ def extract(html: str | None, field: Field) -> str:
 
 def extract_pages(pages: DataFrame, field: Field | None = None) -> DataFrame:
     """page_id, url, main text and its length in code points."""
+    small_batches(pages.sparkSession)
     field = field or default_field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import shingles as S
-from .common import cut, slices, text_or_empty
+from .common import cut, slices, small_batches, text_or_empty
 
 ROWS, BANDS = 7, 40
 THRESHOLD = 0.8
@@ -223,6 +223,7 @@ def _in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, copies_id (least doc_id with the same text) of every row, and near-copy links of its text."""
+    small_batches(docs.sparkSession)
     keys = cut(_keys(docs))
     classes = cut(keys.groupBy("same").agg(F.min("doc_id").alias("copies_id"), F.first("bands").alias("bands")))
     entries = classes.select("same", F.explode("bands").alias("key"))

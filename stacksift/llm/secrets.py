@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_or_empty
+from .common import slices, small_batches, text_or_empty
 
 # The base patterns of the scan.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -211,6 +211,7 @@ def joined(spans: Iterable[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, labelled: Iterable[tuple[str, str]] | None = None) -> DataFrame:
     """Counts, digest and spans of the secrets in each text (see the query's contract)."""
+    small_batches(docs.sparkSession)
     model = train(labelled_examples() if labelled is None else labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,6 +231,7 @@ def scan(docs: DataFrame, labelled: Iterable[tuple[str, str]] | None = None) ->
 
 def mask(docs: DataFrame, labelled: Iterable[tuple[str, str]] | None = None, fill: str = "<secret>") -> DataFrame:
     """``docs`` with every found span of its text replaced by ``fill``; null texts stay null."""
+    small_batches(docs.sparkSession)
     model = train(labelled_examples() if labelled is None else labelled)
 
     def clean(texts):

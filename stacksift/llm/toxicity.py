@@ -29,7 +29,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, text_or_empty
+from .common import cut, held_out, small_batches, text_or_empty
 
 MOST_LABELLED = 20_000
 MOST_WORDS = 4_000
@@ -123,6 +123,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED, seed: int = 11) -> Model:
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("__id is not null and toxic in (0, 1)")
     known = known.where(~held_out("__id")).groupBy("__id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), text_or_empty().alias("text")).join(F.broadcast(known), "__id")  # at most `most` ids and labels
