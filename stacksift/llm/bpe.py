@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a segment tree over byte positions.
 
 Leaf i of the tree holds the rank of the pair made of the live part that starts at byte i and its
-right neighbour (or "no pair"), and i. Each inner node holds the smallest leaf below it, so the root is
+right neighbour (or "no pair"). Each inner node holds the smallest rank below it, so the root leads to
 the leftmost pair of least rank. A merge drops one part and changes the leaves of two live neighbours:
 O(log n) each, O(n log n) for a piece, whatever its length.
 
@@ -25,8 +25,7 @@ from .common import slices, small_batches, text_or_empty
 
 #: Pieces remembered by a worker; the memo starts anew beyond it.
 MEMO = 200_000
-#: The rank of no pair.
-NONE = 1 << 31
+NONE = 1 << 60
 
 
 class Tokenizer:
@@ -36,7 +35,6 @@ class Tokenizer:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
         self.bytes_of = {str(b): a for a, b in self.ranks.items()}
-        self.pairs = [self.ranks.get(bytes((x, y)), NONE) for x in range(256) for y in range(256)]
         self.pieces = regex.compile(pattern).findall
         self.memo = Memo(self)
 
@@ -45,38 +43,41 @@ class Tokenizer:
         ranks = self.ranks
         if piece in ranks:
             return [ranks[piece]]
-        n, get, pairs = len(piece), ranks.get, self.pairs
-        size = 1 << (n - 2).bit_length()
-        none = NONE * size
-        # a leaf is rank * size + place, so the least value is the leftmost of the least rank
-        tree = [none] * size + [pairs[x << 8 | y] * size + i for i, (x, y) in enumerate(zip(piece, piece[1:]))] + [none] * (size - n + 1)
+        n = len(piece)
+        size = 1 << max(1, (n - 1).bit_length())
+        tree = [NONE] * (2 * size)
         end = list(range(1, n + 1))  # end of the part that starts at i
-        before = list(range(-1, n))  # start of the part to the left
+        before = list(range(-1, n - 1))  # start of the part to the left
+        for i in range(n - 1):
+            tree[size + i] = ranks.get(piece[i : i + 2], NONE)
         for i in range(size - 1, 0, -1):
             a, b = tree[2 * i], tree[2 * i + 1]
-            tree[i] = a if a < b else b
-        while (least := tree[1]) < none:
-            left = least & (size - 1)
+            tree[i] = a if a <= b else b
+        while (least := tree[1]) != NONE:
+            i = 1
+            while i < size:
+                i *= 2
+                if tree[i] != least:
+                    i += 1
+            left = i - size
             right = end[left]
             end[left] = stop = end[right]
-            before[stop] = left
-            tree[size + left] = get(piece[left : end[stop]], NONE) * size + left if stop < n else none
-            # the changed leaves lie side by side, so their paths to the root are walked as one
-            lo = hi = size + left
-            if right < n - 1:
-                hi = size + right
-                tree[hi] = none
+            if stop < n:
+                before[stop] = left
+            changed = [(right, NONE), (left, ranks.get(piece[left : end[stop]], NONE) if stop < n else NONE)]
             if (p := before[left]) >= 0:
-                lo = size + p
-                tree[lo] = get(piece[p:stop], NONE) * size + p
-            while lo > 1:
-                lo >>= 1
-                hi >>= 1
-                a, b = tree[2 * lo], tree[2 * lo + 1]
-                tree[lo] = a if a < b else b
-                for i in range(lo + 1, hi + 1) if hi > lo else ():
-                    a, b = tree[2 * i], tree[2 * i + 1]
-                    tree[i] = a if a < b else b
+                changed.append((p, ranks.get(piece[p:stop], NONE)))
+            for at, rank in changed:
+                at += size
+                tree[at] = rank
+                at >>= 1
+                while at:
+                    a, b = tree[2 * at], tree[2 * at + 1]
+                    new = a if a <= b else b
+                    if tree[at] == new:
+                        break
+                    tree[at] = new
+                    at >>= 1
         out, i = [], 0
         while i < n:
             out.append(ranks[piece[i : end[i]]])
