@@ -221,8 +221,8 @@ def _in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.groupBy("root", "lo", "hi").applyInArrow(run, "a binary, b binary, near double")
 
 
-def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, copies_id (least doc_id with the same text) of every row, and near-copy links of its text."""
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id and text digest ``same`` of every row; root, copies_id and n_links of every digest."""
     small_batches(docs.sparkSession)
     keys = cut(_keys(docs))
     classes = cut(keys.groupBy("same").agg(F.min("doc_id").alias("copies_id"), F.first("bands").alias("bands")))
@@ -261,13 +261,22 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     degree = links.select(F.explode(F.array("a", "b")).alias("same")).groupBy("same").agg(F.count("*").alias("n_links"))
     roots = classes.select("same", "copies_id").join(parts.withColumnRenamed("node", "same"), "same", "left").join(degree, "same", "left").select("same", "copies_id", F.coalesce("root", "same").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    roots = cut(roots)
+    return keys, cut(roots)
+
+
+def near_duplicate_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, copies_id (least doc_id with the same text) of every row, and near-copy links of its text."""
+    keys, roots = _classes(docs)
     least = roots.groupBy("root").agg(F.min("copies_id").alias("class_id"))
     named = roots.join(least, "root")
     return keys.select("doc_id", "same").join(named, "same").select("doc_id", "class_id", "copies_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class: the one with the least doc_id; of repeated rows of it, one."""
-    kept = near_duplicate_classes(docs).where("is_kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each class: of the least doc_id (null last), of several texts under it the least digest."""
+    _, roots = _classes(docs)
+    kept = roots.groupBy("root").agg(F.min(F.struct(F.col("copies_id").isNull(), "copies_id", "same")).alias("kept"))
+    kept = kept.select(F.col("kept.copies_id").alias("__id"), F.col("kept.same").alias("__digest"))
+    rows = docs.withColumn("__same", F.unhex(F.substring(F.sha2(text_or_empty(), 256), 1, 32)))
+    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__same") == F.col("__digest")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "__same"]).drop("__same")
