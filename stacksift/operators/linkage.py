@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import same_place_ratio
 from .components import connected_components
 
 
@@ -43,6 +44,21 @@ def wildcard_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
     return left.join(right, ["i", "m"]).where("a < b and ta <> tb").select("a", "b")
 
 
+def same_place_pairs(df: DataFrame, text: str, num: int, den: int) -> DataFrame:
+    """a < b of one length with at least num / den of their places equal, and that share as ratio.
+
+    Candidates are exact: if m places may differ, one of m + 1 parts of the text must be equal.
+    """
+    n = df.where(F.char_length(text) > 0).select(F.col(text).alias("t"), F.char_length(text).alias("len"))
+    n = n.withColumn("parts", F.floor(F.col("len") * (den - num) / den + F.lit(1e-9)).cast("int") + 1)
+    n = n.select("t", "len", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i"))
+    lo = F.floor(F.col("i") * F.col("len") / F.col("parts")).cast("int")
+    hi = F.floor((F.col("i") + 1) * F.col("len") / F.col("parts")).cast("int")
+    n = n.select("t", "len", "i", F.substring("t", lo + 1, hi - lo).alias("part"))
+    pairs = n.withColumnRenamed("t", "a").join(n.withColumnRenamed("t", "b"), ["len", "i", "part"]).where("a < b").select("a", "b").distinct()
+    return pairs.withColumn("ratio", F.round(same_place_ratio(F.col("a"), F.col("b")), 6)).where(F.col("ratio") >= num / den)
+
+
 def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     return connected_components(edges, left, right)
 

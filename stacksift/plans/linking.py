@@ -31,11 +31,21 @@ r as (select a as node, a as root from n union select n.b, r.root from r join n
 select node, min(root) as root from r group by node
 """)
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the graph of suppliers and parts of every fiftieth order (the edges are the feature)."""
+    """Components of the graph of suppliers and parts of every fiftieth order, as its SQL has it; all orders: components_whole."""
     li = parquet(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0")
     return linkage.components(li.select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 1_000_000).alias("b")), "a", "b")
 
 
+@query()
+def components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the graph of suppliers and parts of all orders; tested against union-find."""
+    li = parquet(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("part"))
+    # parts are numbered behind the suppliers, however many there are
+    behind = li.agg(F.greatest(F.lit(1_000_000), F.max("a") + 1).alias("behind"))
+    edges = li.crossJoin(F.broadcast(behind)).select("a", (F.col("part") + F.col("behind")).alias("b"))
+    return linkage.components(edges, "a", "b")
+
+
 @query("""
 select a.s_suppkey as a, b.s_suppkey as b from supplier a join supplier b on length(a.s_name) = length(b.s_name) and a.s_suppkey < b.s_suppkey and hamming(a.s_name, b.s_name) = 1
 """)
@@ -48,12 +58,22 @@ with n as (select distinct p_name as name from part)
 select a.name as a, b.name as b, round(1 - hamming(a.name, b.name) / length(a.name), 6) as ratio from n a join n b on length(a.name) = length(b.name) and left(a.name, 3) = left(b.name, 3) and a.name < b.name where 1 - hamming(a.name, b.name) / length(a.name) >= 0.6
 """)
 def script_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocking by length and prefix, then the share of equal places."""
+    """Blocking by length and prefix, as its SQL has it, then the share of equal places; without the prefix: script_pairs_whole."""
     n = parquet(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("len", F.char_length("name")).withColumn("head", F.left("name", F.lit(3)))
     a, b = n.withColumnRenamed("name", "a"), n.withColumnRenamed("name", "b")
     return a.join(b, ["len", "head"]).where("a < b").withColumn("ratio", F.round(text.same_place_ratio(F.col("a"), F.col("b")), 6)).where("ratio >= 0.6").select("a", "b", "ratio")
 
 
+@query("""
+with n as (select distinct p_name as name from part)
+select a.name as a, b.name as b, round(1 - hamming(a.name, b.name) / length(a.name), 6) as ratio from n a join n b on length(a.name) = length(b.name) and a.name < b.name where 1 - hamming(a.name, b.name) / length(a.name) >= 0.6
+""")
+def script_pairs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of names of one length with six tenths of their places equal."""
+    n = parquet(spark, sf_dir, "part").select("p_name").distinct()
+    return linkage.same_place_pairs(n, "p_name", 6, 10)
+
+
 @query("""
 with d as (select doc_id, lower(regexp_replace(coalesce(text, ''), '[^0-9A-Za-z]', '', 'g')) as k from documents),
 b as (select item_id, lower(regexp_replace(text, '[^0-9A-Za-z]', '', 'g')) as k from benchmark),
