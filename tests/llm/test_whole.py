@@ -2,9 +2,11 @@
 
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from stacksift.llm import near_dup
+from stacksift.llm import decontaminate, near_dup
 
 
 def test_keep_one_by_text_and_id(spark):
@@ -16,3 +18,16 @@ def test_keep_one_by_text_and_id(spark):
     assert got == Counter([(None, b), (None, c), (5, d), (5, e), (3, a), (None, "")])
     twins = spark.createDataFrame([(None, a), (None, near), (7, b), (7, b.replace("b29", "other"))], "doc_id long, text string")
     assert sorted(str(r["doc_id"]) for r in near_dup.keep_one(twins).collect()) == ["7", "None"]
+
+
+def test_every_benchmark_piece_is_fitted(spark, monkeypatch):
+    """Words that only pieces behind the first SAMPLE ones have get a vector, and their verbatim copies are found."""
+    monkeypatch.setattr(decontaminate, "SAMPLE", 8)
+    text = lambda i: " ".join(f"q{i}x{k}" for k in range(30))
+    bench = spark.createDataFrame([(i, text(i)) for i in range(24)], "item_id long, text string")
+    rows = [(i, " ".join(f"w{i % 7}y{k}" for k in range(90))) for i in range(60)]
+    docs = spark.createDataFrame([*rows, (100, f"{rows[0][1]} {text(23)} {rows[1][1]}")], "doc_id long, text string")
+    index = decontaminate.build(docs, bench)[0]
+    ((_, hashes, _),) = decontaminate.folded_words(pa.array([text(23)]))
+    assert (np.linalg.norm(index.words[decontaminate._bucket(hashes)], axis=1) > 0).all()
+    assert (100, 23) in {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
