@@ -1,13 +1,22 @@
 """Rows and spans that the operators once lost."""
 
+import random
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from stacksift.llm import decontaminate, near_dup
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
 
 def test_keep_one_by_text_and_id(spark):
     a, b, c, d, e = ("%s word " % x * 3 + " ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
@@ -31,3 +40,25 @@ def test_every_benchmark_piece_is_fitted(spark, monkeypatch):
     ((_, hashes, _),) = decontaminate.folded_words(pa.array([text(23)]))
     assert (np.linalg.norm(index.words[decontaminate._bucket(hashes)], axis=1) > 0).all()
     assert (100, 23) in {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+
+
+def test_short_and_unspaced_items(spark, docs):
+    """Verbatim items of any length are found, alone or between foreign words; so are short items with a word changed."""
+    draw = random.Random(3)
+    vocabulary = sorted({w for r in docs.limit(200).collect() for w in r["text"].lower().split() if w.isalpha()})
+    some = lambda n: " ".join(draw.choice(vocabulary) for _ in range(n))
+    items = {i: some(6 + i % 4) for i in range(60)} | {60: "zeta quux", 61: "xyzzy", 62: "鋼鐵是怎樣煉成的故事集", 63: "世界の終わりとハードボイルド", 64: "", 65: "?!"}
+    rows = [(1_000_000 + i, f"{some(31)} {t} {some(31)}") for i, t in items.items() if i < 62]
+    rows += [(1_000_062, "他讀了鋼鐵是怎樣煉成的故事集。"), (1_000_063, "本は世界の終わりとハードボイルドです")]
+    rows += [(2_000_000 + i, f"{some(31)} {t.rsplit(' ', 1)[0]} other {some(31)}") for i, t in items.items() if 60 > i and i % 4 == 3]
+    rows += [(3_000_000, "zeta other quux"), (3_000_001, "zeta"), (3_000_002, "quux zeta"), (3_000_003, "鋼鐵的故事")]
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs.select("doc_id", "text").unionAll(more), bench).collect()}
+    assert {(1_000_000 + i, i) for i in range(64)} <= got
+    # the answer check asks for both of a short item's rarest words; where the changed word is none of them the item is found
+    index = decontaminate.build(docs.select("doc_id", "text").unionAll(more), bench)[0]
+    kept = [i for (i, words), answer in zip(index.pieces, index.answers, strict=True) if i < 60 and i % 4 == 3 and int(words[-1]) not in answer]
+    assert len(kept) >= 5
+    assert all((2_000_000 + i, i) in got for i in kept)
+    assert not any(d >= 3_000_000 or i in (64, 65) for d, i in got)
