@@ -4,8 +4,10 @@ Training (bounded, on the driver): labelled credentials, a list of (format, stri
 format form a prefix tree whose states are merged when a Hoeffding test finds their next-symbol and
 stop frequencies compatible (ALERGIA). A symbol is the character itself within the first LITERAL places
 or if it is no letter or digit, else its class; so the tree learns marks such as fixed heads and dots.
-Scanning: every candidate token of a text is scored by its log-likelihood under each automaton,
-against 64 characters drawn evenly; a token that the best automaton makes likelier by MARGIN is a span.
+Scanning: candidates are pieces of a run of token characters, from its first character, behind a
+separator or at an automaton's head, to the run's end or before a separator. Each is scored by its
+log-likelihood under each automaton, against 64 characters drawn evenly; those that the best automaton
+makes likelier by MARGIN are spans, of overlapping ones the likeliest.
 
 Spans are kind:start:end in code points, end exclusive. For assign the span is the whole assignment,
 name and value. Kinds, in order at equal starts: assign, access, hex, grammar.
@@ -22,6 +24,7 @@ import random
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -37,7 +40,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "grammar")
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{14,}[A-Za-z0-9+/_=-]")
-DIGIT = re.compile(r"[0-9]")
+SEPARATOR = re.compile(r"[=/.+]")
 LITERAL = 4
 #: Log-likelihood over even draws, in nats, that a candidate must reach.
 MARGIN = 8.0
@@ -61,6 +64,34 @@ class Automaton:
 
     def __init__(self, states: list[tuple[dict[str, tuple[int, float]], float]], shortest: int, longest: int):
         self.states, self.shortest, self.longest = states, shortest, longest
+        #: What the strings begin with, LITERAL characters or the whole of a shorter string.
+        self.heads = self._heads()
+
+    def _heads(self) -> set[str]:
+        out, todo = set(), [(0, "")]
+        while todo:
+            state, head = todo.pop()
+            steps = self.states[state][0]
+            if len(head) == LITERAL or not steps:
+                out.add(head)
+            else:
+                todo += [(to, head + c) for c, (to, _) in steps.items()]
+                if head and self.states[state][1] > 0:
+                    out.add(head)
+        return out
+
+    def scores(self, s: str, start: int, ends: set[int]) -> Iterator[tuple[float, int]]:
+        """``score`` of the pieces of ``s`` from ``start`` to each of ``ends`` that is not refused."""
+        state, total = 0, 0.0
+        for i, c in enumerate(symbols(s[start : start + self.longest]), 1):
+            step = self.states[state][0].get(c)
+            if step is None:
+                return
+            state = step[0]
+            at = start + i
+            total += step[1] - (0.0 if i <= LITERAL or not s[at - 1].isalnum() else math.log(10 if c == "9" else 26))
+            if i >= self.shortest and at in ends and self.states[state][1] > 0:
+                yield total - i * EVEN, at
 
     def score(self, s: str) -> float:
         """Log-likelihood over even draws; minus infinity if the automaton refuses the string."""
@@ -184,7 +215,9 @@ def train(labelled: Iterable[tuple[str, str]], alpha: float = 0.05) -> dict[str,
     by: dict[str, list[str]] = defaultdict(list)
     for name, s in labelled:
         by[name].append(s)
-    return {name: infer(sorted(set(v))[:MOST_LABELLED], alpha) for name, v in sorted(by.items())}
+    # an even sample of the labelled strings, the same in every run
+    some = lambda v: sorted(set(v), key=lambda s: (hashlib.sha256(s.encode()).digest(), s))[:MOST_LABELLED]
+    return {name: infer(some(v), alpha) for name, v in sorted(by.items())}
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -196,12 +229,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def grammar_spans(text: str, model: dict[str, Automaton]) -> list[tuple[int, int, int]]:
-    """(start, kind's place, end) of candidate tokens that an automaton makes likelier than even draws by MARGIN."""
+    """(start, kind's place, end) of candidates that an automaton makes likelier than even draws by MARGIN."""
+    by_head: dict[str, list[Automaton]] = defaultdict(list)
+    for a in model.values():
+        for h in a.heads:
+            by_head[h].append(a)
+    if not by_head:
+        return []
+    return _grammar_spans(text, by_head, _head_pattern(tuple(sorted(by_head))))
+
+
+@lru_cache(maxsize=8)
+def _head_pattern(heads: tuple[str, ...]) -> re.Pattern:
+    """Places (by look-ahead, so they may overlap) at which one of ``heads`` starts."""
+    return re.compile("(?=" + "|".join(re.escape(h) for h in heads) + ")")
+
+
+def _grammar_spans(text: str, by_head: dict[str, list[Automaton]], pattern: re.Pattern) -> list[tuple[int, int, int]]:
     out = []
     for m in TOKEN.finditer(text):
         token = m.group()
-        if DIGIT.search(token) and max((a.score(token) for a in model.values()), default=-math.inf) >= MARGIN:
-            out.append((m.start(), 3, m.end()))
+        starts = [h.start() for h in pattern.finditer(token)]
+        if not starts:
+            continue
+        ends = {len(token)} | {x.start() for x in SEPARATOR.finditer(token)}
+        found = []
+        for start in starts:
+            automata = {id(a): a for n in range(LITERAL + 1) for a in by_head.get(token[start : start + n], ())}
+            found += [(score, start, end) for a in automata.values() for score, end in a.scores(token, start, ends) if score >= MARGIN]
+        taken: list[tuple[int, int]] = []
+        for _, start, end in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+            if all(end <= a or b <= start for a, b in taken):
+                taken.append((start, end))
+        out += [(m.start() + a, 3, m.start() + b) for a, b in sorted(taken)]
     return out
 
 

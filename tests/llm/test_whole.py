@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stacksift.llm import decontaminate, near_dup
+from stacksift.llm import decontaminate, near_dup, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +62,26 @@ def test_short_and_unspaced_items(spark, docs):
     assert len(kept) >= 5
     assert all((2_000_000 + i, i) in got for i in kept)
     assert not any(d >= 3_000_000 or i in (64, 65) for d, i in got)
+
+
+def test_credentials_inside_runs_and_without_digits():
+    model = secrets.train(secrets.labelled_examples())
+    fresh = secrets.labelled_examples(12, seed=5)
+    around = ["GH={}", "key/{}", "{}/x", "GH_PAT={}", "https://u.example/{}/log", "x+{}+y", "abc{}", "a.b={}=", "{}"]
+    draw = random.Random(8)
+    letters = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    fresh += [("pay", "sk_live_" + letters(24)) for _ in range(12)] + [("lab", "glpat-" + letters(20)) for _ in range(12)]
+    for form in around:
+        found = [secrets.grammar_spans(f"see {form.format(s)} here", model) for _, s in fresh]
+        at = 4 + form.index("{")
+        assert sum((at, 3, at + len(s)) in f for (_, s), f in zip(fresh, found, strict=True)) >= 0.95 * len(fresh), form
+    two = f"A={fresh[0][1]}/B={fresh[13][1]}"
+    assert [two[a:b] for a, _, b in secrets.grammar_spans(two, model)] == [fresh[0][1], fresh[13][1]]
+    assert not secrets.grammar_spans("sk_live_ or glpat- in https://example.org/some/long/path/without.any.key", model)
+
+
+def test_training_rows_are_an_even_sample(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_LABELLED", 40)
+    labelled = [("own", f"{h}-{i:012d}-tail") for h in ("aaaa", "zzzz") for i in range(200)]
+    heads = secrets.train(labelled)["own"].heads
+    assert heads == {"aaaa", "zzzz"}
