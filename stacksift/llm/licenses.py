@@ -1,7 +1,9 @@
 """License scans: a trained paragraph classifier, in DataFrame functions and Spark ML only.
 
-A paragraph (line) that has one of the cue words is a candidate; the classifier's training texts all have
-one, so a paragraph without any belongs to no family by definition. Candidates are split into words;
+A line that has one of the cue words is a candidate; every template has one, so a line without any belongs
+to no family. In paragraphs of several lines (blank lines end a paragraph) the lines that hold no template
+of their own are joined, and windows of WINDOW words that have all words of a template in order are candidates too;
+they have a negative place, and only those with a family are returned, one a paragraph and family. Candidates are split into words;
 hashed one- and two-word grams feed a multinomial logistic regression (L1 and L2, so the weights are sparse)
 over licence families and an unknown class. It is trained on examples made by rule from the wording of
 public licences, and on unknown examples: sentences that use the same words, and a bounded sample of
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -31,13 +34,15 @@ FEATURES = 1 << 14
 MOST_SAMPLED = 1_000
 MOST_FALSE = 0.005
 CONFIRM = 0.99
+#: Words of a window over joined lines; half overlapping, so a statement of half as many words is whole in one.
+WINDOW = 32
 
 # Names under which public licences are cited; each set of words confirms its family.
 FAMILIES = {
     "Apache-2.0": ["apache license version 2.0", "apache license 2.0", "apache-2.0"],
     "MIT": ["mit license", "mit licence", "permission is hereby granted free of charge to any person obtaining a copy"],
-    "GPL-3.0": ["gnu general public license version 3", "gnu gpl version 3", "gpl-3.0", "gplv3"],
-    "GPL-2.0": ["gnu general public license version 2", "gnu gpl version 2", "gpl-2.0", "gplv2"],
+    "GPL-3.0": ["gnu general public license version 3", "gnu general public license as published by the free software foundation either version 3", "gnu gpl version 3", "gpl-3.0", "gplv3"],
+    "GPL-2.0": ["gnu general public license version 2", "gnu general public license as published by the free software foundation either version 2", "gnu gpl version 2", "gpl-2.0", "gplv2"],
     "LGPL": ["gnu lesser general public license", "lgpl-3.0", "lgpl-2.1"],
     "AGPL-3.0": ["gnu affero general public license", "agpl-3.0"],
     "BSD": ["bsd license", "bsd 3-clause license", "bsd-3-clause", "bsd 2-clause license", "redistribution and use in source and binary forms with or without modification are permitted"],
@@ -51,7 +56,9 @@ FAMILIES = {
     "Unlicense": ["the unlicense", "this is free and unencumbered software released into the public domain"],
     "proprietary": ["all rights reserved", "proprietary and confidential"],
 }
-CUES = r"(?i)\b(?:licen[sc]e[sd]?|licensing|unlicense|copyright|rights\s+reserved|creative\s+commons|public\s+domain|permission|redistribution|proprietary|gplv?[23]?|lgpl|agpl|mpl|cc0|cc[ -]by)\b"
+WORDS = r"(?i)\b(?:licen[sc]e[sd]?|licensing|unlicense|copyright|rights\s+reserved|creative\s+commons|public\s+domain|permission|redistribution|proprietary|gplv?[23]?|lgpl|agpl|mpl|cc0|cc[ -]by)\b"
+#: The cue words, and the templates that have none of them.
+CUES = "|".join([WORDS, *(r"\b" + re.escape(t).replace(r"\ ", r"\s+") + r"\b" for f in FAMILIES.values() for t in f if not re.search(WORDS, t))])
 HEADS = ("Licensed under the", "Licensed under", "Released under the", "This work is licensed under the", "This work is licensed under", "This file is distributed under the terms of the", "Distributed under the", "Available under", "This program is free software under the", "The source code is released under the", "Published under", "Copyright 2019 the authors. Licensed under the", "SPDX-License-Identifier:", "")
 TAILS = ("", ".", " (see the file LICENSE).", "; you may not use this file except in compliance with it.", ". See the licence for details.", ", or any later version.")
 UNKNOWN = ("Please renew your driving licence before {} ends", "The permission of {} is needed for a visit", "No licence is required for {} here", "They asked permission to leave {} early", "The licence fee for {} went up", "The council licensed {} last week", "Copyright law in {} is old", "The redistribution of {} was debated", "A proprietary name for {} was found", "The public domain of {} is large", "Her fishing license covers {}", "Licensing {} takes a month", "The publisher holds a license to print {}", "Subject to the license agreement with {}", "Rights reserved by {} may change")
@@ -88,7 +95,33 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, the text's hash, place and wording of candidate paragraphs; of repeated rows one."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(F.col("text").rlike(CUES))
     lines = rows.select("doc_id", F.xxhash64("text").alias("same"), F.posexplode(F.split("text", r"\r?\n")).alias("place", "paragraph"))
-    return lines.where(F.col("paragraph").rlike(CUES))
+    return lines.where(F.col("paragraph").rlike(CUES)).unionAll(_wrapped(rows))
+
+
+def _wrapped(rows: DataFrame) -> DataFrame:
+    """Windows over the joined lines of paragraphs that have all words of a template in order; place is negative."""
+    blocks = rows.select("doc_id", F.xxhash64("text").alias("same"), F.posexplode(F.split("text", r"\r?\n(?:[ \t]*\r?\n)+")).alias("block", "lines"))
+    blocks = blocks.where(F.col("lines").rlike(r"\n") & F.col("lines").rlike(CUES))
+    every = [t for templates in FAMILIES.values() for t in templates]
+
+    def named(line):
+        norm = F.concat(F.lit(" "), F.array_join(_bare(line), " "), F.lit(" "))
+        return F.exists(F.array(*[F.lit(f" {t} ") for t in every]), lambda t: F.contains(norm, t))
+
+    kept = F.filter(F.split("lines", r"\r?\n"), lambda line: ~named(line))
+    split = blocks.select("doc_id", "same", "block", F.split(F.trim(F.regexp_replace(F.array_join(kept, " "), r"\s+", " ")), " ").alias("w"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - WINDOW // 2), F.lit(WINDOW // 2))
+    windows = split.select("doc_id", "same", (-1 - F.col("block")).alias("place"), F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, WINDOW), " "))).alias("paragraph"))
+    windows = windows.where(F.col("paragraph").rlike(CUES)).withColumn("__has", F.array_join(_bare(F.col("paragraph")), " "))
+    whole = F.lit(False)
+    for t in every:
+        whole = whole | F.col("__has").rlike(r"(?:^| )" + r"(?: .*)? ".join(re.escape(w) for w in t.split()) + r"(?: |$)")
+    return windows.where(whole).drop("__has")
+
+
+def _bare(text):
+    """Words without outer stops."""
+    return F.transform(words(text), lambda x: F.regexp_replace(x, r"^[.+-]+|[.+-]+$", ""))
 
 
 def train(spark: SparkSession, sampled: DataFrame):
@@ -120,18 +153,22 @@ def confirmed(text, family):
 
 def license_paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, same, place, paragraph, family (unknown if none), probability, match of every candidate paragraph."""
-    found = cut(paragraphs(docs).dropDuplicates(["doc_id", "same", "place"]))
+    found = cut(paragraphs(docs).dropDuplicates(["doc_id", "same", "place", "paragraph"]))
     named = F.lit(False)
     for templates in FAMILIES.values():
         for t in templates:
             named = named | F.lower("paragraph").contains(t)
-    sampled = found.where(~named).select("paragraph").distinct().orderBy(F.xxhash64("paragraph"), "paragraph").limit(MOST_SAMPLED)
+    # lines of a text with a wrapped statement may be parts of it, so they are no unknown examples
+    wrapped = found.where("place < 0").select("same").distinct()
+    sampled = found.where("place >= 0").where(~named).join(wrapped, "same", "left_anti").select("paragraph").distinct().orderBy(F.xxhash64("paragraph"), "paragraph").limit(MOST_SAMPLED)
     terms, model, least = train(docs.sparkSession, sampled)
     scored = model.transform(terms.transform(found.withColumn("__terms", grams(F.col("paragraph")))))
     names = F.array(*[F.lit(c) for c in CLASSES])
     scored = scored.select("doc_id", "same", "place", "paragraph", names[F.col("__predicted").cast("int")].alias("predicted"), F.array_max(vector_to_array("__probability")).alias("probability"))
     scored = scored.withColumn("match", confirmed(F.col("paragraph"), F.col("predicted")))
-    return scored.withColumn("family", F.when((F.col("probability") >= least) & (F.col("match") >= CONFIRM), F.col("predicted")).otherwise(F.lit("unknown"))).drop("predicted")
+    scored = scored.withColumn("family", F.when((F.col("probability") >= least) & (F.col("match") >= CONFIRM), F.col("predicted")).otherwise(F.lit("unknown"))).drop("predicted")
+    joined = scored.where("place < 0 and family <> 'unknown'").dropDuplicates(["doc_id", "same", "place", "family"])
+    return scored.where("place >= 0").unionByName(joined)
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Rows and spans that the operators once lost."""
 
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stacksift.llm import decontaminate, near_dup, secrets
+from stacksift.llm import decontaminate, licenses, near_dup, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,3 +86,14 @@ def test_training_rows_are_an_even_sample(monkeypatch):
     labelled = [("own", f"{h}-{i:012d}-tail") for h in ("aaaa", "zzzz") for i in range(200)]
     heads = secrets.train(labelled)["own"].heads
     assert heads == {"aaaa", "zzzz"}
+
+
+def test_licenses_without_cue_words_and_wrapped(spark):
+    for templates in licenses.FAMILIES.values():
+        assert all(re.search(licenses.CUES, t) for t in templates)
+    bsd = "Copyright (c) 2019, The Authors. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."
+    rows = {1: "Some prose.\nAvailable under Apache-2.0.\nMore.", 2: "Distributed under the BSD-3-Clause.", 3: "Published under apache-2.0", 4: bsd, 5: bsd.replace("\n\n", "\n"), 6: gpl, 7: "Please renew your driving\nlicence before MIT opens in May\nand version 3 ends"}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["families"] for r in licenses.scan(df).collect()}
+    assert got == {1: "Apache-2.0", 2: "BSD", 3: "Apache-2.0", 4: "BSD,proprietary", 5: "BSD,proprietary", 6: "GPL-3.0", 7: ""}
