@@ -270,7 +270,7 @@ def test_near_duplicates_odd_rows(odd):
 
 
 # --- 10 --------------------------------------------------------------------------------------------------------------
-def test_tokens(docs, odd):
+def test_tokens(docs, odd, monkeypatch):
     import public_tokenizers as P
     import tiktoken
 
@@ -280,6 +280,17 @@ def test_tokens(docs, odd):
     for df in (docs, odd):
         want = Counter((r["doc_id"], hashlib.sha256(",".join(map(str, reference.encode_ordinary(r["text"] or ""))).encode()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()) for r in df.select("doc_id", "text").collect())
         assert Counter((r["doc_id"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.encode_documents(df, path, P.PATTERN).collect()) == want
-    t = bpe.tokenizer(path, P.PATTERN)
-    piece = ("ab" * 3_000).encode()
-    assert t.merge(piece) == reference.encode_ordinary(piece.decode())
+    with open(path, "rb") as f:
+        t = bpe.tokenizer(f.read(), P.PATTERN)
+    draw = random.Random(4)
+    # pieces of every padded size, alone and together, by the tree of one piece and by shared arrays
+    more = ["".join(draw.choice("etaoin") for _ in range(draw.randint(1, 180))) for _ in range(600)] + ["".join(draw.choice("ab 中é1.\n") for _ in range(draw.randint(0, 300))) for _ in range(300)] + ["ab" * 3_000, "x" * 126, "x" * 127, " " * 900, "<|endoftext|>"]
+    want = [(len(i := reference.encode_ordinary(x)), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest(), hashlib.sha256(x.encode()).hexdigest()) for x in more]
+    assert list(zip(*t.digests(more, False)[:3], strict=True)) == want
+    t.forget()
+    monkeypatch.setattr(bpe, "GROUP", 100)
+    monkeypatch.setattr(bpe, "PORTION", 7)
+    monkeypatch.setattr(bpe, "MEMO", 10)
+    *got, ids = t.digests(more, True)
+    assert list(zip(*got, strict=True)) == want
+    assert [sum(map(len, x)) for x in ids] == [n for n, _, _ in want]
