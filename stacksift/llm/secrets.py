@@ -4,10 +4,13 @@ Training (bounded, on the driver): labelled credentials, a list of (format, stri
 format form a prefix tree whose states are merged when a Hoeffding test finds their next-symbol and
 stop frequencies compatible (ALERGIA). A symbol is the character itself within the first LITERAL places
 or if it is no letter or digit, else its class; so the tree learns marks such as fixed heads and dots.
-Scanning: candidates are pieces of a run of token characters, from its first character, behind a
-separator or at an automaton's head, to the run's end or before a separator. Each is scored by its
-log-likelihood under each automaton, against 64 characters drawn evenly; those that the best automaton
-makes likelier by MARGIN are spans, of overlapping ones the likeliest.
+Scanning: a candidate starts wherever a string of some format may begin, and ends where the run of token
+characters ends or before a separator in it. Its score is its log-likelihood under the automaton (steps and
+stop) and under the lengths of the labelled strings (a Gaussian of LENGTH_SHARE of the length around each,
+so near lengths count too), against a string drawn evenly from 68 characters and 1,000 lengths; candidates that the best
+automaton makes likelier by MARGIN are spans, of overlapping ones the likeliest (from one start the longest
+whose length factor is within LENGTH_SLACK of the likeliest's). There is no least or
+greatest length, and no character that a candidate must have.
 
 Spans are kind:start:end in code points, end exclusive. For assign the span is the whole assignment,
 name and value. Kinds, in order at equal starts: assign, access, hex, grammar.
@@ -22,9 +25,9 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -39,12 +42,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "grammar")
 
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{14,}[A-Za-z0-9+/_=-]")
-SEPARATOR = re.compile(r"[=/.+]")
+#: Characters of a run, besides those of the labelled strings.
+TOKEN = "+/_.=-" + "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+SEPARATOR = re.compile(r"[^A-Za-z0-9]")
 LITERAL = 4
-#: Log-likelihood over even draws, in nats, that a candidate must reach.
+#: Log-likelihood over even draws (of the 68 token characters, and of 1,000 lengths), in nats, that a candidate must reach.
 MARGIN = 8.0
-EVEN = -math.log(64)
+EVEN, EVEN_LENGTH = -math.log(68), -math.log(1_000)
+#: Deviation of the length factor, as a share of a labelled length; one character at least.
+LENGTH_SHARE = 0.05
+LENGTH_SLACK = 1.0
 #: Most labelled strings that are used in training, by format.
 MOST_LABELLED = 400
 
@@ -60,10 +67,19 @@ def symbols(s: str) -> list[str]:
 
 
 class Automaton:
-    """A deterministic automaton with symbol and stop probabilities."""
-
-    def __init__(self, states: list[tuple[dict[str, tuple[int, float]], float]], shortest: int, longest: int):
-        self.states, self.shortest, self.longest = states, shortest, longest
+    """A deterministic automaton with symbol and stop probabilities, and the lengths of its strings."""
+
+    def __init__(self, states: list[tuple[dict[str, tuple[int, float]], float]], lengths: Iterable[int], alphabet: Iterable[str] = ()):
+        self.states, self.alphabet = states, frozenset(alphabet)
+        seen = Counter(lengths)
+        total = sum(seen.values())
+        self.lengths = [(n, max(1.0, LENGTH_SHARE * n), math.log(k / total)) for n, k in sorted(seen.items())]
+        self.by_length: dict[int, float] = {}
+        #: No longer string can reach MARGIN: each character adds ``most`` at most, and the length factor falls faster.
+        most = max([0.0, *(p - (math.log(10 if c == "9" else 26) if c in "9aA" else 0.0) - EVEN for steps, _ in states for c, (_, p) in steps.items())])
+        self.reach = max(seen)
+        while self.length(self.reach) + self.reach * most - LITERAL * EVEN - EVEN_LENGTH >= MARGIN:
+            self.reach += 1
         #: What the strings begin with, LITERAL characters or the whole of a shorter string.
         self.heads = self._heads()
 
@@ -76,36 +92,34 @@ class Automaton:
                 out.add(head)
             else:
                 todo += [(to, head + c) for c, (to, _) in steps.items()]
-                if head and self.states[state][1] > 0:
+                if head and any(n == len(head) for n, _, _ in self.lengths):
                     out.add(head)
         return out
 
-    def scores(self, s: str, start: int, ends: set[int]) -> Iterator[tuple[float, int]]:
-        """``score`` of the pieces of ``s`` from ``start`` to each of ``ends`` that is not refused."""
+    def length(self, n: int) -> float:
+        """Log-density of the length ``n``."""
+        if n not in self.by_length:
+            parts = [p - 0.5 * ((n - m) / d) ** 2 - math.log(d * math.sqrt(2 * math.pi)) for m, d, p in self.lengths]
+            top = max(parts)
+            self.by_length[n] = top + math.log(sum(math.exp(x - top) for x in parts))
+        return self.by_length[n]
+
+    def scores(self, s: str, start: int, ends: set[int]) -> Iterator[tuple[float, float, int]]:
+        """``score``, length factor and end of the pieces of ``s`` from ``start`` to each of ``ends`` that is not refused."""
         state, total = 0, 0.0
-        for i, c in enumerate(symbols(s[start : start + self.longest]), 1):
+        for i, c in enumerate(symbols(s[start : start + self.reach]), 1):
             step = self.states[state][0].get(c)
             if step is None:
                 return
             state = step[0]
             at = start + i
             total += step[1] - (0.0 if i <= LITERAL or not s[at - 1].isalnum() else math.log(10 if c == "9" else 26))
-            if i >= self.shortest and at in ends and self.states[state][1] > 0:
-                yield total - i * EVEN, at
+            if at in ends:
+                yield total + self.states[state][1] + self.length(i) - EVEN_LENGTH - i * EVEN, self.length(i), at
 
     def score(self, s: str) -> float:
         """Log-likelihood over even draws; minus infinity if the automaton refuses the string."""
-        if not self.shortest <= len(s) <= self.longest:
-            return -math.inf
-        state, total = 0, 0.0
-        for i, c in enumerate(symbols(s)):
-            step = self.states[state][0].get(c)
-            if step is None:
-                return -math.inf
-            state = step[0]
-            total += step[1] - (0.0 if i < LITERAL or not s[i].isalnum() else math.log(10 if c == "9" else 26))
-        stop = self.states[state][1]
-        return total - len(s) * EVEN if stop > 0 else -math.inf
+        return next((x for x, _, _ in self.scores(s, 0, {len(s)})), -math.inf)
 
 
 def infer(strings: Iterable[str], alpha: float = 0.05) -> Automaton:
@@ -132,6 +146,10 @@ def infer(strings: Iterable[str], alpha: float = 0.05) -> Automaton:
     def apart(f1: int, n1: int, f2: int, n2: int) -> bool:
         return abs(f1 / n1 - f2 / n2) > spread * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
+    def apart_by(a: int, b: int) -> float:
+        """Distance of the two states' frequencies of next symbols."""
+        return sum(abs(used[a][c] / come[a] - used[b][c] / come[b]) for c in used[a].keys() | used[b].keys())
+
     def compatible(a: int, b: int) -> bool:
         todo = [(a, b)]
         while todo:
@@ -159,33 +177,25 @@ def infer(strings: Iterable[str], alpha: float = 0.05) -> Automaton:
                 else:
                     nxt[a][c] = q
 
-    red, at = [0], 0
+    red = [0]
     while True:
         blue = sorted((q, r, c) for r in red for c, q in nxt[r].items() if q not in red)
         if not blue:
             break
         q, r, c = min(blue, key=lambda x: (-come[x[0]], x))
-        # only states in which strings can go on alike are merged: what has been read within LITERAL stays apart
-        for p in red[1:]:
-            if come[q] >= 2 and compatible(p, q):
-                nxt[r][c] = p
-                fold(p, q)
-                break
+        # the likest compatible state first; the root stays apart, so what has been read within LITERAL is kept
+        near = next((p for p in sorted(red[1:], key=lambda p: (apart_by(p, q), p)) if compatible(p, q)), None)
+        if near is None:
+            red.append(q)
         else:
-            if come[q] < 2 and len(red) > 1:
-                near = max(red[1:], key=lambda p: (len(used[p].keys() & used[q].keys()), come[p], -p))
-                nxt[r][c] = near
-                fold(near, q)
-            else:
-                red.append(q)
-        at += 1
+            nxt[r][c] = near
+            fold(near, q)
     name = {q: i for i, q in enumerate(red)}
     states = []
     for q in red:
         total = come[q] + 0.5 * (len(nxt[q]) + 1)
-        states.append(({c: (name[p], math.log((used[q][c] + 0.5) / total)) for c, p in nxt[q].items()}, (stop[q] + 0.5) / total if stop[q] else 0.0))
-    lengths = [len(s) for s in strings]
-    return Automaton(states, min(lengths), max(lengths))
+        states.append(({c: (name[p], math.log((used[q][c] + 0.5) / total)) for c, p in nxt[q].items()}, math.log((stop[q] + 0.5) / total)))
+    return Automaton(states, map(len, strings), set().union(*strings))
 
 
 def labelled_examples(each: int = 200, seed: int = 7) -> list[tuple[str, str]]:
@@ -205,8 +215,8 @@ def labelled_examples(each: int = 200, seed: int = 7) -> list[tuple[str, str]]:
         "pay": lambda: "sk_live_" + some(alnum, 24),
         "maps": lambda: "AIza" + some(alnum + "-_", 35),
         "lab": lambda: "glpat-" + some(alnum + "-_", 20),
-        "index": lambda: "pypi-" + some(alnum + "-_", 85),
-        "jwt": lambda: f"eyJhb{some(alnum + '-_', 31)}.eyJ{some(alnum + '-_', 60)}.{some(alnum + '-_', 43)}",
+        "index": lambda: "pypi-" + some(alnum + "-_", draw.randint(85, 180)),
+        "jwt": lambda: f"eyJhb{some(alnum + '-_', draw.choice((15, 31, 47)))}.eyJ{some(alnum + '-_', draw.randint(40, 400))}.{some(alnum + '-_', 43)}",
     }
     return [(name, make()) for name, make in formats.items() for _ in range(each)]
 
@@ -228,41 +238,44 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
-def grammar_spans(text: str, model: dict[str, Automaton]) -> list[tuple[int, int, int]]:
-    """(start, kind's place, end) of candidates that an automaton makes likelier than even draws by MARGIN."""
-    by_head: dict[str, list[Automaton]] = defaultdict(list)
-    for a in model.values():
-        for h in a.heads:
-            by_head[h].append(a)
-    if not by_head:
-        return []
-    return _grammar_spans(text, by_head, _head_pattern(tuple(sorted(by_head))))
-
-
-@lru_cache(maxsize=8)
-def _head_pattern(heads: tuple[str, ...]) -> re.Pattern:
-    """Places (by look-ahead, so they may overlap) at which one of ``heads`` starts."""
-    return re.compile("(?=" + "|".join(re.escape(h) for h in heads) + ")")
-
-
-def _grammar_spans(text: str, by_head: dict[str, list[Automaton]], pattern: re.Pattern) -> list[tuple[int, int, int]]:
-    out = []
-    for m in TOKEN.finditer(text):
-        token = m.group()
-        starts = [h.start() for h in pattern.finditer(token)]
-        if not starts:
-            continue
-        ends = {len(token)} | {x.start() for x in SEPARATOR.finditer(token)}
-        found = []
-        for start in starts:
-            automata = {id(a): a for n in range(LITERAL + 1) for a in by_head.get(token[start : start + n], ())}
-            found += [(score, start, end) for a in automata.values() for score, end in a.scores(token, start, ends) if score >= MARGIN]
+class Scanner:
+    """The automata by what their strings begin with, and the runs that they may be in."""
+
+    def __init__(self, model: dict[str, Automaton]):
+        self.by_head: dict[str, list[Automaton]] = defaultdict(list)
+        for a in model.values():
+            for h in a.heads:
+                self.by_head[h].append(a)
+        #: Places (by look-ahead, so they may overlap) at which a string may begin.
+        self.begin = re.compile("(?=(" + "|".join(re.escape(h) for h in sorted(self.by_head, key=lambda h: (-len(h), h))) + "))") if self.by_head else None
+        self.run = re.compile("[" + re.escape("".join(sorted({*TOKEN}.union(*(a.alphabet for a in model.values()))))) + "]*")
+
+    def spans(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, kind's place, end) of candidates that an automaton makes likelier than even draws by MARGIN."""
+        if self.begin is None:
+            return []
+        found: list[tuple[float, int, int]] = []
+        stop = -1
+        for m in self.begin.finditer(text):
+            start = m.start()
+            if start >= stop:
+                stop = max(start + 1, self.run.match(text, start).end())
+                ends = {x for x in (stop, *(x.start() for x in SEPARATOR.finditer(text, start, stop))) if text[x - 1] != "."}
+            automata = {id(a): a for n in range(LITERAL + 1) for a in self.by_head.get(text[start : start + n], ())}
+            for a in automata.values():
+                if some := [x for x in a.scores(text, start, ends) if x[0] >= MARGIN]:
+                    best = max(some)
+                    found.append((best[0], start, max(end for _, length, end in some if length >= best[1] - LENGTH_SLACK)))
         taken: list[tuple[int, int]] = []
         for _, start, end in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if all(end <= a or b <= start for a, b in taken):
-                taken.append((start, end))
-        out += [(m.start() + a, 3, m.start() + b) for a, b in sorted(taken)]
-    return out
+            at = bisect_left(taken, (start, end))
+            if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                taken.insert(at, (start, end))
+        return [(a, 3, b) for a, b in taken]
+
+
+def grammar_spans(text: str, model: dict[str, Automaton]) -> list[tuple[int, int, int]]:
+    return Scanner(model).spans(text)
 
 
 def joined(spans: Iterable[tuple[int, int, int]]) -> str:
@@ -272,14 +285,14 @@ def joined(spans: Iterable[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, labelled: Iterable[tuple[str, str]] | None = None) -> DataFrame:
     """Counts, digest and spans of the secrets in each text (see the query's contract)."""
     small_batches(docs.sparkSession)
-    model = train(labelled_examples() if labelled is None else labelled)
+    scanner = Scanner(train(labelled_examples() if labelled is None else labelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             counts, digests, spans = ([], [], [], []), [], []
             for text in b.column(1).to_pylist():
                 base = sorted(base_spans(text))
-                every = sorted(base + grammar_spans(text, model))
+                every = sorted(base + scanner.spans(text))
                 for k in range(4):
                     counts[k].append(sum(x[1] == k for x in every))
                 digests.append(hashlib.sha256(joined(base).encode()).hexdigest())
@@ -292,7 +305,7 @@ def scan(docs: DataFrame, labelled: Iterable[tuple[str, str]] | None = None) ->
 def mask(docs: DataFrame, labelled: Iterable[tuple[str, str]] | None = None, fill: str = "<secret>") -> DataFrame:
     """``docs`` with every found span of its text replaced by ``fill``; null texts stay null."""
     small_batches(docs.sparkSession)
-    model = train(labelled_examples() if labelled is None else labelled)
+    scanner = Scanner(train(labelled_examples() if labelled is None else labelled))
 
     def clean(texts):
         out = []
@@ -300,7 +313,7 @@ def mask(docs: DataFrame, labelled: Iterable[tuple[str, str]] | None = None, fil
             if text is None:
                 out.append(None)
                 continue
-            spans = sorted((a, b) for a, _, b in base_spans(text) + grammar_spans(text, model))
+            spans = sorted((a, b) for a, _, b in base_spans(text) + scanner.spans(text))
             parts, at = [], 0
             for a, b in spans:
                 if b <= at:

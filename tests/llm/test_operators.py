@@ -67,9 +67,7 @@ def test_pseudonyms_odd_rows(odd):
 def test_base_spans():
     t = 'xpassword = "abc" token: abcdef1 API-KEY="qwertyuiop" AKIA' + "A1" * 8 + " " + "0f" * 12 + "g"
     got = sorted((secrets.KINDS[k], t[a:b]) for a, k, b in secrets.base_spans(t))
-    assert got == [("access", "AKIA" + "A1" * 8), ("assign", 'API-KEY="qwertyuiop'.replace("API-KEY", "API-KEY")), ("assign", "token: abcdef1"), ("hex", "0f" * 12)][:1] + [g for g in got if g[0] != "access"]
-    assert ("assign", "token: abcdef1") in got
-    assert not any("abc\"" in s for _, s in got)
+    assert got == [("access", "AKIA" + "A1" * 8), ("assign", "token: abcdef1"), ("hex", "0f" * 12)]  # three characters are too few, API-KEY is no name
 
 
 def test_grammar_finds_unseen_credentials():
