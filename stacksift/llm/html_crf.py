@@ -1,8 +1,9 @@
 """Main text of web pages by a linear-chain conditional random field over DOM leaf blocks.
 
 A page is read once into leaf blocks: runs of text between block-level tags, each with the tags and
-class words of its ancestors. Features of a block are these ancestors, its own tag, and properties of
-its text (length, links, punctuation, digits, place). The field has two labels, main and other, with
+class words of its ancestors. Features of a block are these ancestors, its own tag, properties of its
+whole text (length, links, punctuation, digits, place), the length and links of its neighbours, and whether
+most of the page's unlinked text stands under its tag. The field has two labels, main and other, with
 weights for (feature, label) and for label pairs; it is trained by maximum likelihood (forward-backward,
 AdaGrad, L2) on labelled pages and decoded by Viterbi.
 
@@ -19,7 +20,8 @@ from __future__ import annotations
 import html as entities
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Container, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,12 +43,20 @@ CLOSES_P = frozenset(("address", "article", "aside", "blockquote", "details", "d
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<[!?/a-zA-Z][^>]*\Z", re.DOTALL | re.IGNORECASE)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 NAME = re.compile(r"[a-z]+")
+DIGIT = re.compile(r"\d")
 
 
-def blocks(html: str) -> list[tuple[str, tuple[str, ...], float]]:
-    """(text, ancestors, share of characters in links) of the leaf blocks, in page order."""
+def blocks(html: str, known: Container[str] | None = None) -> list[tuple[str, tuple[str, ...], float]]:
+    """(text, marks of ancestors, share of characters in links) of the leaf blocks, in page order.
+
+    Marks are the tags and class words of all open elements, each once; where ``known`` is given, those in
+    it only. The last one is the innermost element's tag, marked as own. Elements, and marks, are counted as
+    they open and close, so a page costs time in proportion to its length whatever stays open.
+    """
     out: list[tuple[str, tuple[str, ...], float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # open elements and their marks
+    stack: list[tuple[str, list[str]]] = []  # open elements and their marks
+    tags: Counter[str] = Counter()  # how many of each are open
+    marks: dict[str, int] = {}
     parts: list[str] = []
     linked, link_open = 0, 0
 
@@ -55,10 +65,17 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], float]]:
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                marks = tuple(dict.fromkeys(m for _, names in stack for m in names))
-                out.append((text, marks, min(1.0, linked / len(text))))
+                out.append((text, (*marks, f"own<{stack[-1][0]}") if stack else (), min(1.0, linked / len(text))))
             parts, linked = [], 0
 
+    def leave() -> None:
+        name, names = stack.pop()
+        tags[name] -= 1
+        for m in names:
+            marks[m] -= 1
+            if not marks[m]:
+                del marks[m]
+
     at = 0
     for m in MARKUP.finditer(html):
         if m.start() > at:
@@ -81,27 +98,32 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], float]]:
             continue
         close()
         if m.group(2):
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if tags[name] > 0:
+                while stack[-1][0] != name:
+                    leave()
+                leave()
             link_open = 0
             continue
         if name in VOID:
             continue
         if name in CLOSES_P and stack and stack[-1][0] == "p":
-            stack.pop()
+            leave()
         elif name in ENDS:
             group = ENDS[name]
             for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
                 if ENDS.get(stack[i][0]) == group:
-                    del stack[i:]
+                    while len(stack) > i:
+                        leave()
                     break
         names = [f"<{name}"]
         if m.group(4):
             for key, a, b, c in ATTRIBUTE.findall(m.group(4)):
                 names += [f"{'role' if key.lower() == 'role' else 'c'}={w}" for w in NAME.findall((a or b or c).lower())]
-        stack.append((name, tuple(names)))
+        names = [x for x in names if known is None or x in known]
+        for x in names:
+            marks[x] = marks.get(x, 0) + 1
+        stack.append((name, names))
+        tags[name] += 1
     if at < len(html):
         parts.append(html[at:])
     close()
@@ -110,22 +132,30 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], float]]:
 
 def features(page: list[tuple[str, tuple[str, ...], float]]) -> list[list[str]]:
     out, n = [], len(page)
+    # how much of the page's unlinked text stands in paragraphs of its own tag, in tenths
+    plain = [len(text) * (1 - links) for text, _, links in page]
+    by_tag: Counter[str] = Counter()
+    for (_, marks, _), size in zip(page, plain, strict=True):
+        by_tag[marks[-1] if marks else ""] += size
+    most = max(by_tag.values(), default=0.0)
     for i, (text, marks, links) in enumerate(page):
         words = text.count(" ") + 1
-        marked = sum(c in ".,;:!?" for c in text[:400])
+        marked = sum(map(text.count, ".,;:!?"))
         f = ["bias", f"len{min(6, words.bit_length())}", f"links{round(links * 3)}", f"stop{min(3, marked)}", f"place{4 * i // n}"]
-        if any(c.isdigit() for c in text[:40]):
+        if DIGIT.search(text):
             f.append("digit")
-        if "©" in text[:80]:
+        if "©" in text:
             f.append("copyright")
         if i == 0:
             f.append("first")
         if i == n - 1:
             f.append("last")
-        f += marks
-        if marks:
-            f.append("own" + next((m for m in reversed(marks) if m[0] == "<"), ""))
-        out.append(f)
+        if most and by_tag[marks[-1] if marks else ""] == most:
+            f.append("mosttext")
+        for side, j in (("before", i - 1), ("after", i + 1)):
+            if 0 <= j < n:
+                f.append(f"{side}{'links' if page[j][2] > 0.5 else min(4, (page[j][0].count(' ') + 1).bit_length() // 2)}")
+        out.append([*f, *marks])
     return out
 
 
@@ -201,21 +231,72 @@ def train(pages: list[tuple[str, list[int]]], *, epochs: int = 8, rate: float =
     return Field(index, w, t)
 
 
-def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
+#: Boxes that say nothing of the article in them.
+BARE = (("", ""), ("", ""), ("<div>", "</div>"), ('<div class="wrap">', "</div>"), ("<center>", "</center>"), ("<section>", "</section>"))
+
+
+def plain_page(layout: str, draw: random.Random, words, items) -> tuple[str, list[int]]:
+    """A page without semantic tags: columns of a layout table, or nested divs of meaningless classes."""
+    name = lambda: draw.choice(["", "", f' class="{draw.choice("abcxyz")}{draw.randint(1, 99)}"', ' class="box"', ' class="col row"', ' width="60%"'])
+    labels: list[int] = []
+
+    def links() -> str:
+        k = draw.randint(2, 9)
+        if draw.random() < 0.4:
+            labels.extend([0] * k)
+            return f"<ul>{items(k)}</ul>"
+        labels.append(0)
+        return draw.choice([" | ", " ", "<br>"]).join(f'<a href="/{i}">{words(1, 3)}</a>' for i in range(k))
+
+    def short() -> str:
+        labels.append(0)
+        return draw.choice([f"&copy; {words(1, 10)}", f"Copyright 20{draw.randint(10, 29)} {words(1, 6)}", f'<a href="/x">{words(1, 4)}</a> {words(1, 2)}', f'<small><a href="/">{words(1, 3)}</a> | <a href="/y">{words(1, 2)}</a></small>'])
+
+    def article() -> str:
+        made = []
+        if draw.random() < 0.6:
+            h = draw.choice(["h1", "h1", "h2"])
+            made.append(f"<{h}>{words(2, 9)}</{h}>")
+        tag = draw.choice(["p", "p", "div"])
+        made += [f"<{tag}{name() if tag == 'div' else ''}>{words(8, 110)}</{tag}>" for _ in range(draw.randint(1, 9))]
+        labels.extend([1] * len(made))
+        return "".join(made)
+
+    cell = "td" if layout == "table" else "div"
+    cells, top, bottom = [], "", ""
+    if draw.random() < 0.7:
+        top = f"<{cell}{name()}>{links()}</{cell}>"
+    for part in draw.choice([(links, article), (article, links), (links, article, links), (article,), (links, article, short)]):
+        cells.append(f"<{cell}{name()}>{part()}</{cell}>")
+    if draw.random() < 0.8:
+        bottom = f"<{cell}{name()}>{short()}</{cell}>"
+    if layout == "table":
+        rows = [r for r in (top, "".join(cells), bottom) if r]
+        body = f"<table{name()}>{''.join(f'<tr>{r}</tr>' for r in rows)}</table>"
+    else:
+        body = f"<div{name()}>{top}<div{name()}>{''.join(cells)}</div>{bottom}</div>"
+    return f"<html><head><title>{words(2, 8)}</title></head><body>{body}</body></html>", labels
+
+
+def labelled_pages(n: int = 480, seed: int = 5) -> list[tuple[str, list[int]]]:
     """Pages of varied layouts whose blocks are labelled by construction: (html, labels)."""
     draw = random.Random(seed)
 
     def words(a: int, b: int) -> str:
         made = ["".join(draw.choice("aeioubcdlmnrst") for _ in range(draw.randint(2, 9))) for _ in range(draw.randint(a, b))]
-        return " ".join(w + draw.choice(["", "", "", ",", "."]) for w in made).capitalize() + draw.choice([".", "", "."])
+        made = [w if draw.random() > 0.02 else f"{draw.randint(1, 2030)}" for w in made]
+        made = [w if draw.random() > 0.1 else w.capitalize() for w in made]
+        text = " ".join(w + draw.choice(["", "", "", ",", "."]) for w in made)
+        return text[:1].upper() + text[1:] + draw.choice([".", "", "."])
 
     def items(k: int, link: bool = True) -> str:
         return "".join(f'<li><a href="/{i}">{words(1, 3)}</a></li>' if link else f"<li>{words(2, 9)}</li>" for i in range(k))
 
     out = []
-    for _ in range(n):
+    for k in range(n):
         labels: list[int] = []
         body: list[str] = []
+        layout = ("boxes", "boxes", "boxes", "boxes", "bare", "table", "soup", "alone")[k % 8]
 
         def other(html: str, k: int = 1) -> None:
             body.append(html)  # noqa: B023
@@ -225,6 +306,17 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
             body.append(html)  # noqa: B023
             labels.extend([1] * k)  # noqa: B023
 
+        if layout in ("table", "soup"):
+            out.append(plain_page(layout, draw, words, items))
+            continue
+        if layout == "alone":  # nothing but the article
+            made = [f"<{(h := draw.choice(['p', 'p', 'p', 'h1', 'div', 'pre']))}>{words(1, draw.choice([6, 12, 80]))}</{h}>" for _ in range(draw.choice([1, 1, 1, 2, 3, 5]))]
+            box = draw.choice(BARE)
+            frame = draw.choice([("<html><body>", "</body></html>"), ("", ""), ("<body>", "")])
+            if draw.random() < 0.15:
+                made, box = [words(3, 40)], BARE[0]
+            out.append((f"{frame[0]}{box[0]}{''.join(made)}{box[1]}{frame[1]}", [1] * len(made)))
+            continue
         if draw.random() < 0.5:
             kind = draw.choice(['class="header"', 'id="masthead"', ""])
             other(f"<header {kind}><h1>{words(1, 4)}</h1><p>{words(2, 8)}</p></header>", 2)
@@ -238,7 +330,7 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
         if draw.random() < 0.3:
             k = draw.randint(1, 4)
             other(f'{draw.choice(["<aside>", "<aside class=sidebar>"])}{"".join(f"<p>{words(3, 20)}</p>" for _ in range(k))}</aside>', k)
-        box = draw.choice([("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div role="main">', "</div>"), ('<div class="content">', "</div>"), ('<div id="article" class="post entry">', "</div>"), ("<main><article>", "</article></main>")])
+        box = draw.choice(BARE if layout == "bare" else [("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ('<div role="main">', "</div>"), ('<div class="content">', "</div>"), ('<div id="article" class="post entry">', "</div>"), ("<main><article>", "</article></main>")])
         body.append(box[0])
         if draw.random() < 0.8:
             main(f"<h1>{words(2, 9)}</h1>")
@@ -263,6 +355,8 @@ def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, list[int]]]:
                 other(f'<div class="{draw.choice(["ad", "share", "related", "advert", "promo"])}">{words(2, 12)}</div>')
             else:
                 other(f"<aside>{words(3, 20)}</aside>")
+        if draw.random() < 0.3:  # a short last line
+            main(f"<p>{words(2, 9)}")
         body.append(box[1])
         if draw.random() < 0.35:
             k = draw.randint(1, 5)
@@ -286,7 +380,7 @@ def default_field() -> Field:
 
 
 def extract(html: str | None, field: Field) -> str:
-    page = blocks(html or "")
+    page = blocks(html or "", field.index)
     return "\n".join(b[0] for b, y in zip(page, field.decode(features(page)), strict=True) if y)
 
 
