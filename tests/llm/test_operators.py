@@ -154,7 +154,7 @@ def test_main_text(spark):
 def test_field_on_unseen_layouts():
     field = html_crf.default_field()
     test = html_crf.labelled_pages(80, seed=91)
-    right = [field.decode(html_crf.features(html_crf.blocks(h))) == y for h, y in test]
+    right = [field.decode(html_crf.features(html_crf.blocks(h, field.index))) == y for h, y in test]
     assert np.mean(right) > 0.95
 
 
