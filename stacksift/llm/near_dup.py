@@ -222,17 +222,18 @@ def _in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """doc_id and text digest ``same`` of every row; root, copies_id and n_links of every digest."""
+    """doc_id and text digest ``same`` of every row; root and copies_id of every digest."""
     small_batches(docs.sparkSession)
     keys = cut(_keys(docs))
     classes = cut(keys.groupBy("same").agg(F.min("doc_id").alias("copies_id"), F.first("bands").alias("bands")))
     entries = classes.select("same", F.explode("bands").alias("key"))
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut(entries.join(sizes, "key").select("key", "same", "n"))
+    # what joins a bucket's members is a table of its own, so adaptive execution can split a large bucket in the join
+    sizes = cut(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = cut(entries.join(sizes.hint("merge"), "key").select("key", "same", "n"))
     weight = shared.groupBy("same").agg(F.sum("n").alias("degree"))
     members = cut(shared.join(weight, "same").select("key", "same", "degree"))
-    centres = members.groupBy("key").agg(F.max(F.struct("degree", "same")).getField("same").alias("centre"))
-    star = cut(members.join(centres, "key").where("same <> centre").select(F.col("same").alias("a"), F.col("centre").alias("b")).distinct())
+    centres = cut(members.groupBy("key").agg(F.max(F.struct("degree", "same")).getField("same").alias("centre")))
+    star = cut(members.join(centres.hint("merge"), "key").where("same <> centre").select(F.col("same").alias("a"), F.col("centre").alias("b")).distinct())
     # one row for each class that shares a bucket; joined on the text and the id, so copies do not meet in one task
     involved = members.select("same").distinct().join(classes, "same").select("same", "copies_id")
     texts = docs.select(F.unhex(F.substring(F.sha2(text_or_empty(), 256), 1, 32)).alias("same"), F.col("doc_id").cast("long").alias("__id"), text_or_empty().alias("text"))
@@ -243,15 +244,15 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # Buckets that still hold several components: every pair across components is compared.
     labelled = members.join(parts.withColumnRenamed("node", "same"), "same", "left").select("key", "same", F.coalesce("root", "same").alias("root"))
-    split = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    rest = cut(labelled.join(split, "key"))
+    labelled = cut(labelled)
+    split = cut(labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"))
+    rest = cut(labelled.join(split.hint("merge"), "key"))
     few = rest.where(F.col("n") <= SMALL)
     other = few.select("key", F.col("same").alias("b"), F.col("root").alias("root_b"))
     pairs = few.select("key", F.col("same").alias("a"), "root").join(other, "key").where("a < b and root <> root_b").select("a", "b").distinct()
     tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(_verified(pairs.join(tried, ["a", "b"], "left_anti"), texts).unionAll(_in_blocks(rest.where(F.col("n") > SMALL), texts)))
     if more.limit(1).count():
-        links = cut(links.unionAll(more).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("near").alias("near")))
         # only the components that the new links join are relabelled
         roots = rest.select("same", "root").distinct()
         ends = more.join(roots.select(F.col("same").alias("a"), F.col("root").alias("root_a")), "a").join(roots.select(F.col("same").alias("b"), F.col("root").alias("root_b")), "b")
@@ -259,17 +260,16 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         old = parts.unionAll(joined.select(F.col("root").alias("node"), "root")).groupBy("node").agg(F.min("root").alias("root"))
         parts = cut(old.join(joined, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("same")).groupBy("same").agg(F.count("*").alias("n_links"))
-    roots = classes.select("same", "copies_id").join(parts.withColumnRenamed("node", "same"), "same", "left").join(degree, "same", "left").select("same", "copies_id", F.coalesce("root", "same").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    roots = classes.select("same", "copies_id").join(parts.withColumnRenamed("node", "same"), "same", "left").select("same", "copies_id", F.coalesce("root", "same").alias("root"))
     return keys, cut(roots)
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, copies_id (least doc_id with the same text) of every row, and near-copy links of its text."""
+    """doc_id, class_id, copies_id (least doc_id with the same text) of every row, and whether it is the class's first."""
     keys, roots = _classes(docs)
     least = roots.groupBy("root").agg(F.min("copies_id").alias("class_id"))
     named = roots.join(least, "root")
-    return keys.select("doc_id", "same").join(named, "same").select("doc_id", "class_id", "copies_id", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))
+    return keys.select("doc_id", "same").join(named, "same").select("doc_id", "class_id", "copies_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
