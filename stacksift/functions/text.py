@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 LOOSE = r"[\s\p{Z}\p{P}\p{S}]+"
 KEPT = r"[^0-9A-Za-z\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{f900}-\x{faff}]"
 SCRIPT_TAG = r"[（(/／\-－]\s*(?:简体|簡體|正體|繁體|简|簡)\s*[)）]?\s*$"
+VARIANT_TAG = r"[（(/／\-－]\s*(?:簡體字|繁體字|正體字|簡體|繁體|正體|简体|繁体|正体|簡|繁|正|简)\s*[)）]?\s*$"
 FULL_WIDTH, ASCII_DIGITS = "０１２３４５６７８９", "0123456789"
 
 
@@ -31,6 +32,27 @@ def without_script_tag(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, SCRIPT_TAG, ""))
 
 
+def without_variants(s: Column, most: int = 8) -> Column:
+    """Marks of script and version taken off the end until none is left; ``most`` of them."""
+    step = lambda t, _: F.regexp_replace(t, VARIANT_TAG, "")
+    return F.trim(F.aggregate(F.sequence(F.lit(1), F.lit(most)), s, step))
+
+
+def main_title(s: Column) -> Column:
+    """The title without marks of script and version, and without white space."""
+    return F.regexp_replace(without_variants(s), r"[\s\x{3000}]+", "")
+
+
+def volume_marks(s: Column) -> Column:
+    """Volume marks as they stand, in order and with repeats: numbers and part marks."""
+    return F.regexp_extract_all(s, F.lit(r"[0-9０-９]+|[上中下]"), F.lit(0))
+
+
+def capped(s: Column, n: int) -> Column:
+    """At most ``n`` characters."""
+    return F.left(s, F.lit(n))
+
+
 def volume_tokens(s: Column) -> Column:
     """Numbers of at most two digits and part marks, distinct and sorted; full-width digits count as digits."""
     found = F.regexp_extract_all(F.translate(s, FULL_WIDTH, ASCII_DIGITS), F.lit(r"(?<![0-9])([0-9]{1,2})(?![0-9])|([上中下])"), F.lit(0))

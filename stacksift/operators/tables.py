@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +16,39 @@ def upsert(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.unionByName(target.join(new.select(*keys), keys, "left_anti"))
 
 
+def delete_join(target: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
+    """``target`` without the rows that ``matches`` has by ``keys``; null keys match nothing."""
+    return target.join(matches.select(*keys), keys, "left_anti")
+
+
+def union_latest(parts: list[DataFrame], key: str, value: str) -> DataFrame:
+    """key and value of several maps, a later one over an earlier one; within one map the greatest value."""
+    every = reduce(DataFrame.unionByName, [p.select(key, value, F.lit(i).alias("__i")) for i, p in enumerate(parts)])
+    return every.groupBy(key).agg(F.max_by(value, F.struct("__i", value)).alias(value))
+
+
+def read_alerts(days: DataFrame, group: str, day: str, count: str, read: str, length: int = 14) -> DataFrame:
+    """group, day and reason: a list that was read with no row at all at once, else a run of ``length`` days without new rows."""
+    empty = days.where(F.col(read) == 0).select(group, day, F.lit("empty list").alias("reason"))
+    runs = zero_runs(days, group, day, count, length).join(empty, [group, day], "left_anti")
+    return empty.unionByName(runs.withColumn("reason", F.lit("zero run")))
+
+
+def stop_early(pages: DataFrame, group: str, page: str, seen: str) -> DataFrame:
+    """group and the last page that is read: the first whose rows are all seen, else the last one.
+
+    Right only where the list is ordered by the time of listing; else a new row may stand behind it.
+    """
+    by = pages.groupBy(group, page).agg(F.bool_and(seen).alias("__seen"))
+    return by.groupBy(group).agg(F.coalesce(F.min(F.when(F.col("__seen"), F.col(page))), F.max(page)).alias("last_page"))
+
+
+def retry_empty(first: DataFrame, again: DataFrame, page: str, rows: str) -> DataFrame:
+    """Pages of the first pass, and of those that were empty what the second pass gave."""
+    side = again.select(page, F.col(rows).alias("__again"))
+    return first.join(side, page, "left").withColumn("retried", F.col(rows) == 0).withColumn(rows, F.when(F.col("retried"), F.coalesce("__again", F.lit(0))).otherwise(F.col(rows))).drop("__again")
+
+
 def fill_nulls(target: DataFrame, new: DataFrame, key: str, columns: list[str], *, empty_too: bool = False) -> DataFrame:
     """Values of ``new`` only where the target has none (or, with ``empty_too``, an empty string)."""
     side = new.select(key, *[F.col(c).alias(f"__{c}") for c in columns])

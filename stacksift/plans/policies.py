@@ -107,11 +107,11 @@ def keyword_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "category", F.when(F.col("place") == 0, 10).otherwise(5).alias("weight"), (F.col("category") == F.col("prime")).alias("is_primary"))
 
 
-@query("""select distinct p_type as category from part where p_type not in (select p_type from part where p_size < 3)""")
+@query("""select distinct p_brand || ' ' || p_type as category from part where p_brand || ' ' || p_type not in (select p_brand || ' ' || p_type from part where p_size < 3)""")
 def unmapped_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets of a mapping that the list of categories lacks."""
-    p = parquet(spark, sf_dir, "part")
-    return policies.missing_targets(p.select(F.col("p_type").alias("category")), p.where("p_size < 3").select(F.col("p_type").alias("category")).distinct())
+    p = parquet(spark, sf_dir, "part").select(F.concat_ws(" ", "p_brand", "p_type").alias("category"), "p_size")
+    return policies.missing_targets(p, p.where("p_size < 3").select("category").distinct())
 
 
 @query("""

@@ -34,14 +34,34 @@ def seen_keys(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def release_notes(spark: SparkSession, path: str) -> DataFrame:
-    """version, date and body of each ``## [x.y.z] - date`` section, newest version first."""
+    """version, date, title and body of each ``## [x.y.z] - date`` section, newest version first."""
     text = spark.read.text(path, wholetext=True)
     parts = text.select(F.explode(F.split("value", r"(?m)^(?=##\s*\[?v?[0-9])")).alias("s")).where(F.col("s").rlike(r"^##\s*\[?v?[0-9]"))
-    get = lambda i: F.regexp_extract("s", r"^##\s*\[?v?([0-9]+(?:\.[0-9]+)*)\]?\s*(?:[-–—(]\s*([0-9]{4}-[0-9]{2}-[0-9]{2}))?[^\n]*\n?([\s\S]*)$", i)
-    rows = parts.select(get(1).alias("version"), F.nullif(get(2), F.lit("")).alias("date"), F.trim(get(3), F.lit(" \r\n\t")).alias("body"))
+    get = lambda i: F.regexp_extract("s", r"^##\s*\[?v?([0-9]+(?:\.[0-9]+)*)\]?\s*(?:[-–—(]\s*([0-9]{4}-[0-9]{2}-[0-9]{2})\)?)?[ \t]*(?:[-–—]+)?[ \t]*([^\n]*)\n?([\s\S]*)$", i)
+    rows = parts.select(get(1).alias("version"), F.nullif(get(2), F.lit("")).alias("date"), F.trim(get(3), F.lit(" \r\t")).alias("title"), F.trim(get(4), F.lit(" \r\n\t")).alias("body"))
     return rows.orderBy(F.desc(F.transform(F.split("version", r"\."), lambda x: x.cast("int"))))
 
 
+def with_notes(releases: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """``releases`` with the text of ``v<version>.md`` in ``folder`` as note (null: none)."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="v*.md").select(F.regexp_extract(F.col("_metadata.file_name"), r"^v(.+)\.md$", 1).alias("version"), F.col("value").alias("note"))
+    return releases.join(files, "version", "left")
+
+
+def json_pages(df: DataFrame, body: str, items: str, schema: str) -> DataFrame:
+    """Rows of the list ``items`` (a path, empty: the body itself is the list) in pages of JSON; pages that are none give no rows."""
+    found = F.from_json(F.col(body) if not items else F.get_json_object(body, f"$.{items}"), f"array<struct<{schema}>>")
+    return df.select(*[c for c in df.columns if c != body], F.inline(found))
+
+
+def page_records(df: DataFrame, html: str, product: str = r"[?&]id=([0-9]+)") -> DataFrame:
+    """Cached pages read again without fetching: title, first heading, and the product ids that its links carry."""
+    tag = lambda name: F.nullif(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract(html, rf"(?is)<{name}[^>]*>(.*?)</{name}>", 1), "<[^>]*>", ""), r"\s+", " ")), F.lit(""))
+    links = F.regexp_extract_all(html, F.lit(r'(?i)href="([^"]*)"'), F.lit(1))
+    ids = F.array_sort(F.array_distinct(F.filter(F.transform(links, lambda u: F.regexp_extract(u, product, 1)), lambda x: x != "")))
+    return df.withColumns({"title": tag("title"), "heading": tag("h1"), "n_links": F.size(links), "products": F.array_join(ids, ",")})
+
+
 def sitemap(df: DataFrame, xml: str = "xml") -> DataFrame:
     """Locations of sitemap documents."""
     return df.select(F.explode(F.xpath(F.regexp_replace(F.col(xml), r'\sxmlns="[^"]*"', ""), F.lit("//url/loc/text()"))).alias("loc")).distinct()

@@ -10,8 +10,10 @@ def scrub(c: Column) -> Column:
     return F.regexp_replace(c.cast("string"), r"[\t\r\n]+", " ")
 
 
-def tsv_report(df: DataFrame, path: str) -> None:
-    df.select(*[scrub(F.col(c)).alias(c) for c in df.columns]).write.option("sep", "\t").option("header", True).mode("overwrite").csv(path)
+def tsv_report(df: DataFrame, path: str, *, mark: bool = False) -> None:
+    """Tab-separated text with a header; with ``mark`` the header begins with a byte-order mark, as spreadsheets expect."""
+    names = [("\ufeff" if mark and not i else "") + c for i, c in enumerate(df.columns)]
+    df.select(*[scrub(F.col(c)).alias(n) for c, n in zip(df.columns, names, strict=True)]).write.option("sep", "\t").option("header", True).mode("overwrite").csv(path)
 
 
 def sitemap_chunks(df: DataFrame, url: str, key: str, size: int = 45_000) -> DataFrame:
