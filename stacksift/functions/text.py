@@ -104,4 +104,4 @@ def host(url: Column) -> Column:
 
 def tidy_label(s: Column) -> Column:
     """Null where a field holds only a label such as ``author:``."""
-    return F.when(~F.trim(s).rlike(r"^[^:：]{0,12}[:：][\s\p{Z}]*$") & (F.trim(s) != ""), F.trim(s))
+    return F.when(~F.trim(s).rlike(r"^[^:：]{0,8}[:：][\s\p{Z}]*$") & (F.trim(s) != ""), F.trim(s))

@@ -7,17 +7,10 @@ gathered, and the driver sees one count a round.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="stacksift-checkpoint-"))
-    return df.checkpoint(eager=True)
+from .checkpoint import cut
 
 
 def connected_components(edges: DataFrame, left: str = "a", right: str = "b", *, max_rounds: int = 50) -> DataFrame:
@@ -26,13 +19,13 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", *,
     Null ends and self-loops make no link; repeated edges count once.
     """
     e = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a is not null and b is not null and a <> b")
-    both = _cut(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = _cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
+    both = cut(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    state = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
     for _ in range(max_rounds):
         near = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         spread = state.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = state.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        state_next = _cut(spread.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")))
+        state_next = cut(spread.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")))
         changed = state_next.where("root <> old").limit(1).count()
         state = state_next.select("node", "root")
         if not changed:

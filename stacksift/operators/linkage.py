@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import same_place_ratio
+from .checkpoint import cut
 from .components import connected_components
 
 
@@ -36,12 +37,35 @@ def staged_match(new: DataFrame, known: DataFrame, new_id: str, known_id: str, s
 
 
 def wildcard_pairs(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs of texts of one length that differ in one character: joined on the text with each place blanked."""
-    spots = df.where(F.char_length(text) > 0).select(key, text, F.explode(F.sequence(F.lit(1), F.char_length(text))).alias("i"))
-    masked = spots.select(F.col(key), F.col(text), "i", F.overlay(F.col(text), F.lit("\0"), F.col("i"), F.lit(1)).alias("m"))
-    left = masked.select(F.col(key).alias("a"), F.col(text).alias("ta"), "i", "m")
-    right = masked.select(F.col(key).alias("b"), F.col(text).alias("tb"), "i", "m")
-    return left.join(right, ["i", "m"]).where("a < b and ta <> tb").select("a", "b")
+    """Pairs of keys whose texts have one length and differ in one character: joined on the text with each place blanked.
+
+    Texts are made distinct first, so equal ones do not meet; the keys come back to the pairs of texts.
+    """
+    spots = df.where(F.char_length(text) > 0).select(F.col(text).alias("t")).distinct().select("t", F.explode(F.sequence(F.lit(1), F.char_length("t"))).alias("i"))
+    masked = spots.select("t", "i", F.overlay(F.col("t"), F.lit("\0"), F.col("i"), F.lit(1)).alias("m"))
+    pairs = masked.withColumnRenamed("t", "ta").join(masked.withColumnRenamed("t", "tb"), ["i", "m"]).where("ta < tb").select("ta", "tb")
+    keys = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    both = pairs.join(keys.withColumnsRenamed({"k": "x", "t": "ta"}), "ta").join(keys.withColumnsRenamed({"k": "y", "t": "tb"}), "tb")
+    return both.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def nearest_in_block(df: DataFrame, block: str, value: str, key: str) -> DataFrame:
+    """key and nearest: the other row of the block with the nearest value, of several the least key.
+
+    Rows of one value stand for it with their two least keys, and each value looks at the one before and the one
+    behind it, so a block costs its sort and not its pairs. Rows alone in their block have none and are left out.
+    """
+    rows = df.where(F.col(block).isNotNull() & F.col(value).isNotNull()).select(block, value, key)
+    first = rows.groupBy(block, value).agg(F.min(key).alias("k1"))
+    named = rows.join(first, [block, value])
+    second = named.where(F.col(key) > F.col("k1")).groupBy(block, value).agg(F.min(key).alias("k2"))
+    w = Window.partitionBy(block).orderBy(value)
+    at = lambda f, name: f(F.struct(F.col(value).alias("v"), F.col("k1").alias("k"))).over(w).alias(name)
+    sides = first.join(second, [block, value], "left").select(block, value, "k2", at(F.lag, "lo"), at(F.lead, "hi"))
+    near = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col(value) - F.col(f"{s}.v")).alias("gap"), F.col(f"{s}.k").alias("k")))
+    same = F.when(F.col("k2").isNotNull(), F.struct(F.lit(0.0).alias("gap"), F.when(F.col(key) == F.col("k1"), F.col("k2")).otherwise(F.col("k1")).alias("k")))
+    made = named.join(sides, [block, value]).select(key, F.array_min(F.filter(F.array(same, near("lo"), near("hi")), lambda x: x.isNotNull())).alias("best"))
+    return made.where("best is not null").select(key, F.col("best.k").alias("nearest"))
 
 
 def same_place_pairs(df: DataFrame, text: str, num: int, den: int) -> DataFrame:
@@ -69,13 +93,11 @@ def flatten_aliases(df: DataFrame, key: str, to: str) -> DataFrame:
     The pointers jump: each round replaces a target by its target's target, so chains need rounds by the
     logarithm of their length. A cycle has no end; its members point at its least member, which points nowhere.
     """
-    from .components import _cut
-
-    state = _cut(df.select(F.col(key).alias("k"), F.when(F.col(to) != F.col(key), F.col(to)).alias("t"), F.col(key).alias("low")))
+    state = cut(df.select(F.col(key).alias("k"), F.when(F.col(to) != F.col(key), F.col(to)).alias("t"), F.col(key).alias("low")))
     for _ in range(64):
         far = state.select(F.col("k").alias("t"), F.col("t").alias("far"), F.col("low").alias("far_low"))
         nxt = state.join(far, "t", "left").select("k", F.col("t").alias("was"), F.coalesce("far", "t").alias("t"), F.least("low", F.coalesce("far_low", "low")).alias("low"))
-        nxt = _cut(nxt)
+        nxt = cut(nxt)
         moved = nxt.where("not (t <=> was)").limit(1).count()
         state = nxt.select("k", "t", "low")
         if not moved:

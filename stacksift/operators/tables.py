@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,11 +83,27 @@ def zero_runs(days: DataFrame, group: str, day: str, count: str, length: int) ->
 def throttled(alerts: DataFrame, key: str, at: str, hours: int) -> DataFrame:
     """Alerts that are sent: of one key at most one in any ``hours``, counted from the last one sent.
 
-    A fold over the times of a key, so it is sequential within a key only.
+    Each task reads its keys' times in order, as a stream that holds the last time sent and nothing else.
     """
-    limit = F.lit(hours * 3600 * 1_000_000)
-    times = alerts.groupBy(key).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(at).cast("timestamp")))).alias("t"))
-    sent = times.select(key, F.explode(F.aggregate("t", F.array().cast("array<bigint>"), lambda s, x: F.when(F.size(s) == 0, F.array(x)).otherwise(F.when(x - F.get(s, F.size(s) - 1) >= limit, F.concat(s, F.array(x))).otherwise(s)))).alias("m"))
+    limit = hours * 3600 * 1_000_000
+    kind = dict(alerts.dtypes)[key]
+    times = alerts.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("m")).where("m is not null")
+    # equal times of a key send one alert, so they may go before the shuffle already
+    times = times.groupBy(key, "m").agg(F.count("*").alias("n")).select(key, "m")
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last_key, last = None, None
+        for b in batches:
+            keep = []
+            for k, m in zip(b[key], b["m"].tolist(), strict=True):
+                if last is None or k != last_key or m - last >= limit:
+                    last_key, last = k, m
+                    keep.append(True)
+                else:
+                    keep.append(False)
+            yield b[keep]
+
+    sent = times.repartition(key).sortWithinPartitions(key, "m").mapInPandas(send, f"{key} {kind}, m long")
     return sent.select(key, F.timestamp_micros("m").alias(at))
 
 

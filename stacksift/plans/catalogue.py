@@ -93,26 +93,27 @@ def popular_month(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with li as (select l_orderkey, l_linenumber, l_suppkey, l_partkey, l_shipdate, row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_partkey) as n from lineitem)
-select o_orderkey, max(case when n = 1 then l_suppkey end) as first_supplier, strftime(max(l_shipdate), '%Y-%m-%d') as newest, string_agg(distinct cast(l_suppkey as varchar), '、' order by cast(l_suppkey as varchar)) as suppliers, count(*) as lines
-from orders join li on o_orderkey = l_orderkey group by 1
+select o_orderkey, max(case when n = 1 then l_suppkey end) as first_supplier, strftime(max(l_shipdate), '%Y-%m-%d') as newest, string_agg(distinct cast(l_suppkey as varchar), '、' order by cast(l_suppkey as varchar)) as suppliers, count(l_orderkey) as lines
+from orders left join li on o_orderkey = l_orderkey group by 1
 """)
 def work_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First supplier, newest date and the joined list of suppliers of each order, in one aggregation."""
     li = parquet(spark, sf_dir, "lineitem")
     made = li.groupBy("l_orderkey").agg(F.min_by("l_suppkey", F.struct("l_linenumber", "l_suppkey", "l_partkey")).alias("first_supplier"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("newest"), F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))), "、").alias("suppliers"), F.count("*").alias("lines"))
     o = parquet(spark, sf_dir, "orders").select("o_orderkey")
-    return o.join(made, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+    return o.join(made, F.col("o_orderkey") == F.col("l_orderkey"), "left").drop("l_orderkey").withColumn("lines", F.coalesce("lines", F.lit(0)))
 
 
 @query("""
-select c_custkey, '{"name":"' || c_name || '","orders":[' || string_agg('{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '"}', ',' order by o_orderkey) || ']}' as json
-from customer join orders on o_custkey = c_custkey group by c_custkey, c_name
+select c_custkey, '{"name":"' || c_name || '","orders":[' || coalesce(string_agg('{"id":' || o_orderkey || ',"status":"' || o_orderstatus || '"}', ',' order by o_orderkey), '') || ']}' as json
+from customer left join orders on o_custkey = c_custkey group by c_custkey, c_name
 """)
 def detail_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested document a customer."""
     o = parquet(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status")))).alias("orders"))
     c = parquet(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return c.join(o, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("name"), "orders")).alias("json"))
+    none = F.array().cast("array<struct<id: bigint, status: string>>")
+    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.to_json(F.struct(F.col("c_name").alias("name"), F.coalesce("orders", none).alias("orders"))).alias("json"))
 
 
 ROLES = ["1-URGENT", "3-MEDIUM", "2-HIGH"]

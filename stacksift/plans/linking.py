@@ -12,13 +12,13 @@ from .registry import query
 
 
 @query("""
-with d as (select doc_id, source, md5(lower(regexp_replace(coalesce(text, ''), '[\\s\\p{Z}\\p{P}\\p{S}]+', '', 'g'))) as k from documents),
-g as (select k, count(*) as members, count(distinct lang_n) as numbers from (select k, case when source = 'src0' then source end as lang_n from d) group by k having count(*) > 1 and count(distinct lang_n) <= 1)
+with d as (select doc_id, source, md5(nullif(lower(regexp_replace(text, '[\\s\\p{Z}\\p{P}\\p{S}]+', '', 'g')), '')) as k from documents),
+g as (select k, count(*) as members, count(distinct lang_n) as numbers from (select k, case when source = 'src0' then source end as lang_n from d where k is not null) group by k having count(*) > 1 and count(distinct lang_n) <= 1)
 select doc_id, members, numbers, row_number() over (partition by d.k order by case when source = 'src0' then 0 else 1 end, doc_id) as place from d join g on d.k = g.k
 """)
 def merge_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of one loose key whose marked sources agree, the leader first."""
-    d = parquet(spark, sf_dir, "documents").select("doc_id", "source", F.md5(text.loose_key(F.coalesce("text", F.lit("")))).alias("k"))
+    """Documents of one loose key whose marked sources agree, the leader first; texts without any key stay apart."""
+    d = parquet(spark, sf_dir, "documents").select("doc_id", "source", F.md5(F.nullif(text.loose_key(F.col("text")), F.lit(""))).alias("k"))
     d = d.withColumn("number", F.when(F.col("source") == "src0", F.col("source")))
     made = linkage.merge_groups(d, "k", "number", [F.when(F.col("source") == "src0", 0).otherwise(1), F.col("doc_id")])
     return made.select("doc_id", "members", "numbers", F.col("place").cast("long").alias("place"))
@@ -123,10 +123,7 @@ select left_id, right_id from (select *, row_number() over (partition by left_id
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest other row of the same block; ties go to the lower id."""
     o = parquet(spark, sf_dir, "orders")
-    a = o.select("o_custkey", F.col("o_orderkey").alias("left_id"), F.col("o_totalprice").alias("pa"))
-    b = o.select("o_custkey", F.col("o_orderkey").alias("right_id"), F.col("o_totalprice").alias("pb"))
-    pairs = a.join(b, "o_custkey").where("left_id <> right_id")
-    return pairs.groupBy("left_id").agg(F.min_by("right_id", F.struct(F.abs(F.col("pa") - F.col("pb")).alias("gap"), "right_id")).alias("right_id"))
+    return linkage.nearest_in_block(o, "o_custkey", "o_totalprice", "o_orderkey").select(F.col("o_orderkey").alias("left_id"), F.col("nearest").alias("right_id"))
 
 
 RULES = [("colour", ["red", "blue", "green"]), ("size", ["small", "large", "tiny"]), ("tool", ["bolt", "gear", "nut"])]
@@ -231,7 +228,10 @@ def pair_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["o_custkey", "o_orderdate"]).where("a < b").select("a", "b", names.judge(F.col("aa"), F.col("ab"), F.col("sa"), F.col("sb")).alias("verdict"))
 
 
-@query()
+@query("""
+select * from (values (0, 0, '王小明', '王小明', 'author'), (0, 1, '王小明', '王小明', 'illustrator'), (1, 0, '江淑文', '江淑文', 'author'), (1, 1, '陳嘉鈴', '陳嘉鈴', 'illustrator'), (2, 0, '巴刻', '巴刻著', 'author'), (2, 1, '趙中輝', '趙中輝譯', 'translator'),
+ (3, 0, '賴特（N. T. Wright；湯姆）', '賴特（N. T. Wright；湯姆）', null), (3, 1, '李四', '李四 等', null), (4, 0, 'A', 'A', null), (4, 1, 'B', 'B', null), (5, 0, '陳志文', '陳志文', null)) as t(line, place, name, credit, role)
+""")
 def name_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credit lines of a fixture split into people with roles."""
     lines = ["文、圖:王小明", "文:江淑文\\圖:陳嘉鈴", "巴刻著 趙中輝譯", "賴特（N. T. Wright；湯姆）；李四 等", "A&#59;B", "陳志文"]
@@ -240,12 +240,13 @@ def name_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select p_partkey, p_name, cast(search_n as bigint) as n_suppliers, suppliers from (select p_partkey, p_name from part) join (select l_partkey, count(distinct l_suppkey) as search_n, string_agg(distinct cast(l_suppkey as varchar), ' ' order by cast(l_suppkey as varchar)) as suppliers from lineitem group by 1) on l_partkey = p_partkey
+select p_partkey, p_name, cast(coalesce(search_n, 0) as bigint) as n_suppliers, coalesce(suppliers, '') as suppliers from (select p_partkey, p_name from part) left join (select l_partkey, count(distinct l_suppkey) as search_n, string_agg(distinct cast(l_suppkey as varchar), ' ' order by cast(l_suppkey as varchar)) as suppliers from lineitem group by 1) on l_partkey = p_partkey
 """)
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The denormalised search column: distinct child values joined in a fixed order."""
     made = parquet(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count_distinct("l_suppkey").alias("n_suppliers"), F.array_join(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))), " ").alias("suppliers"))
-    return parquet(spark, sf_dir, "part").select("p_partkey", "p_name").join(made, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey")
+    made = parquet(spark, sf_dir, "part").select("p_partkey", "p_name").join(made, F.col("l_partkey") == F.col("p_partkey"), "left")
+    return made.select("p_partkey", "p_name", F.coalesce("n_suppliers", F.lit(0)).alias("n_suppliers"), F.coalesce("suppliers", F.lit("")).alias("suppliers"))
 
 
 @query("""

@@ -77,7 +77,9 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "pages").select("page_id", fields.url_key(F.col("url")).alias("url_key"), fields.cover_url(F.col("url")).alias("cover"))
 
 
-@query()
+@query("""
+select * from (values (0, '{"作者":"王小明","重量":"850克"}', 850, false), (1, '{}', null, false), (2, '{"书名":"圣经"}', null, true)) as t(line, labels, grams, simplified)
+""")
 def label_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label lines of a fixture as maps, weights and script hints."""
     rows = ["作者：王小明\n重量: 850克\n作者: 另一人\nhttp://x", "no labels here", "书名：圣经\n: empty"]

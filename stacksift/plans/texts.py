@@ -98,7 +98,9 @@ def scalar_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "customer").select("c_custkey", F.regexp_extract("c_name", "([0-9]+)$", 1).alias("number"), F.coalesce(F.nullif("c_mktsegment", F.lit("MACHINERY")), F.lit("none")).alias("segment"), level.alias("level"), F.concat(F.left("c_name", F.lit(5)), F.lit("...")).alias("short"), F.replace("c_name", F.lit("#"), F.lit("-")).alias("slug"))
 
 
-@query()
+@query("""
+select * from (values (0, '路加福音(79折)', '路加福音', false), (1, '聖經故事 特價', '聖經故事', false), (2, '恩典之路【首刷優惠套組】', '恩典之路【首刷優惠套組】', true), (3, '限量筆記(特價限量)', '限量筆記(特價限量)', true), (4, '十字架的道路', '十字架的道路', false), (5, '書 特價', '書 特價', true), (6, '平安優惠的人生', '平安優惠的人生', true)) as t(line, title, clean, held)
+""")
 def title_promo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Promotional words in the titles of a fixture."""
     rows = ["路加福音(79折)", "聖經故事 特價", "恩典之路【首刷優惠套組】", "限量筆記(特價限量)", "十字架的道路", "書 特價", "平安優惠的人生"]
@@ -115,3 +117,25 @@ def common_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = parquet(spark, sf_dir, "part").select("p_name").distinct().withColumn("tail", F.split("p_name", " ")[1])
     x = p.withColumnRenamed("p_name", "a").join(p.withColumnRenamed("p_name", "b"), "tail").where("a < b")
     return x.select("a", "b", text.common_substring(F.col("a"), F.col("b")).cast("long").alias("common"))
+
+
+@query("""
+with t as (select p_partkey, case p_partkey % 5 when 0 then p_brand || ':' when 1 then ' ' || p_name || ' ' when 2 then '' when 3 then 'a label that is long:' else p_type || '：' end as s from part)
+select p_partkey, case when trim(s) <> '' and not regexp_matches(trim(s), '^[^:：]{0,8}[:：]$') then left(trim(s), 12) end as field from t
+""")
+def tidy_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields that hold nothing or only a label become null, others are cut to the width of their column."""
+    k = F.col("p_partkey") % 5
+    s = F.when(k == 0, F.concat("p_brand", F.lit(":"))).when(k == 1, F.concat(F.lit(" "), "p_name", F.lit(" "))).when(k == 2, "").when(k == 3, "a label that is long:").otherwise(F.concat("p_type", F.lit("：")))
+    return parquet(spark, sf_dir, "part").select("p_partkey", text.capped(text.tidy_label(s), 12).alias("field"))
+
+
+@query("""
+with p as (select a.p_partkey as a, b.p_partkey as b, a.p_name as x, b.p_name as y from part a join part b on b.p_partkey = a.p_partkey + 1)
+select a, b, len(list_filter(generate_series(1, least(length(x), length(y))::int), lambda i: left(x, i) = left(y, i))) as common from p
+""")
+def common_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many characters two neighbouring names begin with in common."""
+    p = parquet(spark, sf_dir, "part")
+    a, b = p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("x")), p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("y"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", text.common_prefix(F.col("x"), F.col("y")).alias("common"))

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.checkpoint import shared_folder
+
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; below a temporary one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/stacksift-{uuid.uuid4().hex}"
+    """A new folder below the shared one."""
+    return f"{shared_folder(spark).rstrip('/')}/stacksift-{uuid.uuid4().hex}"
 
 
 def run_once(stream: DataFrame, mode: str) -> DataFrame:
