@@ -6,7 +6,7 @@ distinct shingles. Equal texts have equal sketches.
 
 Defined cases: a null text counts as empty; an empty text has the empty sketch; two empty sketches
 resemble each other by 1, an empty and another by 0. Texts of one to four words have one shingle.
-Repeated rows stay. Rows of equal doc_id are ordered by their text; a null doc_id comes last.
+Repeated rows stay. Rows of equal doc_id are ordered by their text's hash; a null doc_id comes last.
 Columns besides doc_id and text are ignored, whatever their names.
 """
 
@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,58 +93,77 @@ def sketch_documents(docs: DataFrame, k: int = K) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, "doc_id long, n_shingles double, fingerprint string")
 
 
-def with_followers(docs: DataFrame, parts: int) -> DataFrame:
-    """doc_id and text in blocks of descending doc_id, where each block ends with its follower.
+#: Rows of a block on average, fewest and most blocks.
+BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 2_000, 96, 20_000
 
-    Blocks are ranges of doc_id with near equal row counts, so no task sees more than a few blocks.
-    The first row of every block is sent to the block before it too (guest = 1), and the first row of
-    all to the last block; so each row meets the next one without a window over the whole table.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    ids = rows.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 20 * parts)).first()[0] or []
-    cuts = sorted(set(cuts))
-    # block 0 has the largest ids; nulls are in the last block
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    below = F.size(F.filter(edges, lambda c: c < F.col("doc_id"))) if len(cuts) < 64 else _rank(cuts)
-    block = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(F.lit(len(cuts)) - below)
-    heads = ids.select("doc_id", block.alias("block")).groupBy("block").agg(F.max("doc_id").alias("head")).collect()  # at most parts + 1 rows
-    heads = sorted((r["block"], r["head"]) for r in heads if r["head"] is not None or r["block"] == len(cuts) + 1)
-    return rows, block, heads
 
+def _cuts(ids: DataFrame, parts: int) -> tuple[list[int], dict[int | None, int]]:
+    """Bounds of doc_id between blocks of near equal rows, and into how many pieces a doc_id with many rows is split."""
+    parts = max(1, parts)
+    made, n, nulls = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 20 * parts), F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    times: dict[int | None, int] = {}
+    for c in made or []:
+        times[c] = times.get(c, 0) + 1
+    hot: dict[int | None, int] = {c: k + 1 for c, k in times.items() if k > 1}
+    # such an id has a bound on either side, so the pieces hold it alone
+    cuts = sorted(set(times) | {c - 1 for c in hot if c > -(1 << 63)})
+    if n and (k := nulls * parts // n + 1) > 1:
+        hot[None] = k
+    return cuts, hot
 
-def _rank(cuts: list[int]):
-    """Number of cuts below doc_id, by halving: a balanced tree of comparisons."""
 
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > F.lit(cuts[mid]).cast("long"), tree(mid + 1, hi)).otherwise(tree(lo, mid))
+def _placed(rows: DataFrame, parts: int) -> tuple[DataFrame, list[tuple[int, int | None, int | None]]]:
+    """``rows`` with block and turn (place in it: doc_id downwards, then the text's hash), and of each block its first row's doc_id and turn (no turn: any row of that id may be it).
 
-    return tree(0, len(cuts))
+    Blocks follow descending doc_id, nulls last. Rows of one doc_id follow their texts' hashes, and a doc_id
+    with many rows is split into ranges of that hash, so no block grows with it.
+    """
+    cuts, hot = _cuts(rows.select("doc_id"), parts)
+    shared = rows.sparkSession.sparkContext.broadcast(np.array(cuts, np.int64))
+
+    @F.pandas_udf("int")
+    def block(ids: pd.Series) -> pd.Series:
+        # block 0 has the largest ids; nulls are behind the last bound
+        at = len(shared.value) - np.searchsorted(shared.value, ids.fillna(0).to_numpy(np.int64), side="left")
+        return pd.Series(np.where(ids.isna(), len(shared.value) + 1, at), dtype="int32")
+
+    rank = F.xxhash64("text")
+    piece = F.lit(0)
+    for c, k in sorted(hot.items(), key=str):
+        same = F.col("doc_id").isNull() if c is None else F.col("doc_id") == F.lit(c)
+        piece = F.when(same, F.least(F.lit(k - 1), F.floor((rank.cast("double") / 2.0**64 + 0.5) * k)).cast("int")).otherwise(piece)
+    # one number for block and piece; at most MOST_BLOCKS of each
+    placed = rows.select("doc_id", "text", (block("doc_id").cast("long") * (1 << 20) + piece).alias("block"), rank.alias("turn"))
+    light = placed if hot else rows.select("doc_id", (block("doc_id").cast("long") * (1 << 20)).alias("block"))
+    if not hot:
+        heads = [(r["block"], r["head"], None) for r in light.groupBy("block").agg(F.max("doc_id").alias("head")).collect()]  # a row a block
+    else:
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id").cast("decimal(20,0)")).alias("down"), "turn"))
+        heads = [(r["block"], None if r["first"]["none"] else -int(r["first"]["down"]), r["first"]["turn"]) for r in light.groupBy("block").agg(first.alias("first")).collect()]
+    return placed, sorted(heads, key=lambda h: h[0])
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K, parts: int | None = None) -> DataFrame:
-    """Fingerprints of each text and of its edited text, and their likeness (see the query's contract)."""
+    """Fingerprints of each text and of its edited text, and their likeness (see the query's contract).
+
+    The first row of every block is sent to the block before it too (guest = 1), and the first row of
+    all to the last block; so each row meets the next one without a window over the whole table.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    parts = parts or max(96, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows, block, heads = with_followers(docs, parts)
-    placed = rows.select("doc_id", "text", block.alias("block"))
-    if heads:
-        order = [b for b, _ in heads]
-        before = {b: order[i - 1] for i, b in enumerate(order)}  # the first block's head follows the last block
-        # Only the first of equal ids, by text, is a head; the others are found by the sort below.
-        table = F.create_map(*[x for b in order for x in (F.lit(b), F.lit(before[b]))])
-        head = F.create_map(*[x for b, h in heads for x in (F.lit(b), F.lit(h).cast("long"))])
-        is_head = F.col("doc_id").eqNullSafe(F.element_at(head, F.col("block")))
-        guests = F.when(is_head, F.array(F.struct(F.col("block").alias("block"), F.lit(0).alias("guest")), F.struct(F.element_at(table, F.col("block")).alias("block"), F.lit(1).alias("guest"))))
-        placed = placed.select("doc_id", "text", F.explode(guests.otherwise(F.array(F.struct(F.col("block").alias("block"), F.lit(0).alias("guest"))))).alias("at")).select("doc_id", "text", "at.block", "at.guest")
-    else:
-        placed = placed.withColumn("guest", F.lit(0))
-    n = len(heads) or 1
-    sorted_rows = placed.repartitionByRange(n, "block").sortWithinPartitions("block", "guest", F.desc_nulls_last("doc_id"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    parts = parts or min(MOST_BLOCKS, max(LEAST_BLOCKS, rows.count() // BLOCK_ROWS))
+    placed, heads = _placed(rows, parts)
+    order = [b for b, _, _ in heads]
+    schema = "__block long, __before long, __head long, __turn long"
+    table = spark.createDataFrame([(b, order[i - 1], h, t) for i, (b, h, t) in enumerate(heads)], schema)  # a row a block
+    # of the rows that could be a block's first one the sort takes the first
+    is_head = F.col("doc_id").eqNullSafe(F.col("__head")) & (F.col("__turn").isNull() | (F.col("turn") == F.col("__turn")))
+    here = F.struct(F.col("block").alias("block"), F.lit(0).alias("guest"))
+    there = F.struct(F.col("__before").alias("block"), F.lit(1).alias("guest"))
+    placed = placed.join(F.broadcast(table), F.col("block") == F.col("__block"))
+    placed = placed.select("doc_id", "text", "turn", F.explode(F.when(is_head, F.array(here, there)).otherwise(F.array(here))).alias("at")).select("doc_id", "text", "turn", "at.block", "at.guest")
+    sorted_rows = placed.repartitionByRange(max(1, len(heads)), "block").sortWithinPartitions("block", "guest", F.desc_nulls_last("doc_id"), "turn", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the row that waits for its follower, and its block
