@@ -1,6 +1,8 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Language, source, size and doc_id are quantised to BITS bits each; the curve index of that cell orders
+Language, source, size and doc_id are quantised to BITS bits each, by bounds that deal out the rows evenly:
+each level is a range of the dimension's own order (for texts that of their first seven bytes), so the
+least and greatest value of a file tell a reader what is not in it; the curve index of that cell orders
 the rows, so a run of the order covers a compact box of every dimension and a reader that filters on any
 of them can skip most files. Runs of equal row counts are the shards (law ``rows``: counts differ by at
 most one).
@@ -11,7 +13,7 @@ within their slice. No window covers the table or a whole cell.
 
 Defined cases: null lang or source is a value of its own, a null text has no bytes and the checksum of
 the empty text, a null doc_id sorts first; repeated rows each get a slot; an empty table gives no rows.
-Columns besides doc_id, text, lang and source are ignored by ``assign``.
+Columns besides doc_id, text, lang and source are ignored by ``assign`` and written by ``write_shards``.
 """
 
 from __future__ import annotations
@@ -68,35 +70,73 @@ def _level(column: str, cuts: list):
     return value
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard and the curve index of every row."""
+def _order(column: str):
+    """The first seven bytes of a value as a number: values in byte order have numbers in order. Null is before all."""
+    value = F.rpad(F.hex(F.substring(F.encode(F.col(column).cast("string"), "UTF-8"), 1, 7)), 14, "0")
+    return F.coalesce(F.conv(value, 16, 10).cast("long"), F.lit(-1))
+
+
+def _with_curve(docs: DataFrame, bits: int) -> tuple[DataFrame, int]:
+    """doc_id, lang, source, size, text_crc32, curve and slice of every row, as a table of its own, and their number."""
 
     @F.pandas_udf("long")
     def curve(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([a, b, c, d], axis=1), bits))
 
-    text = F.col("text").cast("string")
-    code = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c).cast("string"), F.lit("\0"))), F.lit(1 << bits)).cast("int")
-    meta = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), code("lang").alias("lang"), code("source").alias("source"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32")))
+    meta = cut(docs.select(*_key(docs), _order("lang").alias("__lang"), _order("source").alias("__source")))
     n = meta.count()
     slices = max(64, n // ROWS_A_SLICE)
-    by_id, by_size = _cuts(meta, "doc_id", bits), _cuts(meta, "size", bits)
-    at = meta.withColumn("curve", curve("lang", "source", _level("size", by_size), F.coalesce(_level("doc_id", by_id), F.lit(0)))).withColumn("slice", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slices)).cast("int"))
-    at = cut(at)
+    levels = [_level(c, _cuts(meta, c, bits)) for c in ("__lang", "__source", "size")]
+    by_id = F.coalesce(_level("doc_id", _cuts(meta, "doc_id", bits)), F.lit(0))
+    return cut(meta.select("doc_id", "lang", "source", "size", "text_crc32", curve(*levels, by_id).alias("curve"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slices)).cast("int").alias("slice"))), n
+
+
+def _key(docs: DataFrame) -> list:
+    text = F.col("text").cast("string")
+    return [
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
+        (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), F.crc32(F.coalesce(text, F.lit(""))).alias("text_crc32"),
+    ]
+
+
+def _ranked(at: DataFrame) -> DataFrame:
+    """``at`` with the place of every row along the curve."""
     counts = at.groupBy("curve", "slice").agg(F.count("*").alias("n"))
     cells = counts.groupBy("curve").agg(F.sum("n").alias("n"))  # at most 2**(4 * bits) rows
     cells = cells.select("curve", (F.sum("n").over(Window.orderBy("curve")) - F.col("n")).alias("before"))
     inside = counts.select("curve", "slice", (F.sum("n").over(Window.partitionBy("curve").orderBy("slice")) - F.col("n")).alias("within"))
     starts = inside.join(F.broadcast(cells), "curve").select("curve", "slice", (F.col("before") + F.col("within")).alias("start"))
-    order = Window.partitionBy("curve", "slice").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size")
-    ranked = at.withColumn("rank", F.row_number().over(order)).join(starts, ["curve", "slice"]).withColumn("at", F.col("start") + F.col("rank") - 1)
-    shard = F.expr(f"at * {shards} div {max(n, 1)}")
-    return ranked.withColumn("s", shard).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("s").cast("int").alias("shard"), (F.col("at") - F.expr(f"(s * {n} + {shards} - 1) div {shards}")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Write ``docs`` as one folder a shard, rows in curve order; a clustered layout for file pruning."""
-    places = assign(docs, shards).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard", "slot").dropDuplicates(["__id", "__crc"])
-    crc = F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    placed = docs.join(places, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (crc == F.col("__crc"))).drop("__id", "__crc")
-    placed.repartitionByRange(4 * shards, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    order = Window.partitionBy("curve", "slice").orderBy(F.asc_nulls_first("doc_id"), "text_crc32", "size", F.asc_nulls_first("lang"), F.asc_nulls_first("source"))
+    return at.withColumn("rank", F.row_number().over(order)).join(starts, ["curve", "slice"]).withColumn("at", F.col("start") + F.col("rank") - 1)
+
+
+def _shard(ranked: DataFrame, n: int, shards: int) -> DataFrame:
+    return ranked.withColumn("shard", F.expr(f"cast(at * {shards} div {max(n, 1)} as int)")).withColumn("slot", F.expr(f"cast(at - (shard * {n}L + {shards} - 1) div {shards} as bigint)"))
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and the curve index of every row."""
+    at, n = _with_curve(docs, bits)
+    return _shard(_ranked(at), n, shards).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS, rows_a_file: int = 250_000) -> None:
+    """Write ``docs`` as one folder a shard, rows in curve order and ``rows_a_file`` to a file at most about; for file pruning.
+
+    A row finds its place by what the order is made of: rows that agree in all of it are as good as each
+    other, so those with one key are numbered on both sides and meet by number. Shards have the counts of ``assign``.
+    """
+    at, n = _with_curve(docs, bits)
+    key = ["doc_id", "lang", "source", "size", "text_crc32"]
+    same = Window.partitionBy(*key)
+    places = _shard(_ranked(at), n, shards).select(*[F.col(c).alias(f"__{c}") for c in key], "shard", "slot")
+    places = places.withColumn("__copy", F.row_number().over(Window.partitionBy(*[f"__{c}" for c in key]).orderBy("shard", "slot"))).select(*[f"__{c}" for c in key], "__copy", F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.struct(*names).alias("__row"), *_key(docs)).withColumn("__number", F.row_number().over(same.orderBy(F.lit(0))))
+    met = rows["__number"] == places["__copy"]
+    for c in key:
+        met = met & rows[c].eqNullSafe(places[f"__{c}"])
+    placed = rows.join(places, met).select("__row", "__shard", "__slot")
+    files = max(shards, -(-n // rows_a_file))
+    placed = placed.repartitionByRange(files, "__shard", "__slot").sortWithinPartitions("__shard", "__slot")
+    placed.select("__row.*", F.col("__shard").alias("shard_id")).write.partitionBy("shard_id").parquet(path)
