@@ -37,7 +37,7 @@ def release_notes(spark: SparkSession, path: str) -> DataFrame:
     """version, date, title and body of each ``## [x.y.z] - date`` section, newest version first."""
     text = spark.read.text(path, wholetext=True)
     parts = text.select(F.explode(F.split("value", r"(?m)^(?=##\s*\[?v?[0-9])")).alias("s")).where(F.col("s").rlike(r"^##\s*\[?v?[0-9]"))
-    get = lambda i: F.regexp_extract("s", r"^##\s*\[?v?([0-9]+(?:\.[0-9]+)*)\]?\s*(?:[-–—(]\s*([0-9]{4}-[0-9]{2}-[0-9]{2})\)?)?[ \t]*(?:[-–—]+)?[ \t]*([^\n]*)\n?([\s\S]*)$", i)
+    get = lambda i: F.regexp_extract("s", r"^##\s*\[?v?([0-9]+(?:\.[0-9]+)*)\]?[ \t]*(?:[-–—(]\s*([0-9]{4}-[0-9]{2}-[0-9]{2})\)?)?[ \t]*(?:[-–—]+)?[ \t]*([^\n]*)\n?([\s\S]*)$", i)
     rows = parts.select(get(1).alias("version"), F.nullif(get(2), F.lit("")).alias("date"), F.trim(get(3), F.lit(" \r\t")).alias("title"), F.trim(get(4), F.lit(" \r\n\t")).alias("body"))
     return rows.orderBy(F.desc(F.transform(F.split("version", r"\."), lambda x: x.cast("int"))))
 

@@ -79,3 +79,31 @@ def test_seen_and_sitemap(spark, tmp_path):
     assert sorted(r["loc"] for r in readers.sitemap(xml).collect()) == ["a", "b"]
     page = spark.createDataFrame([('<script type="application/ld+json">{"name": "x\ny"}</script>',)], "html string")
     assert readers.linked_data(page, "html", "name string").first()["ld"]["name"] == "x y"
+
+
+def test_release_titles_and_notes(spark, tmp_path):
+    (tmp_path / "r.md").write_text("# Changes\n## [1.2.0] - 2026-03-04 — Faster search\n- a\n## [1.1.0] -- No date\n- b\n## [1.0.0]\n- c\n")
+    (tmp_path / "notes").mkdir()
+    (tmp_path / "notes" / "v1.2.0.md").write_text("For readers\nmore")
+    (tmp_path / "notes" / "other.md").write_text("no")
+    made = readers.with_notes(readers.release_notes(spark, str(tmp_path / "r.md")), spark, str(tmp_path / "notes"))
+    got = {r["version"]: (r["date"], r["title"], r["body"], r["note"]) for r in made.collect()}
+    assert got == {"1.2.0": ("2026-03-04", "Faster search", "- a", "For readers\nmore"), "1.1.0": (None, "No date", "- b", None), "1.0.0": (None, "", "- c", None)}
+
+
+def test_report_with_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a\tb\nc")], "id long, t string")
+    writers.tsv_report(df, str(tmp_path / "out"), mark=True)
+    assert all(part.read_bytes().startswith(b"\xef\xbb\xbfid\tt") for part in (tmp_path / "out").glob("part-*"))
+    assert [tuple(r) for r in readers.tsv(spark, str(tmp_path / "out")).collect()] == [("1", "a b c")]
+
+
+def test_json_pages_of_bare_lists_and_broken_ones(spark):
+    df = spark.createDataFrame([(1, '[{"id": 1}, {"id": 2}]'), (2, "[]"), (3, "[{"), (4, None)], "page int, body string")
+    assert [(r["page"], r["id"]) for r in readers.json_pages(df, "body", "", "id bigint").collect()] == [(1, 1), (1, 2)]
+
+
+def test_bounds_of_parameters():
+    from stacksift.operators import search
+
+    assert [search.clamp(v, 1, 50, 20) for v in (None, 0, -3, 7, 99)] == [20, 1, 1, 7, 50]
