@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import judge
-from ..functions.text import same_place_ratio
+from ..functions.text import common_substring, same_place_ratio
 from . import tables
 from .components import connected_components
 
@@ -148,3 +148,30 @@ def group_members(ids: DataFrame, aliases: DataFrame) -> DataFrame:
     group = aliases.select("id", F.coalesce("canonical", "id").alias("group"))
     return ids.select("id").distinct().join(group, "id").join(group.withColumnRenamed("id", "member"), "group").select("id", "member")
 
+
+
+def duplicate_report(mine: DataFrame, others: DataFrame, head: int = 3) -> DataFrame:
+    """id, other, level, further: for each new listing the likeliest known one, and how many kinds of others were likely too.
+
+    Both sides have id, title and publisher (keys), volume (text) and isbn. Candidates begin with the same ``head``
+    characters, or are as short and equal. high: equal titles, or one holds the other; middle: a common part of
+    three characters or more that is six tenths of the shorter title. Other volumes, or publishers of which none
+    holds the other, make it review. Of several the higher level counts, then the larger share, then one with a
+    number, then the least id. Known listings that agree in all of this are one candidate.
+    """
+    o = others.where(F.char_length("title") >= 2).groupBy(F.col("title").alias("t"), F.col("publisher").alias("p"), F.col("volume").alias("v"), F.col("isbn").isNotNull().alias("numbered")).agg(F.min("id").alias("other"))
+    o = o.withColumn("head", F.left("t", F.lit(head)))
+    m = mine.where(F.char_length("title") >= 2).withColumn("head", F.left("title", F.lit(head)))
+    short = F.least(F.char_length("title"), F.char_length("t"))
+    pairs = m.join(o, "head").select("id", "title", "publisher", "volume", "t", "p", "v", "numbered", "other", short.alias("short"))
+    part = pairs.select("title", "t").distinct().withColumn("part", common_substring(F.col("title"), F.col("t")))
+    pairs = pairs.join(part, ["title", "t"])
+    holds = F.contains("title", "t") | F.contains("t", "title")
+    first = F.when(holds, "high").when((F.col("part") >= 3) & (F.col("part") / F.col("short") >= 0.6), "middle")
+    ratio = F.when(holds, F.col("short") / F.greatest(F.char_length("title"), F.char_length("t"))).otherwise(F.col("part") / F.col("short"))
+    family = (F.col("publisher") != "") & (F.col("p") != "") & (F.contains("publisher", "p") | F.contains("p", "publisher"))
+    level = F.when((F.col("volume") != F.col("v")) | ~family, "review").otherwise(first)
+    rank = F.when(F.col("level") == "high", 3).when(F.col("level") == "middle", 2).otherwise(1)
+    found = pairs.withColumn("first", first).where("first is not null").withColumn("level", level).withColumn("score", rank * 100 + F.round(ratio, 9) * 10 + F.col("numbered").cast("int"))
+    best = found.groupBy("id").agg(F.max_by(F.struct("other", "level"), F.struct("score", -F.col("other"))).alias("b"), (F.count("*") - 1).alias("further"))
+    return mine.select("id").join(best, "id", "left").select("id", "b.other", F.coalesce("b.level", F.lit("none")).alias("level"), F.coalesce("further", F.lit(0)).alias("further"))

@@ -191,3 +191,23 @@ def reviewed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = parquet(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0").select(F.col("s_suppkey").alias("edition"), (F.lit(1_000_000) + F.floor(F.col("s_suppkey") / 2)).alias("new_work"))
     made = l.join(s, "edition", "left").withColumn("split", (F.col("old_work") % 2 == 0) & F.col("new_work").isNotNull())
     return made.select("edition", "old_work", F.when(F.col("split"), F.col("new_work")).otherwise(F.col("old_work")).alias("work"), "split")
+
+
+@query("""
+with t as (select p_partkey as id, lower(replace(p_name, ' ', '')) || case p_partkey % 5 when 0 then '' when 1 then 'x' else '' end as title, 'pub' || (p_partkey % 3) as publisher, cast(p_partkey % 2 as varchar) as volume, p_partkey % 4 = 0 as numbered from part),
+m as (select * from t where id % 40 = 0 union all select 999999, 'zq', 'pub0', '0', false), o as (select title, publisher, volume, numbered, min(id) as other from t where id % 40 > 0 group by 1, 2, 3, 4),
+names as (select distinct m.title as a, o.title as b from m join o on left(m.title, 3) = left(o.title, 3)),
+l as (select a, b, (select max(n) from (select unnest(range(1, length(a) + 1)) as n) x where exists (select 1 from (select unnest(range(1, length(a) + 1)) as i) y where i + n - 1 <= length(a) and contains(b, substr(a, i, n)))) as part from names),
+j as (select m.id, o.other, o.numbered, contains(m.title, o.title) or contains(o.title, m.title) as holds, coalesce(part, 0) as part, least(length(m.title), length(o.title)) as short, greatest(length(m.title), length(o.title)) as long, m.volume <> o.volume or m.publisher <> o.publisher as doubt
+ from m join o on left(m.title, 3) = left(o.title, 3) join l on l.a = m.title and l.b = o.title),
+s as (select *, case when holds then 'high' when part >= 3 and part / short >= 0.6 then 'middle' end as first, case when holds then short / long else part / short end as ratio from j),
+f as (select id, other, case when doubt then 'review' else first end as level, ratio, numbered from s where first is not null),
+r as (select *, row_number() over (partition by id order by case level when 'high' then 300 when 'middle' then 200 else 100 end + round(ratio, 9) * 10 + numbered::int desc, other) as n, count(*) over (partition by id) - 1 as further from f)
+select m.id, r.other, coalesce(r.level, 'none') as level, coalesce(r.further, 0) as further from m left join r on r.id = m.id and r.n = 1
+""")
+def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest known listing for each listing of a source, with the level of confidence."""
+    i = F.col("p_partkey")
+    t = parquet(spark, sf_dir, "part").select(i.alias("id"), F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit(""))), F.when(i % 5 == 1, "x").otherwise("")).alias("title"), F.concat(F.lit("pub"), (i % 3).cast("string")).alias("publisher"), (i % 2).cast("string").alias("volume"), F.when(i % 4 == 0, i).alias("isbn"))
+    extra = spark.createDataFrame([(999_999, "zq", "pub0", "0", None)], t.schema)
+    return imports.duplicate_report(t.where("id % 40 = 0").unionByName(extra), t.where("id % 40 > 0"))
