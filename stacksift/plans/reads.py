@@ -248,3 +248,46 @@ def title_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.concat(F.get(F.array(*[F.lit(x) for x in _TITLES]), (k % 8).cast("int")), F.when(k % 3 == 0, F.lit("（正）")).otherwise(""))
     rows = parquet(spark, sf_dir, "part").select("p_partkey", t.alias("t"))
     return rows.select("p_partkey", text.without_variants(F.col("t")).alias("clean"), text.main_title(F.col("t")).alias("main"), F.array_join(text.volume_marks(F.col("t")), ",").alias("marks"))
+
+
+@query("""
+select p_partkey, '{"@context":"https://schema.org","@graph":[{"@type":"Book","name":"' || p_name || '",' || case when p_partkey % 3 > 0 then '"author":[{"@type":"Person","name":"' || p_brand || '"}],' else '' end || case when p_partkey % 2 = 0 then '"isbn":"I' || p_partkey || '",' else '' end
+ || '"url":"/b/' || p_partkey || '"' || case when p_size > 5 then ',"offers":{"@type":"Offer","price":"' || p_size || '","priceCurrency":"TWD","availability":"https://schema.org/' || case when p_size > 20 then 'InStock' else 'OutOfStock' end || '"}' else '' end
+ || '},{"@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":1,"name":"Home","item":"/"},{"@type":"ListItem","position":2,"name":"' || p_type || '","item":"/c/' || p_type || '"}]}]}' as json from part
+""")
+def book_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linked data of every book page: book, offer and breadcrumbs."""
+    from ..sources import writers
+
+    k = F.col("p_partkey")
+    crumb = lambda n, u: F.struct(n.alias("name"), u.alias("url"))
+    trail = F.array(crumb(F.lit("Home"), F.lit("/")), crumb(F.col("p_type"), F.concat(F.lit("/c/"), "p_type")))
+    authors = F.when(k % 3 > 0, F.array("p_brand")).otherwise(F.array().cast("array<string>"))
+    isbn = F.when(k % 2 == 0, F.concat(F.lit("I"), k.cast("string")))
+    price = F.when(F.col("p_size") > 5, F.col("p_size"))
+    return parquet(spark, sf_dir, "part").select("p_partkey", writers.book_graph(F.col("p_name"), authors, isbn, F.concat(F.lit("/b/"), k.cast("string")), trail, price, F.col("p_size") > 20).alias("json"))
+
+
+@query("""
+select p_partkey, case when p_partkey % 7 = 0 then 'no script' when p_partkey % 7 = 1 then 'no json' when p_partkey % 7 = 2 then 'kind' when p_partkey % 7 = 3 then 'no name' end as reject,
+ case when p_partkey % 7 > 3 then p_name end as name, case when p_partkey % 7 > 3 and p_partkey % 2 = 0 then 'I' || p_partkey end as isbn, case when p_partkey % 7 > 3 then cast(p_size as varchar) end as price from part
+""")
+def checked_linked_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product data of cached pages, and why a page has none."""
+    k = F.col("p_partkey")
+    kind = F.when(k % 7 == 2, "Organization").when(k % 2 == 0, "Book").otherwise("Product")
+    ld = F.to_json(F.struct(kind.alias("@type"), F.when(k % 7 == 3, " ").otherwise(F.col("p_name")).alias("name"), F.when(k % 2 == 0, F.concat(F.lit("I"), k.cast("string"))).alias("isbn"), F.struct(F.col("p_size").alias("price")).alias("offers")))
+    body = F.when(k % 7 == 1, F.left(ld, F.lit(20))).otherwise(F.concat(F.lit("\n"), F.replace(ld, F.lit(","), F.lit(",\n"))))
+    html = F.when(k % 7 == 0, F.lit("<p>none</p>")).otherwise(F.concat(F.lit('<script type="application/ld+json">'), body, F.lit("</script>")))
+    return readers.checked_linked_data(parquet(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", html.alias("html")), "html").select("p_partkey", "reject", "name", "isbn", "price")
+
+
+@query("""
+select user_id % 200 + 1 as p_partkey, count(*) as clicks, max(event_id) as last from events where event_type = 'click' and user_id % 200 + 1 in (select p_partkey from part where p_size > 10) group by 1
+""")
+def kept_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks on books that there are, by book."""
+    from ..sources import writers
+
+    clicks = parquet(spark, sf_dir, "events").where("event_type = 'click'").select((F.col("user_id") % 200 + 1).alias("p_partkey"), "event_id")
+    return writers.keep_clicks(clicks, parquet(spark, sf_dir, "part").where("p_size > 10"), "p_partkey").groupBy("p_partkey").agg(F.count("*").alias("clicks"), F.max("event_id").alias("last"))

@@ -67,6 +67,20 @@ def sitemap(df: DataFrame, xml: str = "xml") -> DataFrame:
     return df.select(F.explode(F.xpath(F.regexp_replace(F.col(xml), r'\sxmlns="[^"]*"', ""), F.lit("//url/loc/text()"))).alias("loc")).distinct()
 
 
+def checked_linked_data(df: DataFrame, html: str, *, kinds: tuple[str, ...] = ("Book", "Product")) -> DataFrame:
+    """``df`` with name, isbn, price of its first ld+json object and ``reject``, why there is none.
+
+    Reasons, in this order: no script, no json (raw line breaks are tolerated), kind (@type is none of ``kinds``), no name.
+    """
+    raw = F.regexp_extract(html, r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>", 1)
+    made = df.withColumn("__raw", F.trim(F.regexp_replace(raw, r"[\r\n\t]+", " ")))
+    made = made.withColumn("__ld", F.from_json("__raw", "`@type` string, name string, isbn string, offers struct<price: string>"))
+    bad = F.when(F.col("__raw") == "", "no script").when(F.col("__ld").isNull() | F.get_json_object("__raw", "$").isNull(), "no json").when(~F.coalesce(F.col("__ld.@type").isin(*kinds), F.lit(False)), "kind").when(F.coalesce(F.trim("__ld.name"), F.lit("")) == "", "no name")
+    made = made.withColumn("reject", bad)
+    kept = lambda c: F.when(F.col("reject").isNull(), c)
+    return made.withColumns({"name": kept(F.trim("__ld.name")), "isbn": kept(F.col("__ld.isbn")), "price": kept(F.col("__ld.offers.price"))}).drop("__raw", "__ld")
+
+
 def linked_data(df: DataFrame, html: str, schema: str) -> DataFrame:
     """Objects of ld+json scripts; raw line breaks inside are tolerated."""
     found = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))

@@ -37,6 +37,21 @@ def envelope(df: DataFrame) -> DataFrame:
     return df.agg(F.to_json(F.struct(F.collect_list(F.struct(*df.columns)).alias("data"))).alias("json"))
 
 
+def book_graph(name: Column, authors: Column, isbn: Column, url: Column, trail: Column, price: Column, stock: Column) -> Column:
+    """schema.org graph of a book page as JSON: the book, its breadcrumbs (an array of struct(name, url)) and its offer; null fields are left out, and so is an offer without a price."""
+    people = F.transform(authors, lambda a: F.struct(F.lit("Person").alias("@type"), a.alias("name")))
+    offer = F.when(price.isNotNull(), F.struct(F.lit("Offer").alias("@type"), price.cast("string").alias("price"), F.lit("TWD").alias("priceCurrency"), F.when(stock, F.lit("https://schema.org/InStock")).otherwise(F.lit("https://schema.org/OutOfStock")).alias("availability")))
+    book = F.to_json(F.struct(F.lit("Book").alias("@type"), name.alias("name"), F.when(F.size(authors) > 0, people).alias("author"), isbn.alias("isbn"), url.alias("url"), offer.alias("offers")))
+    steps = F.transform(trail, lambda t, i: F.struct(F.lit("ListItem").alias("@type"), (i + 1).alias("position"), t["name"].alias("name"), t["url"].alias("item")))
+    crumbs = F.to_json(F.struct(F.lit("BreadcrumbList").alias("@type"), steps.alias("itemListElement")))
+    return F.concat(F.lit('{"@context":"https://schema.org","@graph":['), book, F.lit(","), crumbs, F.lit("]}"))
+
+
+def keep_clicks(clicks: DataFrame, books: DataFrame, key: str) -> DataFrame:
+    """Clicks on books that there are, ready to be appended; others are dropped without an error."""
+    return clicks.where(F.col(key).isNotNull()).join(books.select(key).distinct(), key, "left_semi")
+
+
 def book_linked_data(name: Column, authors: Column, isbn: Column, url: Column) -> Column:
     """schema.org book as JSON; null fields are left out."""
     people = F.transform(authors, lambda a: F.struct(F.lit("Person").alias("@type"), a.alias("name")))
