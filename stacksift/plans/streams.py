@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.readers import parquet
-from ..streaming.ingest import run_once
+from ..streaming.ingest import append_new, run_once, work_folder
 from .registry import query
 
 
+#: How late an event may come.
+LATE = "7 days"
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a file stream."""
     schema = parquet(spark, sf_dir, "events").schema
@@ -18,8 +22,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select user_id, event_type, count(*) as n from (select distinct user_id, event_type, ts::date from events) group by 1, 2""")
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days of activity by user and type: stateful dedup by key, then a batch count."""
-    s = _events(spark, sf_dir).select("user_id", "event_type", F.to_date("ts").alias("day")).dropDuplicates(["user_id", "event_type", "day"])
+    """Days of activity by user and type: stateful dedup by key, then a batch count.
+
+    The day is a window of event time, so the state of days more than LATE behind the stream is dropped, and what
+    comes for them after that is not taken.
+    """
+    s = _events(spark, sf_dir).withColumn("t", F.col("ts").cast("timestamp")).withWatermark("t", LATE)
+    s = s.select("user_id", "event_type", F.window("t", "1 day").alias("day")).dropDuplicates(["user_id", "event_type", "day"])
     return run_once(s, "append").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
@@ -44,3 +53,12 @@ def orphan_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = parquet(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select("c_custkey")
     e = parquet(spark, sf_dir, "events").where("event_type = 'click'")
     return e.join(c, F.col("user_id") == F.col("c_custkey"), "left_anti").groupBy("user_id").agg(F.count("*").alias("orphans"))
+
+
+@query("""select user_id, 'master' as file from events group by 1 union all select user_id, 'delta' from events group by 1""")
+def stream_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that a stream adds to a master table, and the delta that it writes with it: both have the same."""
+    folder = work_folder(spark)
+    append_new(_events(spark, sf_dir).select("user_id"), "user_id", f"{folder}/master", f"{folder}/delta", f"{folder}/state").start().awaitTermination()
+    read = lambda name: spark.read.parquet(f"{folder}/{name}").select("user_id", F.lit(name).alias("file"))
+    return read("master").unionAll(read("delta"))
