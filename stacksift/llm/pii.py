@@ -1,8 +1,9 @@
 """Format-preserving Feistel pseudonyms for personal data, in DataFrame functions only.
 
 Found and checked: payment cards (13 to 19 digits, Luhn), phone numbers, IPv4 addresses (octets), US
-social security numbers (issued ranges), IBANs with numeric account part (mod 97), calendar dates (ISO,
-dd.mm.yyyy, dd/mm/yyyy) and e-mail addresses. What fails its check stays as it is.
+social security numbers (issued ranges), IBANs (mod 97), other international phone numbers, full IPv6
+addresses, calendar dates (ISO, dd.mm.yyyy, dd/mm/yyyy) and e-mail addresses. What fails its check stays as it
+is; of a card or IBAN with more digits behind it the longest valid beginning counts.
 
 A value is split into two halves, which ROUNDS keyed rounds mix by addition modulo the halves' sizes; so
 the result is a permutation of the values of that format. Check digits are computed anew and separators
@@ -14,7 +15,9 @@ A text is marked up by one regular expression, cut at the marks, and joined agai
 has been replaced; no row leaves its task and nothing is shuffled.
 
 Defined cases: a null text stays null with counts 0; an empty text stays empty; the mark character U+0001
-in a text is kept (it is escaped first). Repeated rows and other columns stay.
+in a text is kept (it is escaped first). Repeated rows and other columns stay, but columns named n_<kind> are replaced by the counts. The key is a
+parameter; where it is not given it is the session's setting spark.stacksift.pii.key, and a key for demonstration
+only where that is unset too.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ MARK = "\x01"
 # The formats that are looked for, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?\d{4}){2,6}(?: ?\d{1,3})?(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "phone": r"(?<![\d+(])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    "intl": r"(?<![\d+(])\+\d{1,3}[ .-]\d{1,5}(?:[ .-]?\d{2,8}){1,4}(?!\d)",
+    "ip6": r"(?<![0-9A-Za-z:.])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9A-Za-z:.])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?![\d/-]|\.\d)",
@@ -110,6 +115,38 @@ def lay(digits: Column, shape: Column) -> Column:
     return F.aggregate(spots, start, step, lambda s: s["out"])
 
 
+def lay_both(digits: Column, letters: Column, shape: Column) -> Column:
+    """``digits`` put into the places of the digits of ``shape``, ``letters`` into those of its letters."""
+    spots = F.sequence(F.lit(1), F.length(shape))
+    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("d"), F.lit(1).alias("l"))
+
+    def step(s: Column, i: Column) -> Column:
+        c = _sub(shape, i, F.lit(1))
+        is_digit, is_letter = c.rlike("[0-9]"), c.rlike("[A-Z]")
+        new = F.when(is_digit, _sub(digits, s["d"], F.lit(1))).when(is_letter, _sub(letters, s["l"], F.lit(1))).otherwise(c)
+        return F.struct(F.concat(s["out"], new).alias("out"), (s["d"] + is_digit.cast("int")).alias("d"), (s["l"] + is_letter.cast("int")).alias("l"))
+
+    return F.aggregate(spots, start, step, lambda s: s["out"])
+
+
+def shift_letters(letters: Column, digits: Column, key: str, back: bool) -> Column:
+    """Capital letters moved along the alphabet by a keyed draw from the (new) digits and the place: one more round over them."""
+    spots = F.sequence(F.lit(1), F.length(letters))
+
+    def one(i: Column) -> Column:
+        draw = F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit("letters"), i.cast("string"), digits), 256), 1, 8), 16, 10).cast("long") % 26
+        at = F.ascii(_sub(letters, i, F.lit(1))) - 65
+        return F.char(F.pmod(at - draw if back else at + draw, F.lit(26)) + 65)
+
+    return F.when(F.length(letters) > 0, F.array_join(F.transform(spots, one), "")).otherwise("")
+
+
+def longest_valid(s: Column, valid, swap) -> Column:
+    """``swap`` on the longest beginning of ``s`` that ends at a separator, or is all of it, and is valid; the rest stays. Null if none is."""
+    ends = F.filter(F.sequence(F.length(s), F.lit(1), F.lit(-1)), lambda i: (i == F.length(s)) | _sub(s, i + 1, F.lit(1)).rlike("[ -]"))
+    return _once(F.get(F.filter(ends, lambda i: valid(F.left(s, i))), F.lit(0)), lambda n: F.when(n.isNotNull(), F.concat(swap(F.left(s, n)), F.substr(s, n + 1))))
+
+
 def _once(value: Column, use) -> Column:
     """``use(value)`` with value computed once."""
     return F.transform(F.array(value), use)[0]
@@ -118,9 +155,10 @@ def _once(value: Column, use) -> Column:
 def card(s: Column, key: str, back: bool = False) -> Column:
     def swap(d: Column) -> Column:
         body = permute_digits(_sub(d, 1, F.length(d) - 1), key, "card", back)
-        return F.when(luhn_sum(d, 0) % 10 == 0, _once(body, lambda b: lay(F.concat(b, ((10 - luhn_sum(b, 1) % 10) % 10).cast("string")), s)))
+        return _once(body, lambda b: F.concat(b, ((10 - luhn_sum(b, 1) % 10) % 10).cast("string")))
 
-    return _once(_digits(s), swap)
+    valid = lambda p: _once(_digits(p), lambda d: F.length(d).between(13, 19) & (luhn_sum(d, 0) % 10 == 0))
+    return longest_valid(s, valid, lambda p: _once(_once(_digits(p), swap), lambda new: lay(new, p)))
 
 
 def phone(s: Column, key: str, back: bool = False) -> Column:
@@ -160,14 +198,43 @@ def ssn(s: Column, key: str, back: bool = False) -> Column:
 
 
 def iban(s: Column, key: str, back: bool = False) -> Column:
-    def swap(d: Column) -> Column:
-        body = permute_digits(_sub(d, 5), key, "iban", back)
-        land = _sub(d, 1, F.lit(2))
-        check = lambda b: F.lpad((98 - mod97(F.concat(b, land, F.lit("00")))).cast("string"), 2, "0")
-        whole = _once(body, lambda b: F.concat(land, lay(F.concat(check(b), b), _sub(s, 3))))
-        return F.when(mod97(F.concat(_sub(d, 5), land, _sub(d, 3, F.lit(2)))) == 1, whole)
+    """Land stays, digits are permuted, letters moved, both in their places; check digits are computed anew."""
+    bare = lambda p: F.regexp_replace(p, " ", "")
+
+    def swap(p: Column) -> Column:
+        land, tail = _sub(p, 1, F.lit(2)), _sub(p, 5)
+        old = _digits(tail)
+        new = F.when(F.length(old) >= 2, permute_digits(old, key, "iban", back)).otherwise(old)
+
+        def whole(n: Column) -> Column:
+            letters = shift_letters(F.regexp_replace(tail, "[^A-Z]", ""), old if back else n, key, back)
+            body = lay_both(n, letters, tail)
+            return _once(body, lambda b: F.concat(land, F.lpad((98 - mod97(F.concat(bare(b), land, F.lit("00")))).cast("string"), 2, "0"), b))
+
+        return _once(new, whole)
+
+    valid = lambda p: _once(bare(p), lambda d: (F.length(d) >= 15) & (mod97(F.concat(_sub(d, 5), _sub(d, 1, F.lit(4)))) == 1))
+    return longest_valid(s, valid, swap)
+
+
+def intl(s: Column, key: str, back: bool = False) -> Column:
+    """The digits behind the country code (up to the first separator) change; 6 to 14 of them."""
+    code = F.regexp_extract(s, r"^\+\d{1,3}", 0)
+    rest = F.substr(s, F.length(code) + 1)
+    return F.when(F.length(_digits(rest)).between(6, 14), _once(permute_digits(_digits(rest), key, "intl", back), lambda d: F.concat(code, lay(d, rest))))
+
+
+def ip6(s: Column, key: str, back: bool = False) -> Column:
+    """The network half of the eight groups stays, the other half changes; groups are written without leading zeros."""
+
+    def swap(g: Column) -> Column:
+        n = lambda i: F.conv(g[i], 16, 10).cast("long")
+        side = 1 << 32
+        made = feistel(n(4) * 65536 + n(5), n(6) * 65536 + n(7), F.lit(side), F.lit(side), key, "ip6", back)
+        text = lambda v: F.concat_ws(":", F.lower(F.hex(F.floor(v / 65536))), F.lower(F.hex(v % 65536)))
+        return F.when(~s.rlike("(?:^|:)0[0-9a-f]"), _once(made, lambda p: F.concat_ws(":", F.slice(g, 1, 4), text(p["x"]), text(p["y"]))))
 
-    return _once(F.regexp_replace(s, " ", ""), swap)
+    return _once(F.split(s, ":"), swap)
 
 
 def date(s: Column, key: str, back: bool = False) -> Column:
@@ -196,7 +263,7 @@ def email(s: Column, key: str, back: bool = False) -> Column:
 
 def _swap(s: Column, key: str, back: bool) -> Column:
     """struct(kind, text) of a marked piece; kind is null where the check fails and the piece stays."""
-    makers = {"email": email, "iban": iban, "phone": phone, "ip": ip, "ssn": ssn, "date": date, "card": card}
+    makers = {"email": email, "iban": iban, "phone": phone, "intl": intl, "ip6": ip6, "ip": ip, "ssn": ssn, "date": date, "card": card}
     full = {k: "^(?:" + PATTERNS[k] + ")$" for k in KINDS}
     out = F.lit(None).cast("struct<kind:string,text:string>")
     # a later pattern is tried where the checks of those before fail
@@ -220,8 +287,9 @@ def pieces(text: Column, key: str, back: bool = False) -> Column:
     return F.when(text.rlike("[0-9@]"), F.transform(F.split(marked, MARK, -1), part)).otherwise(F.array(plain(text)))
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str | None = None, back: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and how many values of each kind were replaced (n_<kind>)."""
+    key = key or docs.sparkSession.conf.get("spark.stacksift.pii.key", KEY)
     made = docs.withColumn("__pii", pieces(F.col("text").cast("string"), key, back))
     count = lambda k: F.coalesce(F.size(F.filter("__pii", lambda p: p["kind"] == k)), F.lit(0)).cast("long")
     whole = F.when(F.col("text").isNotNull(), F.array_join(F.transform("__pii", lambda p: p["text"]), ""))
@@ -229,6 +297,6 @@ def pseudonymise(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFra
     return made.withColumns({"text": whole} | counts).drop("__pii")
 
 
-def restore(docs: DataFrame, key: str = KEY) -> DataFrame:
+def restore(docs: DataFrame, key: str | None = None) -> DataFrame:
     """Undo ``pseudonymise`` (but for e-mail addresses) where the key is known."""
     return pseudonymise(docs, key, back=True)
