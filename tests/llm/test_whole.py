@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stacksift.llm import decontaminate, fingerprints, hilbert, html_crf, licenses, near_dup, secrets
+from stacksift.llm import bpe, decontaminate, fingerprints, hilbert, html_crf, licenses, near_dup, pii, secrets, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -325,3 +325,76 @@ def test_written_shards(spark, tmp_path):
     for c, most in (("lang", 0.75), ("source", 0.75), ("doc_id", 0.6), ("n_chars", 0.6)):
         read = [((files[f"lo_{c}"] <= r[c]) & (files[f"hi_{c}"] >= r[c])).mean() for r in middle]
         assert np.mean(read) < most, (c, np.mean(read))
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    """Every operator gives no rows for an empty table, and reads nothing but its own columns from one with clashing names."""
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    names = "score string, probability string, family string, bands string, key int, same int, slot int, curve int, spans string, n_card string, fingerprint int, place int, block int, turn int, item_id string, cosine string, features int, label int, word int, n int, passage string, ids int, held_out int, predicted string"
+    schema = f"doc_id long, text string, lang string, source string, n_chars long, {names}"
+    empty = spark.createDataFrame([], schema)
+    labels = spark.createDataFrame([(1, 0, 0), (1, 0, 0), (None, 0, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "seven words that are never found here")], "item_id long, text string")
+    clash = spark.createDataFrame([(1, "some words stand here", "en", "s", 21)], "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in names.split(", ")])
+    run = [
+        lambda d: secrets.scan(d), lambda d: toxicity.toxicity_scores(d, labels), lambda d: licenses.scan(d), lambda d: bpe.encode_documents(d, path, P.PATTERN), lambda d: fingerprints.edited_fingerprints(d),
+        lambda d: hilbert.assign(d), lambda d: near_dup.near_duplicate_classes(d), lambda d: pii.pseudonymise(d), lambda d: near_dup.keep_one(d), lambda d: secrets.mask(d),
+        lambda d: decontaminate.drop_leaking(d, bench), lambda d: toxicity.drop_toxic(d, labels),
+    ]
+    for i, f in enumerate(run):
+        assert f(empty).count() == 0, i
+        assert f(clash).count() == 1, i
+    assert decontaminate.leaks(empty, bench).count() == 0
+    assert decontaminate.leaks(clash, bench).count() == 0
+    pages = spark.createDataFrame([(1, "u", "<p>One paragraph stands here.</p>", 1, "x")], "page_id long, url string, html string, text int, label string")
+    assert [r["text"] for r in html_crf.extract_pages(pages).collect()] == ["One paragraph stands here."]
+    assert html_crf.extract_pages(pages.where("false")).count() == 0
+
+
+def test_very_long_texts(spark):
+    """A million words, a page of two million characters: worked on whole."""
+    item = " ".join(f"bench{i}" for i in range(20))
+    long = " ".join(f"w{i % 977}" for i in range(300_000))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{long} {item}"), (2, long), (3, "short")], "doc_id long, text string")
+    assert [(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()] == [(1, 1)]
+    story = "A sentence that goes on, and then some more of it. " * 40_000
+    pages = spark.createDataFrame([(1, "u", f"<nav><a href=/>Home</a></nav><article><p>{story}</p></article>")], "page_id long, url string, html string")
+    assert html_crf.extract_pages(pages).first()["text"] == story.strip()
+
+
+def test_repeated_items_and_documents(spark):
+    item = " ".join(f"bench{i}" for i in range(12))
+    bench = spark.createDataFrame([(1, item), (1, item), (2, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(5, f"x {item} y"), (5, f"x {item} y"), (None, item)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect())
+    assert got == Counter([(5, 1), (5, 2), (None, 1), (None, 2)])
+
+
+def test_labels_of_unlike_texts_under_one_id(spark):
+    """The learned text does not depend on the order of rows: the score of a document is the same in every order."""
+    draw = random.Random(5)
+    rows = [(i // 2, " ".join(draw.choice(("you idiot scum", "plain words here", "the river runs")) for _ in range(12))) for i in range(400)]
+    labels = spark.createDataFrame([(i, 0, int("idiot" in rows[2 * i][1])) for i in range(200)], "doc_id long, quality int, toxic int")
+    scores = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        scores.append(Counter((r["doc_id"], round(r["score"], 9)) for r in toxicity.toxicity_scores(df, labels).collect()))
+    assert scores[0] == scores[1]
+
+
+def test_similarity_of_exactly_the_threshold(spark):
+    """45 shingles each, 40 of them common: 40 / 50 is 0.8, whatever the order of the sums; one less is below."""
+    words = [f"w{i}" for i in range(60)]
+    rows, pairs = [], {}
+    for k in range(40):
+        a = [f"{k}{w}" for w in words[:49]]
+        b = a[: 49 - 5] + [f"{k}other{i}" for i in range(5)]
+        c = [f"{k}z{w}" for w in words[:49]]
+        d = c[: 49 - 6] + [f"{k}other{i}" for i in range(6)]
+        rows += [(4 * k, " ".join(a)), (4 * k + 1, " ".join(b)), (4 * k + 2, " ".join(c)), (4 * k + 3, " ".join(d))]
+        pairs |= {4 * k: 4 * k, 4 * k + 1: 4 * k, 4 * k + 2: 4 * k + 2, 4 * k + 3: 4 * k + 3}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in near_dup.near_duplicate_classes(df).collect()} == pairs
