@@ -128,7 +128,7 @@ def delete_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with a as (select s_suppkey as id, s_name, s_suppkey - s_suppkey % 4 as grp from supplier)
-select coalesce(c.id, a.grp) as publisher, coalesce(max(c.s_name), min(a.s_name)) as name, count(*) as n, sum(k) as editions from a left join a c on c.id = a.grp join (select l_suppkey, count(*) as k from lineitem group by 1) on l_suppkey = a.id group by 1
+select coalesce(c.id, a.grp) as publisher, coalesce(max(c.s_name), min(a.s_name)) as name, count(*) as n, cast(sum(k) as bigint) as editions from a left join a c on c.id = a.grp join (select l_suppkey, count(*) as k from lineitem group by 1) on l_suppkey = a.id group by 1
 """)
 def alias_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by the resolved publisher: grouped by the whole expression, not by the column of the same name."""
