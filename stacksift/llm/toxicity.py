@@ -13,7 +13,8 @@ exclamation marks; rate of symbols or digits inside words, and hits that appear
 
 Defined cases: a null or empty text is scored by its (zero) features; without both classes among the
 learning rows every score is the share of toxic labels there (0 with none); labels of null doc_id or
-null value are ignored and repeated labels of one doc_id count once, toxic if any is. Rows are never
+null value are ignored and repeated labels of one doc_id count once, toxic if any is; of several texts under one
+doc_id the least one is learned from. Rows are never
 joined to be scored, so repeated rows, null ids and any other columns stay as they are.
 """
 
@@ -21,7 +22,9 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -48,6 +51,12 @@ MASKED = re.compile(r"(?<!\S)(?=\S*[0-9*$#@!_.-])(?=\S*[^\W\d_])[^\s]{3,40}(?!\S
 N_FEATURES = 17
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of every code point: 1 if upper case, plus 2 if a letter or digit."""
+    return np.fromiter((c.isupper() + 2 * c.isalnum() for c in map(chr, range(0x110000))), np.uint8, 0x110000)
+
+
 def features(text: str, words: dict[str, float], heads: dict[str, float]) -> list[float]:
     if not text:
         return [0.0] * N_FEATURES
@@ -76,8 +85,8 @@ def features(text: str, words: dict[str, float], heads: dict[str, float]) -> lis
                 solved += 1
     odds = [words[w] for w in hits]
     head_odds = [heads[h] for h in begun]
-    capitals = sum(map(str.isupper, text))
-    solid = sum(map(str.isalnum, text))
+    kinds = np.bincount(_kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=4).tolist()
+    capitals, solid = kinds[1] + kinds[3], kinds[2] + kinds[3]
     blanks = text.count(" ") + text.count("\n")
     return [
         math.log1p(n), math.log1p(len(hits)), len(hits) / n, max(odds, default=0.0), min(50.0, sum(odds)), float(len(set(hits))),
@@ -127,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED, seed:
     known = labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("__id is not null and toxic in (0, 1)")
     known = known.where(~held_out("__id")).groupBy("__id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("__id", F.lit(seed)), "__id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), text_or_empty().alias("text")).join(F.broadcast(known), "__id")  # at most `most` ids and labels
-    rows = cut(rows.dropDuplicates(["__id"]).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "__id"), F.lit(10))))
+    # of several texts under one doc_id the least one
+    rows = cut(rows.groupBy("__id", "toxic").agg(F.min("text").alias("text")).withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "__id"), F.lit(10))))
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     by_part = rows.agg(*[F.expr(f"count_if(toxic = {t} and part between {a} and {b})") for t in (0, 1) for a, b in ((4, 7), (8, 9))]).first()
     if min(by_part) == 0:
