@@ -36,6 +36,8 @@ from .common import cut, slices, small_batches, text_or_empty
 
 ROWS, BANDS = 7, 40
 THRESHOLD = 0.8
+#: Sums of floats may fall short of a similarity of exactly THRESHOLD by this.
+ROUNDING = 1e-9
 #: Buckets of more members are compared block by block, BLOCK members at a time.
 SMALL, BLOCK = 24, 512
 _U = np.uint64
@@ -149,7 +151,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         ((_, hb, atb),) = S.shingle_rows(batch.column(3).slice(lo + i, 1))
                         last = (right[lo + i], *weighted(hb, atb)[1:])
                     near[lo + i] = probability_jaccard(h[place[i] : place[i + 1]], w[place[i] : place[i + 1]], last[1], last[2])
-            keep = pa.array(near >= THRESHOLD)
+            keep = pa.array(near >= THRESHOLD - ROUNDING)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(near).filter(keep)], ["a", "b", "near"])
 
     return with_b.mapInArrow(run, "a binary, b binary, near double")
@@ -195,7 +197,7 @@ def block_links(names: list, roots: list, texts: pa.Array, left: np.ndarray, rig
     for i, j in np.argwhere(fit):
         i, j = left[i], right[j]
         near = probability_jaccard(hashes[place[i] : place[i + 1]], weight[place[i] : place[i + 1]], hashes[place[j] : place[j + 1]], weight[place[j] : place[j + 1]])
-        if near >= THRESHOLD:
+        if near >= THRESHOLD - ROUNDING:
             out.append((names[i], names[j], near))
     return out
 
