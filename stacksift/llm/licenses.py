@@ -87,7 +87,9 @@ def examples(seed: int = 13) -> list[tuple[str, str]]:
     fill = lambda k: " ".join("".join(draw.choice("abdegilmnoprstu") for _ in range(draw.randint(2, 8))) for _ in range(k))
     out = []
     for family, names in FAMILIES.items():
-        for name, head, tail in itertools.product(names, HEADS, TAILS):
+        # every head with two tails, every tail with a head
+        settings = [(h, t) for h in HEADS for t in draw.sample(TAILS, 2)] + [(draw.choice(HEADS), t) for t in TAILS]
+        for name, (head, tail) in itertools.product(names, settings):
             around = draw.random()
             text = f"{head} {name}{tail}".strip()
             out.append((family, f"{fill(3)} {text}" if around < 0.15 else f"{text} {fill(4)}" if around < 0.3 else text))
