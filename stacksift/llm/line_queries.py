@@ -1,0 +1,30 @@
+"""The query of shared lines and its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import line_dedup
+from .common import table
+
+
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("doc")["doc_id"].alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+lines as (
+  select rid, doc_id, pos, parts[pos] as line,
+    translate(trim(parts[pos], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line_key
+  from (select *, unnest(range(1, len(parts) + 1)) as pos from (select *, string_split(text, chr(10)) as parts from docs))),
+shared as (
+  select line_key, max(doc_id) as holder from (select distinct line_key, doc_id from lines where length(line_key) >= 20) group by line_key having count(*) >= 3),
+marked as (
+  select lines.*, shared.line_key is not null and lines.doc_id is distinct from shared.holder as goes from lines left join shared on lines.line_key = shared.line_key)
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (where goes) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not goes), '')) as kept_sha256
+from marked group by rid
+"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, fingerprints, hilbert, html_crf, licenses, near_dup, pii, secrets, toxicity
 from .common import table
+from .line_queries import OP11_SQL, op11_line_dedup
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,8 +53,8 @@ def op10_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_secret_grammar, op3_boosted_toxicity, op4_bottom_k_fingerprints, op5_crf_main_text, op6_hilbert_shards, op7_latent_decontamination, op8_license_classifier, op9_probminhash_near_dup, op10_bpe_segment_tree)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_secret_grammar, op3_boosted_toxicity, op4_bottom_k_fingerprints, op5_crf_main_text, op6_hilbert_shards, op7_latent_decontamination, op8_license_classifier, op9_probminhash_near_dup, op10_bpe_segment_tree, op11_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_line_dedup": OP11_SQL}
