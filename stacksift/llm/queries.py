@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, hilbert, html_crf, licenses, near_dup, pii, secrets, toxicity
+from . import bpe, contract_sql, conversations, decontaminate, fingerprints, hilbert, html_crf, licenses, line_dedup, near_dup, pii, secrets, toxicity
 from .common import table
-from .line_queries import OP11_SQL, op11_line_dedup
 
 
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +52,19 @@ def op10_bpe_segment_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_shared_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(F.col("doc")["doc_id"].alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report, _ = conversations.repair(table(spark, sf_dir, "conversations"))
+    return report
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_secret_grammar, op3_boosted_toxicity, op4_bottom_k_fingerprints, op5_crf_main_text, op6_hilbert_shards, op7_latent_decontamination, op8_license_classifier, op9_probminhash_near_dup, op10_bpe_segment_tree, op11_line_dedup)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_secret_grammar, op3_boosted_toxicity, op4_bottom_k_fingerprints, op5_crf_main_text, op6_hilbert_shards, op7_latent_decontamination, op8_license_classifier, op9_probminhash_near_dup, op10_bpe_segment_tree, op11_line_dedup, op12_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_line_dedup": OP11_SQL}
+    return {"op11_line_dedup": contract_sql.OP11_SQL, "op12_conversation_repair": contract_sql.OP12_SQL}
