@@ -69,3 +69,22 @@ select k.conv_id, coalesce(n.gaps, 0) as gaps, coalesce(n.blank, 0) as blank, co
 from (select distinct conv_id from conversations) k
   left join counts n on n.conv_id is not distinct from k.conv_id left join ends e on e.conv_id is not distinct from k.conv_id
 """
+
+OP13_SQL = r"""
+with v as (
+  select row_number() over () as rid, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as q
+  from embeddings
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select a.rid, a.vec_id as anchor_id, b.vec_id, a.label = b.label as same, list_inner_product(a.q, b.q)::bigint as score
+  from v a join v b on a.rid <> b.rid where a.vec_id % 100 = 0),
+positives as (
+  select *, row_number() over (partition by rid order by score desc, vec_id nulls last) as k from pairs where same qualify k <= 5),
+ranked as (
+  select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score, n.score as negative_score,
+    row_number() over (partition by p.rid, p.k order by n.score desc, n.vec_id nulls last) as rank
+  from positives p join pairs n on n.rid = p.rid and not n.same
+  where 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from ranked where rank <= 10
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, contract_sql, conversations, decontaminate, fingerprints, hilbert, html_crf, licenses, line_dedup, near_dup, pii, secrets, toxicity
+from . import bpe, contract_sql, conversations, decontaminate, fingerprints, hard_negatives, hilbert, html_crf, licenses, line_dedup, near_dup, pii, secrets, toxicity
 from .common import table
 
 
@@ -62,9 +62,13 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_secret_grammar, op3_boosted_toxicity, op4_bottom_k_fingerprints, op5_crf_main_text, op6_hilbert_shards, op7_latent_decontamination, op8_license_classifier, op9_probminhash_near_dup, op10_bpe_segment_tree, op11_line_dedup, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_feistel_pseudonyms, op2_secret_grammar, op3_boosted_toxicity, op4_bottom_k_fingerprints, op5_crf_main_text, op6_hilbert_shards, op7_latent_decontamination, op8_license_classifier, op9_probminhash_near_dup, op10_bpe_segment_tree, op11_line_dedup, op12_conversation_repair, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_line_dedup": contract_sql.OP11_SQL, "op12_conversation_repair": contract_sql.OP12_SQL}
+    return {"op11_line_dedup": contract_sql.OP11_SQL, "op12_conversation_repair": contract_sql.OP12_SQL, "op13_hard_negatives": contract_sql.OP13_SQL}
