@@ -1,14 +1,15 @@
-"""Credits: first authors, author compatibility, and the split of a credit line into people."""
+"""Credits: first authors, author compatibility, and the split of a credit line into people by a table function."""
 
 from __future__ import annotations
 
 import html
 import re
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .persons import LABEL_CUTS, ROLE_WORDS, TAIL_NOTES, name_kind
 from .text import loose_key
 
 SPLIT_FIRST = r"[;；、/]"
@@ -38,79 +39,105 @@ def judge(author_a: Column, author_b: Column, sources_a: Column, sources_b: Colu
     return F.when((a == "") & (b == ""), "review").when(~match, "keep").when(F.arrays_overlap(sources_a, sources_b), "review").otherwise("merge")
 
 
-# Role words of credit lines with the role that each stands for, and words that are no person.
-ROLES = {
-    "作者": "author", "著": "author", "文": "author", "作": "author", "譯": "translator", "譯者": "translator", "翻譯": "translator",
-    "編": "editor", "編者": "editor", "主編": "editor", "總編輯": "editor", "編輯": "editor", "編著": "editor",
-    "圖": "illustrator", "繪": "illustrator", "繪者": "illustrator", "繪圖": "illustrator", "插畫": "illustrator", "攝影": "photographer",
-}
-FILLERS = frozenset(("等", "合著", "多人", "不詳"))
+# What separates people, brackets within which nothing does, and what belongs to the name before a full-width comma.
+DELIMITERS = ";；、，"
 OPEN, CLOSE = "(（[［【", ")）]］】"
-DELIMITERS = ";；、，/／"
-_role = "|".join(sorted(map(re.escape, ROLES), key=len, reverse=True))
-_labels = re.compile(rf"^((?:{_role})(?:[/／、,&](?:{_role}))*)\s*[:：]\s*(.+)$|^({_role})[/／]\s*(.+)$")
-_next_label = re.compile(rf"(?<=[;；、，/／\\\s&])(?=(?:{_role})[:：/／])")
-_suffix = re.compile(rf"(?<=\S)(著|譯|編著|主編|編|繪)(?=[\s\u3000/／]+(?![(（\[［【])\S)")
-_tail = re.compile(rf"^(.{{2,}}?)(?:[\s\u3000\-/／]+({_role})|(譯|編著|主編|著))$")
+SUFFIXES = re.compile(r"[\s\u3000]*(?:Ph\.?\s?D\.?|Th\.?\s?D\.?|D\.?\s?Min\.?|Ed\.?\s?D\.?|D\.?D\.?|S\.?J\.?|O\.?S\.?B\.?|Jr\.?|Sr\.?|M\.?D\.?|Ltd\.?|Inc\.?)[\s\u3000]*", re.IGNORECASE)
+_longest_first = lambda words: "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
+_role_start = re.compile(rf"(?:^|(?<=[;；、\\/／\s\u3000,，&＆]))(?=(?:{_longest_first(ROLE_WORDS)})[:：/／])")
+_credit_end = re.compile(rf"({'|'.join(n for n in TAIL_NOTES if n != '等')})(?=[\s\u3000/／\\]+(?![(（\[［【])\S)")
+_edges = " \t\n\r\f\v\u3000,，、;；/／\\&＆"
+_label = re.compile(r"([^:：]{1,12})[:：][ \t\u3000]*(.+)|([^:：/／]{1,12})[/／][ \t\u3000]*(.+)")
+_reference = re.compile(r"&(#[0-9]{1,6};?|#x[0-9A-Fa-f]{1,6};?|[A-Za-z][A-Za-z0-9]{1,30};?)")
+
+
+_written = re.compile("&(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
 
 
 def decode_credit(s: str) -> str:
-    """HTML references decoded before any split; the named semicolon stays as it is written."""
-    return html.unescape(re.sub(r"&semi;", "\x01", s, flags=re.IGNORECASE)).replace("\x01", "&semi;") if "&" in s else s
+    """HTML references decoded before any split; the named semicolon, and what has no semicolon, stays as it is written."""
+
+    def character(m: re.Match) -> str:
+        known = m[0][1] == "#" or (m[0][1:] in html5 and m[0].lower() != "&semi;")
+        return html.unescape(m[0]) if known else m[0]
+
+    return _written.sub(character, s) if "&" in s else s
+
 
+def has_reference(s: str) -> bool:
+    """Whether what is left of an HTML reference stands in the text; a name between two people's & is none."""
+    return any(m[0] == "#" or m.rstrip(";") + ";" in html5 for m in _reference.findall(s))
 
-def _cut(s: str) -> list[str]:
-    """Split at delimiters outside brackets; with brackets that do not pair, at every delimiter."""
-    depth, out = 0, [""]
+
+def _outside_brackets(s: str) -> list[str]:
+    """Split at delimiters outside brackets; where brackets do not pair, at every delimiter. A degree stays with its name."""
+    depth, out, full_comma = 0, [""], [False]
     for c in s:
         depth = max(0, depth + (c in OPEN) - (c in CLOSE))
         if c in DELIMITERS and not depth:
             out.append("")
+            full_comma.append(c == "，")
         else:
             out[-1] += c
-    return re.split(f"[{DELIMITERS}]", s) if depth else out
-
-
-def split_credit(raw: str | None) -> list[tuple[str, str, str | None]]:
-    """(name, credit as written, role) of each person in a credit line."""
-    s = decode_credit((raw or "").strip())
-    shared: list[str] = []
-    m = _labels.match(s)
-    if m and m.group(1) and re.search(r"[/／、,&]", m.group(1)) and not _next_label.search(m.group(2)) and not re.search(rf"(?:{_role})[:：]", m.group(2)):
-        shared = list(dict.fromkeys(ROLES[w] for w in re.split(r"[/／、,&]", m.group(1))))
-        s = m.group(2)
-    out = []
-    for part in _next_label.split(s):
-        label = _labels.match(part.strip())
-        role = None
-        if label:
-            word = label.group(1) or label.group(3)
-            role = ROLES.get(re.split(r"[/／、,&]", word)[0])
-            part = label.group(2) or label.group(4)
-        for piece in _cut(part):
-            for credit in _suffix.sub("\\1\x02", piece).split("\x02"):
-                credit = credit.strip(" \u3000\t,，、;；/／\\&")
-                if not credit or credit in ROLES or credit in FILLERS:
-                    continue
-                name, own = credit, role
-                tail = _tail.match(credit)
-                if tail and len(tail.group(1).strip()) >= 2 and tail.group(1).strip() not in ROLES:
-                    name, own = tail.group(1).strip(), ROLES[tail.group(2) or tail.group(3)]
-                name = re.sub(r"\s*等$", "", name)
-                out += [(name, credit, r) for r in (shared or [own])]
-    return out
-
-
-def split_credits(credit: Column) -> Column:
-    """array(struct(name, credit, role)) of a credit column."""
-
-    @F.pandas_udf("array<struct<name:string,credit:string,role:string>>")
-    def split(lines: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("name", "credit", "role"), p, strict=True)) for p in split_credit(x)] for x in lines], dtype=object)
-
-    return split(credit)
+    if depth:
+        return re.split(f"[{DELIMITERS}]", s)
+    whole: list[str] = []
+    for part, by_comma in zip(out, full_comma, strict=True):
+        if whole and by_comma and SUFFIXES.fullmatch(part):
+            whole[-1] += "，" + part
+        else:
+            whole.append(part)
+    return whole
+
+
+def _roles(label: str) -> list[str]:
+    """The roles of a label; none unless every part of it is a role word."""
+    roles = [ROLE_WORDS.get(p) for p in re.split(LABEL_CUTS, re.sub(r"[\s\u3000]+", "", label)) if p]
+    return [] if None in roles else roles
+
+
+def _shared_label(s: str) -> tuple[list[str], str]:
+    """Several roles in front of a line that has no other label: they hold for everybody in it."""
+    m = _label.match(s)
+    roles = _roles(m[1] or m[3]) if m else []
+    rest = (m[2] or m[4]).strip() if m else ""
+    if len(roles) < 2 or any((o := re.match("([^:：]{1,8})[:：]", p.strip())) and _roles(o[1]) for p in re.split("[、；;]", rest)):
+        return [], s
+    return list(dict.fromkeys(roles)), rest
+
+
+def segments(line: str | None) -> tuple[list[str], list[str]]:
+    """The pieces of a credit line that name one person each, and the roles that hold for all of them."""
+    shared, s = _shared_label(decode_credit(line or "").strip())
+    pieces = (credit for part in _outside_brackets(s) for start in _role_start.split(part) for credit in _credit_end.sub("\\1\x02", start).split("\x02"))
+    return [p for p in (c.strip(_edges) for c in pieces) if p], shared
+
+
+class _Credits:
+    """Table function: a row for each piece of a credit line."""
+
+    def eval(self, line: str):
+        found, shared = segments(line)
+        for place, piece in enumerate(found):
+            yield place, piece, len(segments(piece)[0]), has_reference(piece), shared or None
+
+
+credit_pieces = F.udtf(_Credits, returnType="piece_no int, piece string, n_people int, fragment boolean, shared array<string>", useArrow=True)
 
 
 def people(df: DataFrame, key: str, credit: str) -> DataFrame:
-    """key, place, name, credit and role of every person of a credit column."""
-    return df.select(key, F.posexplode(split_credits(F.col(credit))).alias("place", "p")).select(key, "place", "p.name", "p.credit", "p.role")
+    """key, place, name, credit, role, kind and hold of every person of a credit column.
+
+    A lateral join with a table function gives the pieces of each line; column expressions judge them. Pieces that are
+    role words or fillers are nobody. A held piece keeps its name as written and gives no role of its own. Places rise
+    along the line; pieces that are nobody leave a gap.
+    """
+    lines = df.select(F.col(key).alias("of"), F.col(credit).alias("credit_line"))
+    cut = lines.lateralJoin(credit_pieces(F.col("credit_line").outer()))
+    judged = cut.select("of", "piece_no", "piece", "shared", name_kind(F.col("piece"), F.col("n_people"), F.col("fragment")).alias("k"))
+    held = F.col("k.hold").isNotNull()
+    somebody = judged.where(~F.col("k.kind").isin("role_word", "filler") & (held | (F.col("k.clean") != "")))
+    name = F.when(held, F.col("piece")).otherwise(F.col("k.clean"))
+    roles = F.coalesce("shared", F.array(F.when(~held, F.col("k.role"))))
+    rows = somebody.select("of", "piece_no", name.alias("name"), F.col("piece").alias("credit"), F.size(roles).alias("n"), F.posexplode(roles).alias("role_no", "role"), F.col("k.kind").alias("kind"), F.col("k.hold").alias("hold"))
+    return rows.select(F.col("of").alias(key), (F.col("piece_no") * F.col("n") + F.col("role_no")).alias("place"), "name", "credit", "role", "kind", "hold")

@@ -41,10 +41,17 @@ BLANKS = r"[\s\x{3000}]+"
 DANGLING = r"(?:[\s\x{3000}][等合和與及暨]|[,，、；;/／\\\-－—]|[◎○●★☆◆·‧．]|\.+)$"
 MANY, HALF = r"[&＆.．、,，/／]", r"[和合與及暨等]$"
 LONG, SHORTEST = 25, 2
+COLON_LABEL, SLASH_LABEL = r"^([^:：]{1,12})[:：][ \t\x{3000}]*(.+)$", r"^([^:：/／]{1,12})[/／][ \t\x{3000}]*(.+)$"
+LABEL_CUTS = r"[/／\\、；;,，&＆]"
 SENTENCE, SPEC, LABEL = r"[。！？]|\.{3}|…", r"(?i)\d+(?:\.\d+)?\s*(?:cm|mm|公分|頁|元|×)", r"^([^:：]{1,8})[:：]"
 CUTS = r"[/／\\、；;,，&＆:：\s\x{3000}]+"
-ISBN = r"97[89][0-9\- ]{10,14}"
-BIBLIO = r"(?:ISBN|isbn|書號|國際書號)"
+ISBN = r"97[89](?:[\s\x{3000}\-]?\d){10}"
+BIBLIO = r"(?:ISBN|書號|书号)"
+#: Behind a name: a book number with its label, or a publisher with a colon.
+BOOK_TAILS = (r"^(.+?)[\s\x{3000}]*(?:" + BIBLIO + r"[\s\x{3000}]*[:：]?[\s\x{3000}]*" + ISBN + r".*)$", r"^(.+?)[\s\x{3000}]+(?:出版[\s\x{3000}]*[:：].*)$")
+BOOK_ONLY = r"^(?:" + BIBLIO + r"[\s\x{3000}]*[:：]?[\s\x{3000}]*)?" + ISBN + "$"
+#: What is left of an HTML reference, whatever its name.
+REFERENCE = r"&#?[A-Za-z0-9]{1,8};?$"
 
 
 def _words(values) -> Column:
@@ -63,6 +70,20 @@ def trimmed(s: Column) -> Column:
     return F.regexp_replace(s, r"^[\s\x{3000}]+|[\s\x{3000}]+$", "")
 
 
+def label_roles(label: Column) -> Column:
+    """The roles of a label such as one word, or several joined; null unless every part is a role word."""
+    parts = F.filter(F.split(F.regexp_replace(label, BLANKS, ""), LABEL_CUTS), lambda p: p != "")
+    return F.when((F.size(parts) > 0) & F.forall(parts, lambda p: role_of(p).isNotNull()), F.transform(parts, role_of))
+
+
+def role_prefix(s: Column) -> Column:
+    """struct(role, rest) of a role label in front, else null: behind it a colon, or without any colon a slash in its place."""
+    by_colon = s.rlike(COLON_LABEL)
+    label = F.when(by_colon, F.regexp_extract(s, COLON_LABEL, 1)).otherwise(F.regexp_extract(s, SLASH_LABEL, 1))
+    rest = F.when(by_colon, F.regexp_extract(s, COLON_LABEL, 2)).otherwise(F.regexp_extract(s, SLASH_LABEL, 2))
+    return F.transform(F.array(label_roles(label)), lambda r: F.when(r.isNotNull(), F.struct(r[0].alias("role"), trimmed(rest).alias("rest"))))[0]
+
+
 def tail_note(s: Column) -> Column:
     """struct(clean, role, note, hold): the longest note at the end taken off, or why it must not be."""
     s = trimmed(s)
@@ -89,10 +110,9 @@ def tail_note(s: Column) -> Column:
 def long_text_flags(s: Column) -> Column:
     """Why a text is rather a passage than a name; empty for a name."""
     s = trimmed(s)
-    label = F.regexp_replace(F.regexp_extract(s, LABEL, 1), BLANKS, "")
-    parts = F.filter(F.split(label, "[/／、,，&＆]+"), lambda p: p != "")
-    no_label = (label != "") & ((F.size(parts) == 0) | F.exists(parts, lambda p: role_of(p).isNull()))
-    depth = F.char_length(F.regexp_replace(s, r"[^(（\[［【〔《〈「『]", "")) - F.char_length(F.regexp_replace(s, r"[^)）\]］】〕》〉」』]", ""))
+    label = F.regexp_extract(s, LABEL, 1)
+    no_label = (label != "") & label_roles(label).isNull()
+    depth = F.char_length(F.regexp_replace(s, r"[^(（\[［【]", "")) - F.char_length(F.regexp_replace(s, r"[^)）\]］】]", ""))
     flags = F.array(
         F.when(F.char_length(s) > LONG, "long"), F.when(s.rlike(SENTENCE), "sentence"), F.when(F.char_length(s) - F.char_length(F.translate(s, ",，", "")) >= 2, "commas"),
         F.when(depth != 0, "brackets"), F.when(no_label, "label"), F.when(s.rlike(SPEC), "measures"),
@@ -109,50 +129,59 @@ def trailing_role(s: Column) -> Column:
     return F.struct(F.when(hit & ~spread, name).otherwise(s).alias("clean"), F.when(hit & ~spread, role_of(word)).alias("role"), F.when(hit & spread, "spread").alias("hold"))
 
 
-def name_kind(s: Column, people: Column) -> Column:
-    """struct(kind, clean, role, hold) of one name; ``people`` is how many people the line splits into.
+def name_kind(s: Column, people: Column, fragment: Column | None = None) -> Column:
+    """struct(kind, clean, role, hold) of one name.
 
+    ``people`` is how many people the line splits into; ``fragment`` says whether it holds what is left of an HTML
+    reference (by default by its form at the end). A name that is held stays as it was written.
     In this order: role_word, fullwidth_semi, needs_resplit, entity, filler, long_text, role_prefix, tail_note, clean.
     """
     s = trimmed(F.coalesce(s, F.lit("")))
-    parts = F.filter(F.split(s, CUTS), lambda p: p != "")
-    only_roles = (F.size(parts) >= 2) & F.forall(parts, lambda p: role_of(p).isNotNull() | p.isin(*FILLERS))
-    bare = F.regexp_replace(s, BLANKS, "")
+
+    def only_roles(whole: Column) -> Column:
+        parts = F.filter(F.split(whole, CUTS), lambda p: p != "")
+        return F.transform(F.array(parts), lambda ps: (F.size(ps) >= 2) & F.forall(ps, lambda p: role_of(p).isNotNull() | p.isin(*FILLERS)))[0]
+
     made = lambda kind, clean=s, role=None, hold=None: F.struct(F.lit(kind).alias("kind"), clean.alias("clean"), (F.lit(None).cast("string") if role is None else role).alias("role"), (F.lit(None).cast("string") if hold is None else hold).alias("hold"))
     empty = F.lit("")
-    label = F.regexp_extract(s, LABEL, 1)
-    rest = trimmed(F.regexp_replace(s, LABEL, ""))
-    prefixed = (label != "") & role_of(trimmed(label)).isNotNull() & (rest != "")
-    body = F.when(prefixed, rest).otherwise(s)
-    biblio = r"^(.+?)[\s\x{3000}]*(" + BIBLIO + r"[\s\x{3000}]*[:：]?[\s\x{3000}]*" + ISBN + r".*)$"
-
-    def notes(b: Column) -> Column:
-        def tail(w: Column) -> Column:
-            def final(t: Column) -> Column:
-                changed = prefixed | w["role"].isNotNull() | t["note"].isNotNull()
-                kind = F.when(w["role"].isNotNull() | t["note"].isNotNull() | t["hold"].isNotNull(), "tail_note").when(prefixed, "role_prefix").otherwise("clean")
-                dirty = changed & t["clean"].rlike(r"[:：/／\\]")
-                hold = F.when(t["hold"].isNotNull(), t["hold"]).when(dirty, "structure")
-                role = F.coalesce(F.when(prefixed, role_of(trimmed(label))), w["role"], t["role"])
-                return F.struct(kind.alias("kind"), F.when(hold.isNull(), t["clean"]).otherwise(s).alias("clean"), F.when(hold.isNull(), role).alias("role"), hold.alias("hold"))
-
-            return F.transform(F.array(tail_note(w["clean"])), final)[0]
-
-        return F.transform(F.array(trailing_role(b)), tail)[0]
-
-    cut = trimmed(F.regexp_extract(body, biblio, 1))
+
+    def final(whole: Column, label: Column, word: Column, note: Column) -> Column:
+        stripped = label.isNotNull() | word["role"].isNotNull() | note["note"].isNotNull()
+        kind = F.when(word["role"].isNotNull() | note["note"].isNotNull() | note["hold"].isNotNull(), "tail_note").when(label.isNotNull(), "role_prefix").otherwise("clean")
+        hold = F.when(note["hold"].isNotNull(), note["hold"]).when(stripped & note["clean"].rlike(r"[:：/／\\]"), "structure")
+        role = F.coalesce(label["role"], word["role"], note["role"])
+        return F.struct(kind.alias("kind"), F.when(hold.isNull(), note["clean"]).otherwise(whole).alias("clean"), F.when(hold.isNull(), role).alias("role"), hold.alias("hold"))
+
+    def notes(whole: Column) -> Column:
+        """A label in front, a role word behind a separator and a note at the end taken off; each step is bound, so it runs once."""
+        behind = lambda label, word: F.transform(F.array(tail_note(word["clean"])), lambda note: final(whole, label, word, note))[0]
+        body = lambda label: F.when(label.isNull(), whole).otherwise(label["rest"])
+        named = lambda label: F.transform(F.array(trailing_role(body(label))), lambda word: behind(label, word))[0]
+        short = lambda label: label.isNotNull() & (F.char_length(label["rest"]) < SHORTEST)
+        return F.transform(F.array(role_prefix(whole)), lambda label: F.when(short(label), made("role_prefix", whole, hold=F.lit("short"))).otherwise(named(label)))[0]
+
+    def judged(whole: Column) -> Column:
+        flags = long_text_flags(whole)
+        return (
+            F.when(only_roles(whole), made("role_word", empty))
+            .when(F.regexp_replace(whole, BLANKS, "").isin(*FILLERS), made("filler", empty))
+            .when(role_of(whole).isNotNull(), made("role_word", empty, role_of(whole)))
+            .when(F.size(flags) > 0, made("long_text", whole, hold=F.array_join(flags, ",")))
+            .otherwise(notes(whole))
+        )
+
+    heads = [trimmed(F.regexp_extract(s, tail, 1)) for tail in BOOK_TAILS]
+    cut = F.when(heads[0] != "", heads[0]).otherwise(heads[1])
+    broken = s.rlike(REFERENCE) if fragment is None else fragment
+    taken = lambda n: F.when((cut != "") & (n["kind"] == "clean") & n["hold"].isNull(), made("tail_note", n["clean"], n["role"])).otherwise(n)
     return (
         F.when(s == "", made("clean"))
-        .when(only_roles, made("role_word", empty))
+        .when(only_roles(s), made("role_word", empty))
         .when(F.contains(s, F.lit("；")), made("fullwidth_semi", hold=F.lit("split")))
         .when(people > 1, made("needs_resplit", hold=F.lit("split")))
-        .when(s.rlike(r"&#?[A-Za-z0-9]{1,8};?$"), made("entity", hold=F.lit("decode")))
-        .when(s.rlike("^(?:" + BIBLIO + r"[\s\x{3000}]*[:：]?[\s\x{3000}]*)?" + ISBN + "$"), made("filler", empty))
-        .when(cut != "", F.transform(F.array(notes(cut)), lambda n: F.when(n["kind"] == "clean", made("tail_note", n["clean"], n["role"])).otherwise(n))[0])
-        .when(bare.isin(*FILLERS), made("filler", empty))
-        .when(role_of(s).isNotNull(), made("role_word", empty, role_of(s)))
-        .when(F.size(long_text_flags(s)) > 0, made("long_text", hold=F.array_join(long_text_flags(s), ",")))
-        .otherwise(notes(body))
+        .when(broken, made("entity", hold=F.lit("decode")))
+        .when(s.rlike(BOOK_ONLY), made("filler", empty))
+        .otherwise(F.transform(F.transform(F.array(F.when(cut != "", cut).otherwise(s)), judged), taken)[0])
     )
 
 

@@ -228,15 +228,18 @@ def pair_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["o_custkey", "o_orderdate"]).where("a < b").select("a", "b", names.judge(F.col("aa"), F.col("ab"), F.col("sa"), F.col("sb")).alias("verdict"))
 
 
+_CREDITS = ["文、圖:王小明", "文:江淑文\\圖:陳嘉鈴", "巴刻著 趙中輝譯", "賴特（N. T. Wright；湯姆）；李四 等", "A&#59;B", "陳志文"]
+
+
 @query("""
-select * from (values (0, 0, '王小明', '王小明', 'author'), (0, 1, '王小明', '王小明', 'illustrator'), (1, 0, '江淑文', '江淑文', 'author'), (1, 1, '陳嘉鈴', '陳嘉鈴', 'illustrator'), (2, 0, '巴刻', '巴刻著', 'author'), (2, 1, '趙中輝', '趙中輝譯', 'translator'),
- (3, 0, '賴特（N. T. Wright；湯姆）', '賴特（N. T. Wright；湯姆）', null), (3, 1, '李四', '李四 等', null), (4, 0, 'A', 'A', null), (4, 1, 'B', 'B', null), (5, 0, '陳志文', '陳志文', null)) as t(line, place, name, credit, role)
+select s_suppkey, place, name, credit, role from supplier join (values (0, 0, '王小明', '王小明', 'author'), (0, 1, '王小明', '王小明', 'illustrator'), (1, 0, '江淑文', '文:江淑文', 'author'), (1, 1, '陳嘉鈴', '圖:陳嘉鈴', 'illustrator'), (2, 0, '巴刻', '巴刻著', 'author'), (2, 1, '趙中輝', '趙中輝譯', 'translator'),
+ (3, 0, '賴特（N. T. Wright；湯姆）', '賴特（N. T. Wright；湯姆）', null), (3, 1, '李四', '李四 等', null), (4, 0, 'A', 'A', null), (4, 1, 'B', 'B', null), (5, 0, '陳志文', '陳志文', null)) as t(line, place, name, credit, role) on line = s_suppkey % 6
 """)
 def name_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Credit lines of a fixture split into people with roles."""
-    lines = ["文、圖:王小明", "文:江淑文\\圖:陳嘉鈴", "巴刻著 趙中輝譯", "賴特（N. T. Wright；湯姆）；李四 等", "A&#59;B", "陳志文"]
-    df = spark.createDataFrame(list(enumerate(lines)), "line long, credit string")
-    return names.people(df, "line", "credit")
+    """Each supplier's credit line split into people with roles."""
+    line = F.get(F.array(*[F.lit(c) for c in _CREDITS]), (F.col("s_suppkey") % len(_CREDITS)).cast("int"))
+    df = parquet(spark, sf_dir, "supplier").select("s_suppkey", line.alias("credit"))
+    return names.people(df, "s_suppkey", "credit").select("s_suppkey", "place", "name", "credit", "role")
 
 
 @query("""

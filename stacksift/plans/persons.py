@@ -53,13 +53,15 @@ def name_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("c_custkey", persons.tail_note(F.col("line")).alias("t")).select("c_custkey", "t.clean", "t.role", "t.note", "t.hold")
 
 
-_OPEN, _CLOSE = "(（[［【〔《〈「『", ")）]］】〕》〉」』"
+_OPEN, _CLOSE = "(（[［【", ")）]］】"
 _count = lambda chars: f"len(list_filter(string_split(s, ''), lambda x: contains('{chars}', x) and x <> ''))"
+_LABEL_PARTS = r"list_filter(regexp_split_to_array(regexp_replace({0}, '[\s\x{{3000}}]+', '', 'g'), '[/／\\、；;,，&＆]'), lambda x: x <> '')"
+_NO_ROLES = "len(list_filter({0}, lambda x: map_contains({1}, x))) < greatest(1, len({0}))"
 _FLAGS = rf"""list_filter([case when length(s) > 25 then 'long' end, case when regexp_matches(s, '[。！？]|\.\.\.|…') then 'sentence' end, case when {_count(",，")} >= 2 then 'commas' end,
  case when {_count(_OPEN)} <> {_count(_CLOSE)} then 'brackets' end,
- case when label <> '' and len(list_filter(list_filter(regexp_split_to_array(label, '[/／、,，&＆]+'), lambda x: x <> ''), lambda x: map_contains({_ROLES}, x))) < greatest(1, len(list_filter(regexp_split_to_array(label, '[/／、,，&＆]+'), lambda x: x <> ''))) then 'label' end,
+ case when label <> '' and {_NO_ROLES.format(_LABEL_PARTS.format("label"), _ROLES)} then 'label' end,
  case when regexp_matches(lower(s), '[0-9]+(\.[0-9]+)?\s*(cm|mm|公分|頁|元|×)') then 'measures' end], lambda x: x is not null)"""
-_LABELLED = rf"""select c_custkey, s, regexp_replace(regexp_extract(s, '^([^:：]{{1,8}})[:：]', 1), '[\s\x{{3000}}]+', '', 'g') as label"""
+_LABELLED = r"""select c_custkey, s, regexp_extract(s, '^([^:：]{1,8})[:：]', 1) as label"""
 
 
 @query(f"with {_CTE}, src as ({_LABELLED} from (select c_custkey, {_TRIM.format('line')} as s from lines)) select c_custkey, array_to_string({_FLAGS}, ',') as flags from src where len({_FLAGS}) > 0")
@@ -69,29 +71,37 @@ def long_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ALT = "|".join(sorted(persons.ROLE_WORDS, key=lambda w: (-len(w), w)))
+_ISBN13 = r"97[89]([\s\x{3000}-]?[0-9]){10}"
+_trim = lambda x: r"regexp_replace(" + x + r", '^[\s\x{3000}]+|[\s\x{3000}]+$', '', 'g')"
+_head = lambda tail: _trim(f"regexp_extract(s0, '{tail}', 1)")
+_labelled = lambda n: f"case when colon then regexp_extract(w, '{persons.COLON_LABEL}', {n}) else regexp_extract(w, '{persons.SLASH_LABEL}', {n}) end"
+_WORD = r"regexp_extract(w0, '^(..+?)[\s\x{3000}－/／\\-]+(" + _ALT + ")$', "
 _KIND = rf"""with {_CTE},
 base as (select c_custkey, {_TRIM.format('line')} as s0 from lines),
-parts as (select *, list_filter(regexp_split_to_array(s0, '[/／\\、；;,，&＆:：\s\x{{3000}}]+'), lambda x: x <> '') as p, regexp_extract(s0, '^([^:：]{{1,8}})[:：]', 1) as l0 from base),
-pre as (select *, l0 <> '' and map_contains({_ROLES}, {_TRIM.format('l0')}) and {_TRIM.format("regexp_replace(s0, '^[^:：]{1,8}[:：]', '')").replace('{{', '{').replace('}}', '}')} <> '' as prefixed from parts),
-body as (select *, case when prefixed then {_TRIM.format("regexp_replace(s0, '^[^:：]{1,8}[:：]', '')").replace('{{', '{').replace('}}', '}')} else s0 end as b0 from pre),
-cut as (select *, {_TRIM.format("regexp_extract(b0, '^(.+?)[\\s\\x{3000}]*((?:ISBN|isbn|書號|國際書號)[\\s\\x{3000}]*[:：]?[\\s\\x{3000}]*97[89][0-9 -]{10,14}.*)$', 1)").replace('{{', '{').replace('}}', '}')} as c0 from body),
-w1 as (select *, case when c0 <> '' then c0 else b0 end as w0 from cut),
-w2 as (select *, {_TRIM.format(f"regexp_extract(w0, '^(..+?)[\\s\\x{{3000}}－/／\\\\-]+({_ALT})$', 1)")} as wn, regexp_extract(w0, '^(..+?)[\s\x{{3000}}－/／\\-]+({_ALT})$', 2) as ww from w1),
+parts as (select *, list_filter(regexp_split_to_array(s0, '[/／\\、；;,，&＆:：\s\x{{3000}}]+'), lambda x: x <> '') as p from base),
+cut as (select *, coalesce(nullif({_head(r"^(.+?)[\s\x{3000}]*((ISBN|書號|书号)[\s\x{3000}]*[:：]?[\s\x{3000}]*" + _ISBN13 + ".*)$")}, ''), {_head(r"^(.+?)[\s\x{3000}]+(出版[\s\x{3000}]*[:：].*)$")}) as c0 from parts),
+whole as (select *, case when c0 <> '' then c0 else s0 end as w from cut),
+label as (select *, regexp_matches(w, '{persons.COLON_LABEL}') as colon from whole),
+l2 as (select *, {_labelled(1)} as l0, {_trim(_labelled(2))} as r0 from label),
+pre as (select *, not {_NO_ROLES.format(_LABEL_PARTS.format("l0"), _ROLES)} as prefixed, {_ROLES}[({_LABEL_PARTS.format("l0")})[1]] as l_role from l2),
+w1 as (select *, case when prefixed then r0 else w end as w0 from pre),
+w2 as (select *, {_trim(_WORD + "1)")} as wn, {_WORD}2) as ww from w1),
 w3 as (select *, ww <> '' and length(wn) >= 2 and not map_contains({_ROLES}, wn) as hit, ww in ('文', '圖', '作') and regexp_matches(wn, '^\S([\s\x{{3000}}]+\S)+$') as spread from w2),
 w4 as (select *, case when hit and not spread then wn else w0 end as s, case when hit and not spread then {_ROLES}[ww] end as w_role from w3),
 {_tail_sql('w4')},
-flags as ({_LABELLED} from (select c_custkey, s0 as s from base)),
+flags as ({_LABELLED} from (select c_custkey, w as s from whole)),
 f as (select c_custkey, {_FLAGS} as fl from flags),
 j as (select w4.*, t_hold, t_note, t_clean, t_role, fl, (prefixed or w_role is not null or t_note is not null) and regexp_matches(t_clean, '[:：/／\\]') as dirty from w4 join tails using (c_custkey) join f using (c_custkey)),
 k as (select *, case when s0 = '' then 'clean'
  when len(p) >= 2 and len(list_filter(p, lambda x: map_contains({_ROLES}, x) or list_contains({_sql(persons.FILLERS)}, x))) = len(p) then 'role_word'
  when contains(s0, '；') then 'fullwidth_semi' when regexp_matches(s0, '[;、]') then 'needs_resplit' when regexp_matches(s0, '&#?[A-Za-z0-9]{{1,8}};?$') then 'entity'
- when regexp_matches(s0, '^((ISBN|isbn|書號|國際書號)[\s\x{{3000}}]*[:：]?[\s\x{{3000}}]*)?97[89][0-9 -]{{10,14}}$') then 'filler'
- when c0 <> '' then 'notes' when list_contains({_sql(persons.FILLERS)}, regexp_replace(s0, '[\s\x{{3000}}]+', '', 'g')) then 'filler' when map_contains({_ROLES}, s0) then 'role_word' when len(fl) > 0 then 'long_text' else 'notes' end as first_kind from j)
+ when regexp_matches(s0, '^((ISBN|書號|书号)[\s\x{{3000}}]*[:：]?[\s\x{{3000}}]*)?{_ISBN13}$') then 'filler'
+ when list_contains({_sql(persons.FILLERS)}, regexp_replace(w, '[\s\x{{3000}}]+', '', 'g')) then 'filler' when map_contains({_ROLES}, w) then 'role_word' when len(fl) > 0 then 'long_text'
+ when prefixed and length(r0) < 2 then 'role_prefix' else 'notes' end as first_kind from j)
 select c_custkey, case when first_kind <> 'notes' then first_kind when w_role is not null or t_note is not null or t_hold is not null then 'tail_note' when prefixed then 'role_prefix' when c0 <> '' then 'tail_note' else 'clean' end as kind,
- case when first_kind in ('role_word', 'filler') then '' when first_kind <> 'notes' then s0 when t_hold is not null or dirty then s0 else t_clean end as clean,
- case when first_kind = 'role_word' and len(p) < 2 then {_ROLES}[s0] when first_kind <> 'notes' or t_hold is not null or dirty then null else coalesce(case when prefixed then {_ROLES}[{_TRIM.format('l0')}] end, w_role, t_role) end as role,
- case when first_kind in ('fullwidth_semi', 'needs_resplit') then 'split' when first_kind = 'entity' then 'decode' when first_kind = 'long_text' then array_to_string(fl, ',') when first_kind <> 'notes' then null when t_hold is not null then t_hold when dirty then 'structure' end as hold
+ case when first_kind in ('role_word', 'filler') then '' when first_kind <> 'notes' or t_hold is not null or dirty then w else t_clean end as clean,
+ case when first_kind = 'role_word' and len(p) < 2 then {_ROLES}[w] when first_kind <> 'notes' or t_hold is not null or dirty then null else coalesce(case when prefixed then l_role end, w_role, t_role) end as role,
+ case when first_kind in ('fullwidth_semi', 'needs_resplit') then 'split' when first_kind = 'entity' then 'decode' when first_kind = 'long_text' then array_to_string(fl, ',') when first_kind = 'role_prefix' then 'short' when first_kind <> 'notes' then null when t_hold is not null then t_hold when dirty then 'structure' end as hold
 from k"""
 
 
@@ -148,3 +158,42 @@ def credit_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.when(kind == 0, F.concat(F.lit("文:甲"), k, F.lit("、圖:乙丙"))).when(kind == 1, F.concat(F.lit("甲"), k, F.lit("著 乙丙譯"))).when(kind == 2, F.concat(F.lit("甲"), k, F.lit(";乙丙"))).otherwise(F.concat(F.lit("甲"), k))
     c = parquet(spark, sf_dir, "customer").select("c_custkey", line.alias("credit"))
     return names.people(c, "c_custkey", "credit").select("c_custkey", "place", "name", "role")
+
+
+#: Credit lines by form, each with the people in it: place, name, credit, role, kind, hold. {k} is the key.
+FORMS = [
+    ("R. FUREY{k}，PH.D.", [(0, "R. FUREY{k}，PH.D.", "R. FUREY{k}，PH.D.", None, "clean", None)]),
+    ("M. Kennedy{k}，S.J.；李四{k}", [(0, "M. Kennedy{k}，S.J.", "M. Kennedy{k}，S.J.", None, "clean", None), (1, "李四{k}", "李四{k}", None, "clean", None)]),
+    ("責任編輯：李四{k}", [(0, "李四{k}", "責任編輯：李四{k}", "editor", "role_prefix", None)]),
+    ("著者：王五{k}、譯者：趙六", [(0, "王五{k}", "著者：王五{k}", "author", "role_prefix", None), (1, "趙六", "譯者：趙六", "translator", "role_prefix", None)]),
+    ("攝影／陳大{k}", [(0, "陳大{k}", "攝影／陳大{k}", "illustrator", "role_prefix", None)]),
+    ("李四{k}；Jr.", [(0, "李四{k}", "李四{k}", None, "clean", None), (1, "Jr.", "Jr.", None, "clean", None)]),
+    ("吳小{k}新編", [(0, "吳小{k}新編", "吳小{k}新編", None, "tail_note", "glued")]),
+    ("曾思瀚&鄧{k}和著", [(0, "曾思瀚&鄧{k}和著", "曾思瀚&鄧{k}和著", None, "tail_note", "half")]),
+    ("文、圖：王小{k}", [(0, "王小{k}", "王小{k}", "author", "clean", None), (1, "王小{k}", "王小{k}", "illustrator", "clean", None)]),
+    ("文/圖", []),
+    ("孔毅{k}（R. Kung，N.）；等", [(0, "孔毅{k}（R. Kung，N.）", "孔毅{k}（R. Kung，N.）", None, "clean", None)]),
+    ("CLOUD&TOWNSEND{k}", [(0, "CLOUD&TOWNSEND{k}", "CLOUD&TOWNSEND{k}", None, "clean", None)]),
+    ("{k}Gr&uuml", [(0, "{k}Gr&uuml", "{k}Gr&uuml", None, "entity", "decode")]),
+    ("{k}Gr&uuml;n 著", [(0, "{k}Grün", "{k}Grün 著", "author", "tail_note", None)]),
+    ("唐澄{k} ISBN ： 9789865524272", [(0, "唐澄{k}", "唐澄{k} ISBN ： 9789865524272", None, "tail_note", None)]),
+    ("王小{k} 出版：校園", [(0, "王小{k}", "王小{k} 出版：校園", None, "tail_note", None)]),
+    ("9789864001682、文亮{k}", [(1, "文亮{k}", "文亮{k}", None, "clean", None)]),
+    ("李志{k}，張心瑋合著 書號：9789811438141", [(0, "李志{k}", "李志{k}", None, "clean", None), (1, "張心瑋", "張心瑋合著", "author", "tail_note", None)]),
+    ("序 走在路上的你……{k}", [(0, "序 走在路上的你……{k}", "序 走在路上的你……{k}", None, "long_text", "sentence")]),
+    ("王編", [(0, "王編", "王編", None, "tail_note", "short")]),
+    ("文:江淑{k}\\圖:陳嘉鈴", [(0, "江淑{k}", "文:江淑{k}", "author", "role_prefix", None), (1, "陳嘉鈴", "圖:陳嘉鈴", "illustrator", "role_prefix", None)]),
+    ("甲乙{k}著 (John) 丙丁譯", [(0, "甲乙{k}著 (John) 丙丁譯", "甲乙{k}著 (John) 丙丁譯", None, "tail_note", "two credits")]),
+]
+_text = lambda v: "null" if v is None else "'" + str(v).replace("'", "''") + "'"
+_FORM_ROWS = ", ".join(f"({i}, {p[0]}, {', '.join(map(_text, p[1:]))})" for i, (_, people) in enumerate(FORMS) for p in people)
+
+
+@query(f"""select c_custkey, place, replace(name, '{{k}}', c_custkey::varchar) as name, replace(credit, '{{k}}', c_custkey::varchar) as credit, role, kind, hold
+from customer join (values {_FORM_ROWS}) as t(form, place, name, credit, role, kind, hold) on form = c_custkey % {len(FORMS)}""")
+def credit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credit lines of every form through the table function: who stands in them, in which role, and what is held for a reader."""
+    k = F.col("c_custkey")
+    line = F.get(F.array(*[F.lit(f) for f, _ in FORMS]), (k % len(FORMS)).cast("int"))
+    c = parquet(spark, sf_dir, "customer").select("c_custkey", F.replace(line, F.lit("{k}"), k.cast("string")).alias("credit"))
+    return names.people(c, "c_custkey", "credit")

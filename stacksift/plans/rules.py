@@ -77,15 +77,20 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "pages").select("page_id", fields.url_key(F.col("url")).alias("url_key"), fields.cover_url(F.col("url")).alias("cover"))
 
 
+_SPECS = ["作者：王{k}\n重量: {k}克\n作者: 另一人\nhttp://x", "no labels here", "书名：圣经{k}\n: empty"]
+
+
 @query("""
-select * from (values (0, '{"作者":"王小明","重量":"850克"}', 850, false), (1, '{}', null, false), (2, '{"书名":"圣经"}', null, true)) as t(line, labels, grams, simplified)
+select s_suppkey, replace(labels, '{k}', s_suppkey::varchar) as labels, case when form = 0 then s_suppkey::double end as grams, form = 2 as simplified
+from supplier join (values (0, '{"作者":"王{k}","重量":"{k}克"}'), (1, '{}'), (2, '{"书名":"圣经{k}"}')) as t(form, labels) on form = s_suppkey % 3
 """)
 def label_harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label lines of a fixture as maps, weights and script hints."""
-    rows = ["作者：王小明\n重量: 850克\n作者: 另一人\nhttp://x", "no labels here", "书名：圣经\n: empty"]
-    df = spark.createDataFrame(list(enumerate(rows)), "line long, spec string")
-    m = df.select("line", fields.label_lines(F.col("spec"), ("http",)).alias("m"), fields.looks_simplified(F.col("spec")).alias("simplified"))
-    return m.select("line", F.to_json("m").alias("labels"), fields.grams(F.get(F.map_values(F.map_filter("m", lambda k, v: k == "重量")), F.lit(0))).alias("grams"), "simplified")
+    """Label lines as maps, weights and script hints."""
+    k = F.col("s_suppkey")
+    spec = F.replace(F.get(F.array(*[F.lit(x) for x in _SPECS]), (k % 3).cast("int")), F.lit("{k}"), k.cast("string"))
+    df = parquet(spark, sf_dir, "supplier").select("s_suppkey", spec.alias("spec"))
+    m = df.select("s_suppkey", fields.label_lines(F.col("spec"), ("http",)).alias("m"), fields.looks_simplified(F.col("spec")).alias("simplified"))
+    return m.select("s_suppkey", F.to_json("m").alias("labels"), fields.grams(F.get(F.map_values(F.map_filter("m", lambda k, v: k == "重量")), F.lit(0))).cast("double").alias("grams"), "simplified")
 
 
 @query("""

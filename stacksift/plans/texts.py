@@ -98,14 +98,16 @@ def scalar_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parquet(spark, sf_dir, "customer").select("c_custkey", F.regexp_extract("c_name", "([0-9]+)$", 1).alias("number"), F.coalesce(F.nullif("c_mktsegment", F.lit("MACHINERY")), F.lit("none")).alias("segment"), level.alias("level"), F.concat(F.left("c_name", F.lit(5)), F.lit("...")).alias("short"), F.replace("c_name", F.lit("#"), F.lit("-")).alias("slug"))
 
 
-@query("""
-select * from (values (0, '路加福音(79折)', '路加福音', false), (1, '聖經故事 特價', '聖經故事', false), (2, '恩典之路【首刷優惠套組】', '恩典之路【首刷優惠套組】', true), (3, '限量筆記(特價限量)', '限量筆記(特價限量)', true), (4, '十字架的道路', '十字架的道路', false), (5, '書 特價', '書 特價', true), (6, '平安優惠的人生', '平安優惠的人生', true)) as t(line, title, clean, held)
-""")
+_PROMO = [("路加{k}(79折)", "路加{k}", False), ("聖經故事{k} 特價", "聖經故事{k}", False), ("恩典{k}【首刷優惠套組】", "恩典{k}【首刷優惠套組】", True), ("限量{k}(特價限量)", "限量{k}(特價限量)", True), ("十字架的道路{k}", "十字架的道路{k}", False), ("書 特價", "書 特價", True), ("平安優惠的人生{k}", "平安優惠的人生{k}", True)]
+
+
+@query("select p_partkey, replace(title, '{k}', p_partkey::varchar) as title, replace(clean, '{k}', p_partkey::varchar) as clean, held from part join (values " + ", ".join(f"({i}, '{t}', '{c}', {h})" for i, (t, c, h) in enumerate(_PROMO)) + f") as t(form, title, clean, held) on form = p_partkey % {len(_PROMO)}")
 def title_promo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Promotional words in the titles of a fixture."""
-    rows = ["路加福音(79折)", "聖經故事 特價", "恩典之路【首刷優惠套組】", "限量筆記(特價限量)", "十字架的道路", "書 特價", "平安優惠的人生"]
-    df = spark.createDataFrame(list(enumerate(rows)), "line long, title string")
-    return df.select("line", "title", titles.strip_promo(F.col("title")).alias("p")).select("line", "title", "p.clean", "p.held")
+    """Promotional words taken off the titles of all parts, or held."""
+    k = F.col("p_partkey")
+    title = F.replace(F.get(F.array(*[F.lit(t) for t, _, _ in _PROMO]), (k % len(_PROMO)).cast("int")), F.lit("{k}"), k.cast("string"))
+    df = parquet(spark, sf_dir, "part").select("p_partkey", title.alias("title"))
+    return df.select("p_partkey", "title", titles.strip_promo(F.col("title")).alias("p")).select("p_partkey", "title", "p.clean", "p.held")
 
 
 @query("""

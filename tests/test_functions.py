@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from stacksift.functions import ids, names, text, titles
+from stacksift.functions import ids, names, persons, text, titles
 from stacksift.operators import components, linkage, search, tables
 
 
@@ -55,20 +55,67 @@ def test_tiers(spark):
     assert one(spark, titles.tier, "十字架的道路") is None
 
 
-@pytest.mark.parametrize(
-    ("credit", "want"),
-    [
-        ("文、圖:王小明", [("王小明", "author"), ("王小明", "illustrator")]),
-        ("文:江淑文\\圖:陳嘉鈴", [("江淑文", "author"), ("陳嘉鈴", "illustrator")]),
-        ("巴刻著 趙中輝譯", [("巴刻", "author"), ("趙中輝", "translator")]),
-        ("賴特（N. T. Wright；湯姆）；李四 等", [("賴特（N. T. Wright；湯姆）", None), ("李四", None)]),
-        ("A&#59;B", [("A", None), ("B", None)]),
-        ("陳志文", [("陳志文", None)]),
-        (None, []),
-    ],
-)
-def test_credits(credit, want):
-    assert [(n, r) for n, _, r in names.split_credit(credit)] == want
+CREDITS = {
+    "文、圖:王小明": [("王小明", "author"), ("王小明", "illustrator")],
+    "文:江淑文\\圖:陳嘉鈴": [("江淑文", "author"), ("陳嘉鈴", "illustrator")],
+    "文／避雨,圖／那羊": [("避雨", "author"), ("那羊", "illustrator")],
+    "文:甲乙;圖:丙丁": [("甲乙", "author"), ("丙丁", "illustrator")],
+    "巴刻著 趙中輝譯": [("巴刻", "author"), ("趙中輝", "translator")],
+    "陸艾文著/高鳳仙譯": [("陸艾文", "author"), ("高鳳仙", "translator")],
+    "彭正雄、陳碧凌、創作小組 (彼、桀)": [("彭正雄", None), ("陳碧凌", None), ("創作小組 (彼、桀)", None)],
+    "甲乙 (丙丁、戊己": [("甲乙 (丙丁", None), ("戊己", None)],  # brackets do not pair
+    "A&#59;B": [("A", None), ("B", None)],
+    "A&semi;B": [("A&semi", None), ("B", None)],
+    "Anselm Gr&uuml;n": [("Anselm Grün", None)],
+    "陳志文": [("陳志文", None)],
+    "約珥．薩頓 主編 (Joel Sutton)": [("約珥．薩頓 主編 (Joel Sutton)", None)],
+    "李懷光原著/邱瓊苑新編": [("李懷光", "author"), ("邱瓊苑新編", None)],
+    "李志秋，張心瑋": [("李志秋", None), ("張心瑋", None)],
+    "宮本顯二， 宮本禮子": [("宮本顯二", None), ("宮本禮子", None)],
+    "C.S. 路易斯 著，鄧軍海 譯": [("C.S. 路易斯", "author"), ("鄧軍海", "translator")],
+    "吳國傑 （Ng， Nathan K. K.）": [("吳國傑 （Ng， Nathan K. K.）", None)],
+    "ROBERT J.FUREY，PH.D.": [("ROBERT J.FUREY，PH.D.", None)],
+    "Michael Kennedy， S.J.": [("Michael Kennedy， S.J.", None)],
+    "Smith, John": [("Smith, John", None)],
+    "李四；Jr.": [("李四", None), ("Jr.", None)],
+    "Jr.，李四": [("Jr.", None), ("李四", None)],
+    "王大明，Smith，Jr.": [("王大明", None), ("Smith，Jr.", None)],
+    "王大明，D.Min.": [("王大明，D.Min.", None)],
+    "責任編輯：李四；著者：王五": [("李四", "editor"), ("王五", "author")],
+    "文/圖": [],
+    "梁家麟著 ISBN：9789622083837": [("梁家麟", "author")],
+    "": [],
+    None: [],
+}
+
+
+def test_credits(spark):
+    df = spark.createDataFrame(list(enumerate(CREDITS)), "line long, credit string")
+    got = {}
+    for r in names.people(df, "line", "credit").orderBy("line", "place").collect():
+        got.setdefault(r["line"], []).append((r["name"], r["role"]))
+    want = {i: w for i, w in enumerate(CREDITS.values()) if w}
+    assert got == want
+
+
+KINDS = {
+    "文:王小明": ("role_prefix", "王小明", "author"), "文、圖:王小明": ("role_prefix", "王小明", "author"), "文/圖:王小明": ("role_prefix", "王小明", "author"), "文/懶鬼KK": ("role_prefix", "懶鬼KK", "author"),
+    "經文引用:和合本修訂版聖經": ("long_text", "經文引用:和合本修訂版聖經", None), "文子梁": ("clean", "文子梁", None), "圖/賽卓．卡利耶羅 編文/道格．莫斯": ("role_prefix", "圖/賽卓．卡利耶羅 編文/道格．莫斯", None),
+    "亨利.克勞德/約翰.湯森德": ("clean", "亨利.克勞德/約翰.湯森德", None), "文：甲": ("role_prefix", "文：甲", None), "李著": ("tail_note", "李著", None), "著者": ("role_word", "", "author"),
+    "ISBN 9789626735206": ("filler", "", None), "978-986-400-168-2": ("filler", "", None), "王小明 出版：校園": ("tail_note", "王小明", None), "台灣教會公報社出版": ("clean", "台灣教會公報社出版", None),
+    "陳恩明 ISBN ： 9789888562442 出版：突破": ("tail_note", "陳恩明", None), "林治平主編著": ("tail_note", "林治平", "author"), "馮 煒 文": ("clean", "馮 煒 文", None), "雷日昇 攝影": ("tail_note", "雷日昇", "illustrator"),
+    "甲；乙": ("fullwidth_semi", "甲；乙", None), "Anselm Gr&uuml": ("entity", "Anselm Gr&uuml", None),
+}
+
+
+def test_kinds_of_names(spark):
+    df = spark.createDataFrame([(s,) for s in KINDS], "s string")
+    got = {r["s"]: (r["k"]["kind"], r["k"]["clean"], r["k"]["role"]) for r in df.select("s", persons.name_kind(F.col("s"), F.lit(1)).alias("k")).collect()}
+    assert got == KINDS
+
+
+def test_references_left_in_names():
+    assert [names.has_reference(s) for s in ("Gr&uuml", "A&#59", "CLOUD&TOWNSEND", "Tony&Tina", "&semi;")] == [True, True, False, False, True]
 
 
 def test_judge(spark):
