@@ -29,11 +29,14 @@ MIN_CHARS = 20
 MIN_DOCUMENTS = 3
 
 
-def line_key(line: Column) -> Column:
-    """The line without blanks at both ends, A to Z lower-cased and other letters as they are."""
-    bare = F.trim(line, F.lit(BLANKS))
-    plain = F.octet_length(bare) == F.char_length(bare)
-    return F.when(plain, F.lower(bare)).otherwise(F.translate(bare, UPPER, UPPER.lower()))
+def bare(line: Column) -> Column:
+    return F.trim(line, F.lit(BLANKS))
+
+
+def line_key(stripped: Column) -> Column:
+    """Of a line without blanks at both ends: A to Z lower-cased and other letters as they are."""
+    plain = F.octet_length(stripped) == F.char_length(stripped)
+    return F.when(plain, F.lower(stripped)).otherwise(F.translate(stripped, UPPER, UPPER.lower()))
 
 
 def lines_of(text: Column) -> Column:
@@ -43,9 +46,15 @@ def lines_of(text: Column) -> Column:
 def _hashed(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
     """doc, dg (digest of the text), pos, h: a row for each line whose key is long enough."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = docs.select(F.col(doc_id).alias("doc"), F.unhex(F.md5(body)).alias("dg"), F.posexplode(F.split(body, "\n")).alias("pos", "line"))
-    keys = lines.select("doc", "dg", "pos", line_key(F.col("line")).alias("line_key"))
-    return keys.where(F.char_length("line_key") >= min_chars).select("doc", "dg", "pos", F.unhex(F.md5("line_key")).alias("h"))
+    whole = docs.select(F.col(doc_id).alias("doc"), _digest(body).alias("dg"), body.alias("body"))  # the digest once a text, not once a line
+    # lines are stripped before they are exploded, and no column may be null: so the planner repeats none of this in a filter
+    lines = whole.select("doc", "dg", F.posexplode(F.transform(lines_of(F.col("body")), bare)).alias("pos", "line"))
+    return lines.where(F.char_length("line") >= min_chars).select("doc", "dg", "pos", _digest(line_key(F.col("line"))).alias("h"))
+
+
+def _digest(value: Column) -> Column:
+    """MD5 as 16 bytes."""
+    return F.coalesce(F.unhex(F.md5(value)), F.lit(b""))
 
 
 def shared_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
@@ -67,7 +76,7 @@ def drop_shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     lines = _hashed(docs, doc_id, text, min_chars)
     dropped = lines.join(gone, "h").where(~F.col("doc").eqNullSafe(F.col("holder")))
     places = dropped.groupBy("doc", "dg").agg(F.collect_set("pos").alias("places"))
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("own"))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col(doc_id).alias("id"), _digest(F.coalesce(F.col(text), F.lit(""))).alias("own"))
     met = rows.join(places, F.col("id").eqNullSafe(F.col("doc")) & (F.col("own") == F.col("dg")), "left")
     body = F.col("row")[text]
     split = F.transform(F.array(lines_of(body)), lambda lines: F.struct(F.size(lines).alias("n"), _rest(lines, F.col("places")).alias("rest")))[0]
