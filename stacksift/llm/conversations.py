@@ -24,7 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -84,7 +84,7 @@ def fault_counts(rows: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("fault") == BLANK, F.col("n")).otherwise(0)).alias("blank"), F.sum(one).alias("duplicate"), F.sum((F.col("fault") == TRUNCATED).cast("long")).alias("truncated")
     )
     wide = F.col("turn").cast("decimal(20,0)")
-    gaps = F.least(F.max(wide) - F.min(wide) + 1 - F.count("turn"), F.lit(2**63 - 1).cast("decimal(20,0)")).cast("long")
+    gaps = F.when(F.count("turn") > 0, F.least(F.max(wide) - F.min(wide) + 1 - F.count("turn"), F.lit(2**63 - 1).cast("decimal(20,0)"))).cast("long")
     return turns.groupBy("conv").agg(F.coalesce(gaps, F.lit(0).cast("long")).alias("gaps"), *[F.sum(c).alias(c) for c in ("blank", "duplicate", "truncated")])
 
 
@@ -353,8 +353,9 @@ def digests(repaired: DataFrame) -> DataFrame:
     return rows.mapInArrow(_digests(arrow), kind)
 
 
-def _same(a: DataFrame, b: DataFrame) -> Column:
-    return a["conv"].eqNullSafe(b["conv"])
+def _beside(report: DataFrame, more: DataFrame) -> DataFrame:
+    """``report`` with the columns of ``more`` where it has the conversation; the null one meets itself."""
+    return report.join(more.withColumnRenamed("conv", "same_conv"), F.col("conv").eqNullSafe(F.col("same_conv")), "left").drop("same_conv")
 
 
 def repair(conversations: DataFrame, damaged: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -371,9 +372,8 @@ def repair(conversations: DataFrame, damaged: bool = True) -> tuple[DataFrame, D
     seen = cut(faults(ordered))
     solved = cut(plans(seen))
     repaired = repaired_rows(solved, ordered)
-    every, counts, hashes = conversations.select(F.col("conv_id").alias("conv")).distinct(), fault_counts(seen), digests(repaired)
-    report = every.join(counts, _same(every, counts), "left").drop(counts["conv"])
-    report = report.join(solved, _same(report, solved), "left").drop(solved["conv"])
-    report = report.join(hashes, _same(report, hashes), "left").drop(hashes["conv"])
+    report = conversations.select(F.col("conv_id").alias("conv")).distinct()
+    for more in (fault_counts(seen), solved, digests(repaired)):
+        report = _beside(report, more)
     zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
     return report.select(F.col("conv").alias("conv_id"), *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("repaired_sha256")), repaired
