@@ -1,7 +1,7 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
 Language, source, size and doc_id are quantised to BITS bits each, by bounds that deal out the rows evenly:
-each level is a range of the dimension's own order (for texts that of their first seven bytes), so the
+each level is a range of the dimension's own order, whole texts included, so the
 least and greatest value of a file tell a reader what is not in it; the curve index of that cell orders
 the rows, so a run of the order covers a compact box of every dimension and a reader that filters on any
 of them can skip most files. Runs of equal row counts are the shards (law ``rows``: counts differ by at
@@ -70,10 +70,23 @@ def _level(column: str, cuts: list):
     return value
 
 
-def _order(column: str):
-    """The first seven bytes of a value as a number: values in byte order have numbers in order. Null is before all."""
-    value = F.rpad(F.hex(F.substring(F.encode(F.col(column).cast("string"), "UTF-8"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(value, 16, 10).cast("long"), F.lit(-1))
+def _text_cuts(df: DataFrame, column: str, bits: int) -> list[str]:
+    """Exact bounds of whole texts that deal out the rows evenly; nulls come before all texts.
+
+    Rows are counted by value, the values are dealt by range, and running counts are made within a range, each from
+    the total of the ranges before it (a row a range). So neither a hot value nor very many values meet in one task.
+    """
+    values = df.groupBy(column).agg(F.count("*").alias("n")).repartitionByRange(F.col(column).asc_nulls_first())
+    values = cut(values.withColumn("range", F.spark_partition_id()))
+    totals = sorted((r["range"], r["n"]) for r in values.groupBy("range").agg(F.sum("n").alias("n")).collect())
+    if not totals:
+        return []
+    before = np.concatenate([[0], np.cumsum([n for _, n in totals])])
+    starts = df.sparkSession.createDataFrame([(k, int(b)) for (k, _), b in zip(totals, before, strict=False)], "range int, before long")
+    running = F.sum("n").over(Window.partitionBy("range").orderBy(F.col(column).asc_nulls_first())) + F.col("before")
+    at = values.join(F.broadcast(starts), "range").select(column, running.alias("to"))
+    made = at.agg(*[F.min(F.when(F.col("to") >= int(before[-1]) * i / 2**bits, F.col(column))) for i in range(1, 2**bits)]).first()
+    return sorted({c for c in made if c is not None})
 
 
 def _with_curve(docs: DataFrame, bits: int) -> tuple[DataFrame, int]:
@@ -83,10 +96,10 @@ def _with_curve(docs: DataFrame, bits: int) -> tuple[DataFrame, int]:
     def curve(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([a, b, c, d], axis=1), bits))
 
-    meta = cut(docs.select(*_key(docs), _order("lang").alias("__lang"), _order("source").alias("__source")))
+    meta = cut(docs.select(*_key(docs)))
     n = meta.count()
     slices = max(64, n // ROWS_A_SLICE)
-    levels = [_level(c, _cuts(meta, c, bits)) for c in ("__lang", "__source", "size")]
+    levels = [_level("lang", _text_cuts(meta, "lang", bits)), _level("source", _text_cuts(meta, "source", bits)), _level("size", _cuts(meta, "size", bits))]
     by_id = F.coalesce(_level("doc_id", _cuts(meta, "doc_id", bits)), F.lit(0))
     return cut(meta.select("doc_id", "lang", "source", "size", "text_crc32", curve(*levels, by_id).alias("curve"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slices)).cast("int").alias("slice"))), n
 
