@@ -128,10 +128,11 @@ def _placed(rows: DataFrame, parts: int) -> tuple[DataFrame, list[tuple[int, int
         return pd.Series(np.where(ids.isna(), len(shared.value) + 1, at), dtype="int32")
 
     rank = F.xxhash64("text")
-    piece = F.lit(0)
-    for c, k in sorted(hot.items(), key=str):
-        same = F.col("doc_id").isNull() if c is None else F.col("doc_id") == F.lit(c)
-        piece = F.when(same, F.least(F.lit(k - 1), F.floor((rank.cast("double") / 2.0**64 + 0.5) * k)).cast("int")).otherwise(piece)
+    # at most MOST_BLOCKS ids and the pieces of each, as a table: the plan is the same for any number of them
+    table = rows.sparkSession.createDataFrame(sorted(hot.items(), key=str), "hot long, pieces int")
+    rows = rows.join(F.broadcast(table), F.col("doc_id").eqNullSafe(F.col("hot")), "left") if hot else rows
+    pieces = F.coalesce("pieces", F.lit(1)) if hot else F.lit(1)
+    piece = F.least(pieces - 1, F.floor((rank.cast("double") / 2.0**64 + 0.5) * pieces)).cast("int")
     # one number for block and piece; at most MOST_BLOCKS of each
     placed = rows.select("doc_id", "text", (block("doc_id").cast("long") * (1 << 20) + piece).alias("block"), rank.alias("turn"))
     light = placed if hot else rows.select("doc_id", (block("doc_id").cast("long") * (1 << 20)).alias("block"))
