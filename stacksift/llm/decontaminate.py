@@ -18,7 +18,7 @@ Words are runs of letters and digits in lower case; in scripts without blanks ea
 pieces of at most 48 words; a document leaks an item if it has one of its pieces.
 
 Defined cases: null texts count as empty and match nothing; items of fewer than MIN_WORDS words are
-searched verbatim only, items without words never; repeated documents or items give repeated rows once each; an empty benchmark or table gives no
+searched verbatim only, items without words never; items of null id are searched like others and count as one item; repeated documents or items give repeated rows once each; an empty benchmark or table gives no
 rows; other columns are ignored.
 """
 
@@ -52,6 +52,11 @@ READY = 4_096
 #: Directions of a singular value below this share of the largest are left out.
 LEAST_VALUE = 1e-3
 
+#: Runs that more pieces share are looked up only for a piece to whose RAREST runs they belong.
+FEW, RAREST = 32, 8
+#: Stands for the null item_id while pieces are searched; items of null id count as one.
+NO_ID = -(1 << 63)
+
 #: Slots of the table that tells which run hashes cannot be in a block.
 SLOTS = 22
 #: Chinese, Japanese, Thai, Lao, Tibetan, Burmese, Khmer, with the punctuation and full-width forms used there.
@@ -180,6 +185,16 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int = RANK, extra
     return (last @ turn[:, best]).astype(np.float32), np.sqrt(np.maximum(values[best], 1e-12))
 
 
+def _rare(key: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """Runs worth looking up: those of few pieces, and each piece's rarest. So a phrase that a whole benchmark shares does not lead to all of it."""
+    _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
+    counts = counts[back]
+    order = np.lexsort((counts, piece))
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.arange(len(key)) - np.searchsorted(piece[order], piece[order])
+    return (counts <= FEW) | (rank < RAREST)
+
+
 class Index:
     """Benchmark passages in the latent space, and what is needed to search and check a text."""
 
@@ -211,6 +226,9 @@ class Index:
             key = np.concatenate(made)
             piece = np.repeat(which, [len(m) for m in made]).astype(np.int32)
             place = np.concatenate([np.arange(len(m)) for m in made]).astype(np.int32)
+            if not whole:
+                keep = _rare(key, piece)
+                key, piece, place = key[keep], piece[keep], place[keep]
             order = np.argsort(key, kind="stable")
             seen = np.zeros(1 << SLOTS, bool)
             seen[key >> _U(64 - SLOTS)] = True
@@ -329,7 +347,7 @@ def benchmark_pieces(benchmark: DataFrame) -> DataFrame:
             kinds = {"item_id": pa.int64(), "text": pa.string(), "place": pa.int32(), "words": pa.binary(), "passage": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
 
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text")).where("item_id is not null")
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, "item_id long, text string, place int, words binary, passage binary")
 
 
@@ -368,6 +386,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         out = part if out is None else out.unionAll(part)
     if out is None:
         return spark.createDataFrame([], schema)
+    out = out.withColumn("item_id", F.nullif("item_id", F.lit(NO_ID)))
     return out.groupBy("doc_id", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share"))
 
 

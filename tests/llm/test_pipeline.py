@@ -45,21 +45,22 @@ def test_pipeline_against_plain_python(spark, tmp_path):
     import tiktoken
 
     item = " ".join(f"bench{i}" for i in range(20))
+    spare = " ".join(f"spare{i}" for i in range(12))
     base = " ".join(f"word{i}" for i in range(40))
     rows = [
         (1, None), (2, ""), (3, "one"), (4, "long " * 60_000), (5, "a\x00b c d e f"), (5, "a\x00b c d e f"), (None, "no id here at all"), (None, "another one without an id"),
-        (7, base), (8, base.replace("word39", "other")), (9, base), (7, "unlike text under a known id"), (10, f"before {item} after"), (11, "here password: hunter2secret and more"), (12, "日本語 テキスト"),
+        (7, base), (8, base.replace("word39", "other")), (9, base), (7, "unlike text under a known id"), (10, f"before {item} after"), (13, f"{spare} of no id"), (11, "here password: hunter2secret and more"), (12, "日本語 テキスト"),
     ]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, same int, key int, shard int, score string, ids string"
-    made = lambda data: spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1, 2, 3, "x", "y") for d, t in data], schema)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, same int, key int, shard int, score string, ids string, `__same` int, `__id` int, `__digest` string, `__pii` int, `row` int, kept int, `__tox_features` int, n_card string"
+    made = lambda data: spark.createDataFrame([(d, t, "en", "s", len(t or ""), 1, 2, 3, "x", "y", 4, 5, "z", 6, 7, 8, 9, "w") for d, t in data], schema)
     made(rows).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(2, 1, 0), (3, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, item), (None, base), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, item), (None, spare), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = []
     for d, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
         if not any((t or "") == (k or "") or near(t or "", k or "") >= 0.8 for _, k in kept):
             kept.append((d, t))
-    kept = [(d, t) for d, t in kept if item not in (t or "")]
+    kept = [(d, t) for d, t in kept if item not in (t or "") and spare not in (t or "")]
     kept = [(d, "" if t is None else t.replace("password: hunter2secret", "<secret>")) for d, t in kept]
     with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
