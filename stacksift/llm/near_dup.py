@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from . import shingles as S
-from .common import cut, slices, small_batches, text_or_empty
+from .common import cut, packed, slices, small_batches, text_or_empty
 
 ROWS, BANDS = 7, 40
 THRESHOLD = 0.8
@@ -157,8 +157,23 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_b.mapInArrow(run, "a binary, b binary, near double")
 
 
-def block_links(names: list, roots: list, texts: pa.Array, left: np.ndarray, right: np.ndarray) -> list[tuple]:
-    """Links between the rows ``left`` and ``right`` of one block pair that lie in different components.
+def _meet(keys: pa.ListArray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of the rows ``left`` and ``right`` have a bucket in common."""
+    sizes = np.diff(keys.offsets.to_numpy())
+    row, term = np.repeat(np.arange(len(sizes)), sizes), np.unique(keys.flatten().to_numpy(), return_inverse=True)[1]
+    order = np.argsort(term, kind="stable")
+    row, term = row[order], term[order]
+    out = np.zeros((len(left), len(right)), bool)
+    for lo in range(0, int(term[-1]) + 1 if len(term) else 0, 2048):
+        a, b = np.searchsorted(term, (lo, lo + 2048))
+        has = np.zeros((len(sizes), 2048), np.float32)
+        has[row[a:b], term[a:b] - lo] = 1
+        out |= has[left] @ has[right].T > 0
+    return out
+
+
+def block_links(names: list, roots: list, keys: pa.ListArray, texts: pa.Array, left: np.ndarray, right: np.ndarray) -> list[tuple]:
+    """Links between the rows ``left`` and ``right`` of one block pair that share a bucket and lie in different components.
 
     With X and Y the weights of the common shingles in both texts, J_P <= 1 / (W_x / X + W_y / Y - 1);
     the products of the weight matrices give X and Y of all pairs, and J_P is computed where the bound allows.
@@ -192,7 +207,7 @@ def block_links(names: list, roots: list, texts: pa.Array, left: np.ndarray, rig
     with np.errstate(divide="ignore", invalid="ignore"):
         bound = 1.0 / (total[left][:, None] / x + total[right][None, :] / y - 1.0)
     code = np.unique(np.array(roots, dtype=object), return_inverse=True)[1]
-    fit = (x > 0) & (bound >= THRESHOLD - 1e-4) & (code[left][:, None] != code[right][None, :])
+    fit = _meet(keys, left, right) & (x > 0) & (bound >= THRESHOLD - 1e-4) & (code[left][:, None] != code[right][None, :])
     out = []
     for i, j in np.argwhere(fit):
         i, j = left[i], right[j]
@@ -203,21 +218,24 @@ def block_links(names: list, roots: list, texts: pa.Array, left: np.ndarray, rig
 
 
 def _in_blocks(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links among members that large buckets hold: groups of such buckets, every block with every other."""
+    """Links among members that large buckets hold: groups of such buckets, every block with every other.
+
+    A pair is compared where it shares a bucket, as in small buckets, and once, however many it shares.
+    """
     hub = rest.groupBy("key").agg(F.min("same").alias("hub"))
     groups = connected_components(rest.join(hub, "key").select("same", "hub"), "same", "hub")
     sizes = groups.groupBy("root").agg(F.count("*").alias("n")).select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    roots = rest.select("same", F.col("root").alias("part")).distinct()
+    roots = rest.groupBy("same").agg(F.min("root").alias("part"), F.collect_set("key").alias("keys"))  # at most BANDS of them
     dealt = groups.join(sizes, "root").withColumnRenamed("node", "same").withColumn("block", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
     dealt = dealt.join(roots, "same").join(texts, "same")
-    dealt = dealt.select("root", "same", "part", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
-    dealt = dealt.select("root", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "same", "part", "text", "block")
+    dealt = dealt.select("root", "same", "part", "keys", "text", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    dealt = dealt.select("root", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "same", "part", "keys", "text", "block")
 
     def run(group: pa.Table) -> pa.Table:
         lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
         block = group.column("block").to_numpy()
         left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        rows = block_links(group.column("same").to_pylist(), group.column("part").to_pylist(), S.strings(group.column("text")), left, right)
+        rows = block_links(group.column("same").to_pylist(), group.column("part").to_pylist(), group.column("keys").combine_chunks(), S.strings(group.column("text")), left, right)
         return pa.table({"a": pa.array([r[0] for r in rows], pa.binary()), "b": pa.array([r[1] for r in rows], pa.binary()), "near": pa.array([r[2] for r in rows], pa.float64())})
 
     return dealt.groupBy("root", "lo", "hi").applyInArrow(run, "a binary, b binary, near double")
@@ -275,10 +293,14 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class: of the least doc_id (null last), of several texts under it the least digest."""
+    """One row of each class: of the least doc_id (null last), of several texts under it the least digest.
+
+    Of rows equal in both the one stays whose other columns come first as JSON.
+    """
     _, roots = _classes(docs)
     kept = roots.groupBy("root").agg(F.min(F.struct(F.col("copies_id").isNull(), "copies_id", "same")).alias("kept"))
-    kept = kept.select(F.col("kept.copies_id").alias("__id"), F.col("kept.same").alias("__digest"))
-    rows = docs.withColumn("__same", F.unhex(F.substring(F.sha2(text_or_empty(), 256), 1, 32)))
-    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__same") == F.col("__digest")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "__same"]).drop("__same")
+    kept = kept.select(F.col("kept.copies_id").alias("kept_id"), F.col("kept.same").alias("kept_same"))
+    others = F.to_json(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]))
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("long").alias("id"), F.unhex(F.substring(F.sha2(text_or_empty(), 256), 1, 32)).alias("same"), others.alias("others"))
+    rows = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("same") == F.col("kept_same")), "left_semi")
+    return rows.groupBy("id", "same").agg(F.min_by("row", "others").alias("row")).select("row.*")

@@ -290,11 +290,13 @@ def pieces(text: Column, key: str, back: bool = False) -> Column:
 def pseudonymise(docs: DataFrame, key: str | None = None, back: bool = False) -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and how many values of each kind were replaced (n_<kind>)."""
     key = key or docs.sparkSession.conf.get("spark.stacksift.pii.key", KEY)
-    made = docs.withColumn("__pii", pieces(F.col("text").cast("string"), key, back))
-    count = lambda k: F.coalesce(F.size(F.filter("__pii", lambda p: p["kind"] == k)), F.lit(0)).cast("long")
-    whole = F.when(F.col("text").isNotNull(), F.array_join(F.transform("__pii", lambda p: p["text"]), ""))
-    counts = {f"n_{k}": F.when(F.col("text").isNotNull(), count(k)).otherwise(F.lit(0).cast("long")) for k in KINDS}
-    return made.withColumns({"text": whole} | counts).drop("__pii")
+    made = docs.select(packed(docs).alias("row"), pieces(F.col("text").cast("string"), key, back).alias("pieces"))
+    text = F.col("row")["text"]
+    count = lambda k: F.coalesce(F.size(F.filter("pieces", lambda p: p["kind"] == k)), F.lit(0)).cast("long")
+    whole = F.when(text.isNotNull(), F.array_join(F.transform("pieces", lambda p: p["text"]), ""))
+    new = {"text": whole} | {f"n_{k}": F.when(text.isNotNull(), count(k)).otherwise(F.lit(0).cast("long")) for k in KINDS}
+    rest = [c for c in new if c not in docs.columns]
+    return made.select(*[(new[c] if c in new else F.col("row")[c]).alias(c) for c in [*docs.columns, *rest]])
 
 
 def restore(docs: DataFrame, key: str | None = None) -> DataFrame:

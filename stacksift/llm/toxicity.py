@@ -32,7 +32,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held_out, small_batches, text_or_empty
+from .common import cut, held_out, packed, small_batches, text_or_empty
 
 MOST_LABELLED = 20_000
 MOST_WORDS = 4_000
@@ -47,7 +47,7 @@ SEED_ODDS = 2.5
 WORD = re.compile(r"[^\W\d_]+")
 INNER = re.compile(r"[^\W\d_][0-9*$#@!%&_.-]+(?=[^\W\d_])")
 SOLVE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
-MASKED = re.compile(r"(?<!\S)(?=\S*[0-9*$#@!_.-])(?=\S*[^\W\d_])[^\s]{3,40}(?!\S)")
+MASKED = re.compile(r"(?<!\S)(?=\S*[0-9*$#@!_.-])(?=\S*[^\W\d_])[^\s]{3,}(?!\S)")
 N_FEATURES = 17
 
 
@@ -123,12 +123,11 @@ class Model:
         """``docs`` with a score column."""
         if self.trees is None:
             return docs.withColumn(name, F.lit(float(self.share)))
-        keep = [F.col(f"`{c}`") for c in docs.columns]
-        made = docs.select(*keep, array_to_vector(feature_column(self.words, self.heads)).alias("__tox_features"))
+        made = docs.select(packed(docs).alias("__tox_row"), array_to_vector(feature_column(self.words, self.heads)).alias("__tox_features"))
         made = self.trees.transform(made).withColumn("__tox_raw", vector_to_array("__tox_probability")[1])
         made = self.calibrated.transform(made)
         value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.98 * F.col("__tox_calibrated") + 0.02 * F.col("__tox_raw")))
-        return made.select(*keep, value.alias(name))
+        return made.select("__tox_row.*", value.alias(name))
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, most: int = MOST_LABELLED, seed: int = 11) -> Model:
@@ -159,4 +158,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """``docs`` without the rows that are scored 0.5 or more."""
-    return fit(docs, labels, **kw).score(docs, "__tox_score").where("__tox_score < 0.5").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(packed(docs).alias("row"), F.col("text").alias("text"))
+    return fit(docs, labels, **kw).score(rows).where("score < 0.5").select("row.*")
