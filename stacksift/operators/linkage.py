@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import same_place_ratio
 from .checkpoint import cut
 from .components import connected_components
+from .ordered import neighbours
 
 
 def merge_groups(df: DataFrame, key: str, number: str, leader: list) -> DataFrame:
@@ -53,18 +54,17 @@ def nearest_in_block(df: DataFrame, block: str, value: str, key: str) -> DataFra
     """key and nearest: the other row of the block with the nearest value, of several the least key.
 
     Rows of one value stand for it with their two least keys, and each value looks at the one before and the one
-    behind it, so a block costs its sort and not its pairs. Rows alone in their block have none and are left out.
+    behind it, so a block costs its sort and not its pairs; the sort is by ranges, so a large block has many tasks. Rows alone in their block have none and are left out.
     """
     rows = df.where(F.col(block).isNotNull() & F.col(value).isNotNull()).select(block, value, key)
     first = rows.groupBy(block, value).agg(F.min(key).alias("k1"))
     named = rows.join(first, [block, value])
     second = named.where(F.col(key) > F.col("k1")).groupBy(block, value).agg(F.min(key).alias("k2"))
-    w = Window.partitionBy(block).orderBy(value)
-    at = lambda f, name: f(F.struct(F.col(value).alias("v"), F.col("k1").alias("k"))).over(w).alias(name)
-    sides = first.join(second, [block, value], "left").select(block, value, "k2", at(F.lag, "lo"), at(F.lead, "hi"))
+    sides = first.join(second, [block, value], "left").select(block, value, "k1", "k2")
+    sides = neighbours(sides, [block], [value], F.struct(F.col(value).alias("v"), F.col("k1").alias("k")), "lo", "hi").drop("k1")
     near = lambda s: F.when(F.col(s).isNotNull(), F.struct(F.abs(F.col(value) - F.col(f"{s}.v")).alias("gap"), F.col(f"{s}.k").alias("k")))
     same = F.when(F.col("k2").isNotNull(), F.struct(F.lit(0.0).alias("gap"), F.when(F.col(key) == F.col("k1"), F.col("k2")).otherwise(F.col("k1")).alias("k")))
-    made = named.join(sides, [block, value]).select(key, F.array_min(F.filter(F.array(same, near("lo"), near("hi")), lambda x: x.isNotNull())).alias("best"))
+    made = named.select(block, value, key, "k1").join(sides, [block, value]).select(key, F.array_min(F.filter(F.array(same, near("lo"), near("hi")), lambda x: x.isNotNull())).alias("best"))
     return made.where("best is not null").select(key, F.col("best.k").alias("nearest"))
 
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import orbit
+
 
 def insert_if_absent(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return target.unionByName(new.dropDuplicates(keys).join(target.select(*keys), keys, "left_anti"))
@@ -83,28 +83,12 @@ def zero_runs(days: DataFrame, group: str, day: str, count: str, length: int) ->
 def throttled(alerts: DataFrame, key: str, at: str, hours: int) -> DataFrame:
     """Alerts that are sent: of one key at most one in any ``hours``, counted from the last one sent.
 
-    Each task reads its keys' times in order, as a stream that holds the last time sent and nothing else.
+    The key's alerts are dealt by range and each finds the next that may follow it; the sent ones are reached from the
+    first by doubled pointers. So a key of very many alerts is worked on by many tasks.
     """
-    limit = hours * 3600 * 1_000_000
-    kind = dict(alerts.dtypes)[key]
-    times = alerts.select(key, F.unix_micros(F.col(at).cast("timestamp")).alias("m")).where("m is not null")
-    # equal times of a key send one alert, so they may go before the shuffle already
-    times = times.groupBy(key, "m").agg(F.count("*").alias("n")).select(key, "m")
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, last = None, None
-        for b in batches:
-            keep = []
-            for k, m in zip(b[key], b["m"].tolist(), strict=True):
-                if last is None or k != last_key or m - last >= limit:
-                    last_key, last = k, m
-                    keep.append(True)
-                else:
-                    keep.append(False)
-            yield b[keep]
-
-    sent = times.repartition(key).sortWithinPartitions(key, "m").mapInPandas(send, f"{key} {kind}, m long")
-    return sent.select(key, F.timestamp_micros("m").alias(at))
+    times = alerts.select(F.col(key).alias("k"), F.unix_micros(F.col(at).cast("timestamp")).alias("m")).where("m is not null")
+    sent = orbit(times, hours * 3600 * 1_000_000)
+    return sent.select(F.col("k").alias(key), F.timestamp_micros("m").alias(at))
 
 
 def split_exclusively(df: DataFrame, ok) -> tuple[DataFrame, DataFrame]:
