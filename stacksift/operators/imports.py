@@ -11,6 +11,22 @@ from . import tables
 from .components import connected_components
 
 
+def free_of(other: Column) -> Column:
+    """Whether a listing may join a book of this number: one of them has none, they agree, or it is an e-book."""
+    return F.col("isbn").isNull() | other.isNull() | (F.col("isbn") == other) | F.col("ebook")
+
+
+def title_publisher_hits(new: DataFrame, known: DataFrame) -> DataFrame:
+    """id and matched: exactly one known listing of the title and publisher whose authors agree and whose sources are others.
+
+    Known listings that look alike are counted together before the join, so a common title emits few pairs.
+    """
+    k = known.select(*[F.col(c).alias(f"k_{c}") for c in ("id", "isbn", "title", "publisher", "author", "sources")])
+    alike = k.where("k_title <> ''").groupBy("k_title", "k_publisher", "k_author", "k_isbn", "k_sources").agg(F.count("*").alias("n"), F.max("k_id").alias("k_id"))
+    pairs = new.join(alike, (F.col("title") == F.col("k_title")) & (F.col("publisher") == F.col("k_publisher"))).where((judge(F.col("author"), F.col("k_author"), F.col("sources"), F.col("k_sources")) == "merge") & free_of(F.col("k_isbn")))
+    return pairs.groupBy("id").agg(F.sum("n").alias("n"), F.max("k_id").alias("matched")).where("n = 1").select("id", "matched")
+
+
 def import_cascade(new: DataFrame, known: DataFrame) -> DataFrame:
     """id, stage and matched of every new listing.
 
@@ -31,14 +47,11 @@ def import_cascade(new: DataFrame, known: DataFrame) -> DataFrame:
     done = one.where("matched is not null").select("id", F.when(F.col("blocked"), "isbn_conflict").otherwise("isbn").alias("stage"), F.when(~F.col("blocked"), F.col("matched")).alias("matched"))
     rest = one.where("matched is null").drop("matched", "hit_work", "blocked")
 
-    free = lambda other: F.col("isbn").isNull() | other.isNull() | (F.col("isbn") == other) | F.col("ebook")
     by_work = k.where("k_work is not null").groupBy("k_work").agg(F.max_by(F.struct("k_id", "k_isbn"), "k_id").alias("hit")).select(F.col("k_work").alias("work"), F.col("hit.k_id").alias("matched"), F.col("hit.k_isbn").alias("hit_isbn"))
-    two = rest.join(by_work, "work", "left").withColumn("matched", F.when(free(F.col("hit_isbn")), F.col("matched"))).drop("hit_isbn")
+    two = rest.join(by_work, "work", "left").withColumn("matched", F.when(free_of(F.col("hit_isbn")), F.col("matched"))).drop("hit_isbn")
 
-    alike = k.where("k_title <> ''").groupBy("k_title", "k_publisher", "k_author", "k_isbn", "k_sources").agg(F.count("*").alias("n"), F.max("k_id").alias("k_id"))
     left = two.where("matched is null").drop("matched")
-    pairs = left.join(alike, (F.col("title") == F.col("k_title")) & (F.col("publisher") == F.col("k_publisher"))).where((judge(F.col("author"), F.col("k_author"), F.col("sources"), F.col("k_sources")) == "merge") & free(F.col("k_isbn")))
-    three = pairs.groupBy("id").agg(F.sum("n").alias("n"), F.max("k_id").alias("matched")).where("n = 1").select("id", "matched")
+    three = title_publisher_hits(left, known)
     last = left.select("id").join(three, "id", "left").select("id", F.when(F.col("matched").isNotNull(), "title_publisher").otherwise("new").alias("stage"), "matched")
     return done.unionByName(two.where("matched is not null").select("id", F.lit("work").alias("stage"), "matched")).unionByName(last)
 

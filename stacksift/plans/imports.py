@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import imports
+from ..operators import imports, ordered_import
 from ..sources.readers import parquet
 from .registry import query
 
@@ -42,6 +42,14 @@ def import_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.import_cascade(b.where("id % 5 = 0"), b.where("id % 5 > 0"))
 
 
+@query()
+def import_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of listings against known ones and against its own earlier rows; in the order of the file."""
+    b = _books(spark, sf_dir).withColumn("work", text.title_author_key(F.col("title"), F.col("author")))
+    file = b.where("id % 5 < 3").select(F.col("id").alias("place"), "isbn", "work", "title", "publisher", "author", F.array(F.lit("own")).alias("sources"), "ebook", "loose")
+    return ordered_import.import_in_order(file, b.where("id % 5 >= 3 and id % 30 < 20"))
+
+
 @query(f"""
 with {_BOOKS}, e as (select o_custkey as id, count(*) as n from orders group by 1),
 g as (select title, author from b where title <> '' and author <> '' group by 1, 2 having count(*) > 1 and count(distinct isbn) <= 1),
