@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.readers import parquet
 from ..streaming.ingest import append_new, run_once, work_folder
+from ..streaming.skips import skip_list, state_store
 from .registry import query
 
 
@@ -62,3 +63,20 @@ def stream_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     append_new(_events(spark, sf_dir).select("user_id"), "user_id", f"{folder}/master", f"{folder}/delta", f"{folder}/state").start().awaitTermination()
     read = lambda name: spark.read.parquet(f"{folder}/{name}").select("user_id", F.lit(name).alias("file"))
     return read("master").unionAll(read("delta"))
+
+
+@query("""
+with recursive a as (select user_id, event_id, ts, event_type, row_number() over (partition by user_id order by ts, event_id) as n from events where event_type in ('error', 'purchase', 'click')),
+w as (select distinct user_id, 0::bigint as n, null::bigint as attempt, '' as decision, 0 as times, null::date as first_failed, null::date as last_failed from a
+ union all select a.user_id, a.n, a.event_id, d, case when d = 'failed' then w.times + 1 when d = 'ok' then 0 else w.times end,
+  case when d = 'failed' then coalesce(w.first_failed, a.ts::date) when d <> 'ok' then w.first_failed end, case when d = 'failed' then a.ts::date when d <> 'ok' then w.last_failed end
+ from w join (select *, 1 as one from a) a on a.user_id = w.user_id and a.n = w.n + 1,
+  lateral (select case when a.ts < w.last_failed + interval 7 day then 'skipped' when a.event_type = 'error' then 'failed' when a.event_type = 'purchase' then 'ok' else 'error' end as d))
+select user_id, attempt, decision, times, first_failed, last_failed from w where n > 0
+""")
+def skip_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts on keys that failed before: skipped within seven days, made after that; success takes a key off the list."""
+    outcome = F.when(F.col("event_type") == "error", "bad").when(F.col("event_type") == "purchase", "ok").when(F.col("event_type") == "click", "error")
+    tries = _events(spark, sf_dir).select("user_id", F.col("event_id").alias("attempt"), F.col("ts").alias("at"), outcome.alias("outcome")).where("outcome is not null")
+    with state_store(spark):
+        return run_once(skip_list(tries, "user_id"), "append").where("attempt is not null")

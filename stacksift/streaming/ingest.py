@@ -1,4 +1,4 @@
-"""Incremental ingest: a seen-key set with a delta, retry lists with expiry, one-shot stream runs."""
+"""Incremental ingest: a seen-key set with a delta, and one-shot stream runs."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.checkpoint import shared_folder
 
@@ -17,7 +16,12 @@ def work_folder(spark: SparkSession) -> str:
 
 
 def run_once(stream: DataFrame, mode: str) -> DataFrame:
-    """Everything that is there now, processed by a stream and read back from its sink."""
+    """Everything that is there now, processed by a stream and read back from its sink.
+
+    A stream in update mode has no table to be read back, as each batch holds what has changed only.
+    """
+    if mode not in ("append", "complete"):
+        raise ValueError(f"{mode}: only what is appended, or complete, can be read back")
     spark = stream.sparkSession
     folder = work_folder(spark)
     if mode == "append":
@@ -51,30 +55,3 @@ def append_new(stream: DataFrame, key: str, master: str, delta: str, checkpoint:
         spark.read.parquet(target).write.mode("overwrite").parquet(rows)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-
-
-def skip_list(failures: DataFrame, key: str, days: int = 7) -> DataFrame:
-    """Keys that failed and are to be skipped, as a stream of (key, skipped): a key comes off after ``days`` or on success.
-
-    ``failures`` has the key and a boolean ``ok``; state is held by key, with a processing-time timer.
-    """
-
-    def step(k: tuple, batches, state: GroupState):
-        import pandas as pd
-
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame({key: [k[0]], "skipped": [False]})
-            return
-        ok = any(bool(b["ok"].any()) for b in batches)
-        if ok:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({key: [k[0]], "skipped": [False]})
-            return
-        state.update((1,))
-        state.setTimeoutDuration(days * 86_400_000)
-        yield pd.DataFrame({key: [k[0]], "skipped": [True]})
-
-    kind = dict(failures.dtypes)[key]
-    return failures.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, skipped boolean", "n int", "update", GroupStateTimeout.ProcessingTimeTimeout)

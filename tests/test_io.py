@@ -1,13 +1,14 @@
 """Readers, writers and streams on files."""
 
+import datetime
 import json
-import time
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stacksift.sources import readers, writers
-from stacksift.streaming import ingest
+from stacksift.streaming import ingest, skips
 
 
 def test_json_lines(spark, tmp_path):
@@ -53,23 +54,49 @@ def test_append_new_is_idempotent(spark, tmp_path):
     assert [r["k"] for r in spark.read.parquet(str(tmp_path / "delta")).where("batch = 1").collect()] == [3]
 
 
-def test_skip_list(spark, tmp_path):
+def test_skip_list_over_batches(spark, tmp_path):
+    """State lives over batches and restarts: skipped for seven days, tried again, taken off by success; a failed fetch changes nothing."""
     src = tmp_path / "in"
     src.mkdir()
-    (src / "1.json").write_text('{"k": "a", "ok": false}\n{"k": "b", "ok": false}\n')
-    (src / "2.json").write_text('{"k": "b", "ok": true}\n')
-    s = spark.readStream.schema("k string, ok boolean").option("maxFilesPerTrigger", 1).json(str(src))
+    batches = [
+        [("a", 1, "2024-01-01 10:00", "bad"), ("b", 2, "2024-01-01 11:00", "bad"), ("c", 3, "2024-01-01 11:00", "error")],
+        [("a", 4, "2024-01-07 23:59", "ok"), ("b", 5, "2024-01-08 00:00", "bad"), ("c", 6, "2024-01-02 00:00", "ok")],
+        [("a", 7, "2024-01-08 12:00", "ok"), ("a", 8, "2024-01-08 13:00", "bad"), ("b", 9, "2024-01-14 09:00", "ok"), ("b", 10, "2024-01-15 00:00", "error"), ("b", 11, "2024-01-15 01:00", "ok")],
+        [("z", 12, "2024-02-01 00:00", "ok")],
+    ]
     out = []
-    q = ingest.skip_list(s, "k").writeStream.foreachBatch(lambda b, _: out.extend((r["k"], r["skipped"]) for r in b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "state")).start()
-    try:
-        for _ in range(120):
-            if ("a", True) in out and ("b", False) in out:
-                break
-            time.sleep(0.5)
-    finally:
-        q.stop()
-    assert ("a", True) in out
-    assert ("b", False) in out
+    for i, rows in enumerate(batches):
+        (src / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("k", "attempt", "at", "outcome"), r, strict=True))) for r in rows))
+        s = spark.readStream.schema("k string, attempt long, at timestamp, outcome string").option("maxFilesPerTrigger", 1).json(str(src))
+        with skips.state_store(spark):
+            skips.skip_list(s, "k", late="30 days").writeStream.foreachBatch(lambda b, _: out.extend(tuple(r) for r in b.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    day = lambda d: datetime.date(2024, 1, d)
+    made = {r[1]: r[2:] for r in out if r[1] is not None}
+    assert made[1] == ("failed", 1, day(1), day(1))
+    assert made[4] == ("skipped", 1, day(1), day(1))
+    assert made[5] == ("failed", 2, day(1), day(8))
+    assert made[7] == ("ok", 0, None, None)
+    assert made[8] == ("failed", 1, day(8), day(8))
+    assert made[9] == ("skipped", 2, day(1), day(8))
+    assert made[10] == ("error", 2, day(1), day(8))
+    assert made[11] == ("ok", 0, None, None)
+    assert (made[3][0], made[6][0], made[12][0]) == ("error", "ok", "ok")
+    assert spark.conf.get(skips.PROVIDER, None) is None or "HDFS" in spark.conf.get(skips.PROVIDER)
+
+
+def test_skip_list_says_what_is_due(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    (src / "0.json").write_text('{"k": "a", "attempt": 1, "at": "2024-01-01T10:00:00", "outcome": "bad"}\n{"k": "b", "attempt": 2, "at": "2024-01-20T10:00:00", "outcome": "ok"}')
+    s = spark.readStream.schema("k string, attempt long, at timestamp, outcome string").json(str(src))
+    with skips.state_store(spark):
+        got = [tuple(r) for r in ingest.run_once(skips.skip_list(s, "k"), "append").where("attempt is null").collect()]
+    assert got == [("a", None, "due", 1, datetime.date(2024, 1, 1), datetime.date(2024, 1, 1))]
+
+
+def test_updates_cannot_be_read_back(spark, tmp_path):
+    with pytest.raises(ValueError, match="update"):
+        ingest.run_once(spark.readStream.schema("k long").json(str(tmp_path)), "update")
 
 
 def test_seen_and_sitemap(spark, tmp_path):
