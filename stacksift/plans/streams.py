@@ -60,7 +60,7 @@ def orphan_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys that a stream adds to a master table, and the delta that it writes with it: both have the same."""
     folder = work_folder(spark)
-    append_new(_events(spark, sf_dir).select("user_id"), "user_id", f"{folder}/master", f"{folder}/delta", f"{folder}/state").start().awaitTermination()
+    append_new(_events(spark, sf_dir).select("user_id"), "user_id", f"{folder}/master", f"{folder}/delta", f"{folder}/state", buckets=16, words=1).start().awaitTermination()
     read = lambda name: spark.read.parquet(f"{folder}/{name}").select("user_id", F.lit(name).alias("file"))
     return read("master").unionAll(read("delta"))
 

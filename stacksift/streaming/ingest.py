@@ -5,9 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators.checkpoint import shared_folder
+from .seen import SeenKeys
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -35,23 +35,22 @@ def run_once(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def append_new(stream: DataFrame, key: str, master: str, delta: str, checkpoint: str):
+def append_new(stream: DataFrame, key: str, master: str, delta: str, checkpoint: str, *, buckets: int = 256, words: int = 4):
     """Append rows of unseen keys to ``master`` and write the same rows as the batch's delta.
 
-    The delta is written first and named by batch, and the master takes what the delta has, so a batch that
-    is run again gives the same files.
+    The delta is written first and named by batch, and the master and the set of seen keys (beside the master) take what
+    the delta has, so a batch that is run again gives the same files. A batch looks into the buckets of that set which it
+    touches; neither the master nor the whole set is read.
     """
     spark = stream.sparkSession
+    seen = SeenKeys(spark, f"{master.rstrip('/')}_seen", key, dict(stream.dtypes)[key], buckets=buckets, words=words)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target, rows = f"{delta}/batch={batch_id}", f"{master}/batch={batch_id}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(master)
-        known = None
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            known = spark.read.parquet(master).where(F.col("batch") != batch_id).select(key)
-        fresh = batch.dropDuplicates([key])
-        fresh = fresh.join(known, key, "left_anti") if known is not None else fresh
-        fresh.write.mode("overwrite").parquet(target)
-        spark.read.parquet(target).write.mode("overwrite").parquet(rows)
+        target = f"{delta}/batch={batch_id}"
+        shared_folder(spark)
+        seen.unseen(batch.dropDuplicates([key]), batch_id).write.mode("overwrite").parquet(target)
+        fresh = spark.read.schema(batch.schema).parquet(target)
+        seen.add(fresh, batch_id)
+        fresh.write.mode("overwrite").parquet(f"{master}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
