@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import linkage, search, tables
+from ..operators import linkage, search, tables, trigrams
 from ..sources import readers
 from ..sources.readers import parquet
+from ..streaming.ingest import work_folder
 from .registry import query
 
 _NEWEST = "case l_linenumber % 3 when 0 then strftime(l_shipdate, '%Y') when 1 then strftime(l_shipdate, '%Y-%m') else strftime(l_shipdate, '%Y-%m-%d') end"
@@ -291,3 +294,16 @@ def kept_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     clicks = parquet(spark, sf_dir, "events").where("event_type = 'click'").select((F.col("user_id") % 200 + 1).alias("p_partkey"), "event_id")
     return writers.keep_clicks(clicks, parquet(spark, sf_dir, "part").where("p_size > 10"), "p_partkey").groupBy("p_partkey").agg(F.count("*").alias("clicks"), F.max("event_id").alias("last"))
+
+
+#: Substrings that are looked for: common and rare ones, with a hyphen, too short for a gram, and one that is nowhere.
+LOOKED_FOR = ("ring", "red-", "steel bolt", "g", "no such part", "-")
+
+
+@query("select q, p_partkey from part, (select unnest(['" + "', '".join(LOOKED_FOR) + "']) as q) where contains(lower(p_name), q) or contains(lower(p_type), q) or contains(lower(p_name), replace(q, '-', '')) or contains(lower(p_type), replace(q, '-', ''))")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of which the name or type holds a text, by an index of trigrams; the same rows as a scan."""
+    p = parquet(spark, sf_dir, "part")
+    index = trigrams.TrigramIndex(spark, f"{work_folder(spark)}/grams", buckets=16).build(p, "p_partkey", [F.lower("p_name"), F.lower("p_type")])
+    found = [index.search(q).select(F.lit(q).alias("q"), F.col("key").alias("p_partkey")) for q in LOOKED_FOR]
+    return reduce(DataFrame.unionByName, found)
