@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder, for the rounds of a loop.
+
+    A checkpoint keeps the size that the planner had estimated for it, and estimates of joins multiply: over rounds they
+    grow to numbers of many thousands of digits, which the planner then works with. A written table has the size of its files.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

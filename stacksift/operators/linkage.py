@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import same_place_ratio
-from .checkpoint import cut
+from .checkpoint import written
 from .components import connected_components
 from .ordered import neighbours
 
@@ -90,19 +90,21 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
 def flatten_aliases(df: DataFrame, key: str, to: str) -> DataFrame:
     """Every alias points straight at the end of its chain; an alias of itself points nowhere.
 
-    The pointers jump: each round replaces a target by its target's target, so chains need rounds by the
-    logarithm of their length. A cycle has no end; its members point at its least member, which points nowhere.
+    The pointers jump: each round replaces a target by its target's target, so after n rounds a pointer has gone 2 ** n
+    steps. Once that is more than there are aliases every chain has come to its end, and what still moves is on a cycle, or
+    leads into one: it points at the least member that it has passed, and that one nowhere.
     """
-    state = cut(df.select(F.col(key).alias("k"), F.when(F.col(to) != F.col(key), F.col(to)).alias("t"), F.col(key).alias("low")))
-    for _ in range(64):
+    state = written(df.select(F.col(key).alias("k"), F.when(F.col(to) != F.col(key), F.col(to)).alias("t"), F.col(key).alias("low")))
+    most = state.where("t is not null").count().bit_length() + 1
+    for done in range(1, most + 1):
         far = state.select(F.col("k").alias("t"), F.col("t").alias("far"), F.col("low").alias("far_low"))
         nxt = state.join(far, "t", "left").select("k", F.col("t").alias("was"), F.coalesce("far", "t").alias("t"), F.least("low", F.coalesce("far_low", "low")).alias("low"))
-        nxt = cut(nxt)
+        nxt = written(nxt)
         moved = nxt.where("not (t <=> was)").limit(1).count()
         state = nxt.select("k", "t", "low")
         if not moved:
             break
-        if _ > 40:  # only cycles still move after so many doublings
+        if done == most:
             state = state.select("k", F.when(F.col("low") != F.col("k"), F.col("low")).alias("t"), "low")
             break
     return state.select(F.col("k").alias(key), F.col("t").alias(to))

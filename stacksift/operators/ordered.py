@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .checkpoint import cut
+from .checkpoint import cut, written
 
 
 def _carried(edges: list, forward: bool) -> list[tuple]:
@@ -76,13 +76,13 @@ def orbit(points: DataFrame, step: int) -> DataFrame:
     both = points.select("k", F.col("m").alias("at"), F.lit(1).alias("is_point"), "m").unionByName(probes)
     # a point at the very place of a probe is its follower: probes stand before points
     found = nearest_known(both, ["k"], ["at", "is_point", "m"], F.when(F.col("is_point") == 1, F.col("m")), "to", forward=False)
-    follow = cut(found.where("is_point = 0 and `to` is not null").select("k", "m", "to"))
-    reached = cut(points.groupBy("k").agg(F.min("m").alias("m")))
+    follow = written(found.where("is_point = 0 and `to` is not null").select("k", "m", "to"))
+    reached = written(points.groupBy("k").agg(F.min("m").alias("m")))
     targets = follow.select(F.col("k").alias("jk"), F.col("to").alias("jm")).unionByName(reached.select(F.col("k").alias("jk"), F.col("m").alias("jm"))).distinct()
-    jump = cut(follow.join(targets, F.col("k").eqNullSafe(F.col("jk")) & (F.col("m") == F.col("jm")), "left_semi"))
+    jump = written(follow.join(targets, F.col("k").eqNullSafe(F.col("jk")) & (F.col("m") == F.col("jm")), "left_semi"))
     while jump.limit(1).count():
         ends = jump.select(F.col("k").alias("jk"), F.col("m").alias("jm"), F.col("to").alias("next"))
         more = reached.join(ends, F.col("k").eqNullSafe(F.col("jk")) & (F.col("m") == F.col("jm"))).select("k", F.col("next").alias("m"))
-        reached = cut(reached.unionByName(more).distinct())
-        jump = cut(jump.join(ends, F.col("k").eqNullSafe(F.col("jk")) & (F.col("to") == F.col("jm"))).select("k", "m", F.col("next").alias("to")))
+        reached = written(reached.unionByName(more).distinct())
+        jump = written(jump.join(ends, F.col("k").eqNullSafe(F.col("jk")) & (F.col("to") == F.col("jm"))).select("k", "m", F.col("next").alias("to")))
     return reached

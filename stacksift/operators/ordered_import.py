@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .checkpoint import cut
+from .checkpoint import written
 from .imports import free_of, title_publisher_hits
 from .ordered import nearest_known
 
@@ -77,13 +77,13 @@ def import_in_order(new: DataFrame, known: DataFrame, max_rounds: int = 200) ->
     and the same without place, ebook and loose. Stages are those of ``imports.import_cascade``. Rows of a file have one
     source, and rows of one source do not merge by title and publisher, so there only known books are looked at.
     """
-    rows = cut(_with_known(new, known))
+    rows = written(_with_known(new, known))
     first = rows.where("work is not null").groupBy("work").agg(F.min("place").alias("first"))
     start = rows.join(first, "work", "left")
     alone = F.col("first").isNull() | (F.col("first") == F.col("place"))
-    state = cut(start.select("place", "work", F.when(alone, "new").otherwise("work").alias("stage"), (-F.coalesce("first", "place") - 1).alias("book"), F.col("isbn").alias("number")))
+    state = written(start.select("place", "work", F.when(alone, "new").otherwise("work").alias("stage"), (-F.coalesce("first", "place") - 1).alias("book"), F.col("isbn").alias("number")))
     for _ in range(max_rounds):
-        after = cut(_round(rows, state, known))
+        after = written(_round(rows, state, known))
         old = state.select("place", F.col("stage").alias("old_stage"), F.col("book").alias("old_book"), F.col("number").alias("old_number"))
         moved = after.join(old, "place").where("stage <> old_stage or book <> old_book or not (number <=> old_number)").limit(1).count()
         state = after

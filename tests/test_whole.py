@@ -45,3 +45,28 @@ def test_same_place_pairs(spark):
     want = {(a, b) for a in names for b in names if a < b and len(a) == len(b) and same(a, b) >= 0.6}
     assert {(r["a"], r["b"]) for r in linkage.same_place_pairs(df, "n", 6, 10).collect()} == want
     assert linkage.same_place_pairs(df.where(F.lit(False)), "n", 6, 10).count() == 0
+
+
+def test_chains_cycles_and_hubs(spark, monkeypatch):
+    """A chain of 10,000 in order and one in disorder, and a hub of all nodes, in rounds by the logarithm of their length."""
+    import random
+
+    from stacksift.operators import components
+
+    draw = random.Random(9)
+    names = draw.sample(range(100_000, 200_000), 10_000)
+    edges = [(i, i + 1) for i in range(10_000)] + [(a + 1_000_000, b + 1_000_000) for a, b in zip(names, names[1:], strict=False)] + [(5_000_000, 5_000_000 + i) for i in range(1, 5_000)]
+    rounds = []
+    monkeypatch.setattr(components, "written", lambda df, real=components.written: rounds.append(1) or real(df))
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == union_find(edges)
+    assert len(rounds) <= 1 + 4 * 16
+
+
+def test_aliases_on_cycles_end_early(spark, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(linkage, "written", lambda df, real=linkage.written: rounds.append(1) or real(df))
+    rows = [(i, i + 1) for i in range(1, 40)] + [(40, None)] + [(100, 101), (101, 102), (102, 100), (103, 100), (104, 103), (105, 105)]
+    got = dict(linkage.flatten_aliases(spark.createDataFrame(rows, "k long, t long"), "k", "t").collect())
+    assert got == {i: 40 for i in range(1, 40)} | {40: None, 100: None, 101: 100, 102: 100, 103: 100, 104: 100, 105: None}
+    assert len(rounds) <= 8
