@@ -2,12 +2,15 @@
 
 Training (bounded, on the driver): labelled credentials, a list of (format, string). The strings of a
 format form a prefix tree whose states are merged when a Hoeffding test finds their next-symbol and
-stop frequencies compatible (ALERGIA). A symbol is the character itself within the first LITERAL places
-or if it is no letter or digit, else its class; so the tree learns marks such as fixed heads and dots.
-Scanning: a candidate starts wherever a string of some format may begin, and ends where the run of token
-characters ends or before a separator in it. Its score is its log-likelihood under the automaton (steps and
+stop frequencies compatible (ALERGIA). A symbol is the character itself within the head that the strings
+of the format share (at most LITERAL places, in at most HEADS forms each seen twice on average) or if it is no letter or
+digit, else its class; so the tree learns marks such as fixed heads and dots, and a format without a head by its classes,
+separators and lengths.
+Scanning: a candidate starts wherever a head of some format stands, for formats without one where a run of token
+characters begins or behind a separator in it; it ends where the run ends or before a separator in it. Its score is its log-likelihood under the automaton (steps and
 stop) and under the lengths of the labelled strings (a Gaussian of LENGTH_SHARE of the length around each,
-so near lengths count too), against a string drawn evenly from 68 characters and 1,000 lengths; candidates that the best
+so near lengths count too), against a string drawn evenly from 68 characters and 1,000 lengths, for formats without a head
+against the runs of ordinary text; candidates that the best
 automaton makes likelier by MARGIN are spans, of overlapping ones the likeliest (from one start the longest
 whose length factor is within LENGTH_SLACK of the likeliest's). There is no least or
 greatest length, and no character that a candidate must have.
@@ -45,21 +48,34 @@ KINDS = ("assign", "access", "hex", "grammar")
 #: Characters of a run, besides those of the labelled strings.
 TOKEN = "+/_.=-" + "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 SEPARATOR = re.compile(r"[^A-Za-z0-9]")
-LITERAL = 4
+LITERAL, HEADS = 4, 8
 #: Log-likelihood over even draws (of the 68 token characters, and of 1,000 lengths), in nats, that a candidate must reach.
 MARGIN = 8.0
 EVEN, EVEN_LENGTH = -math.log(68), -math.log(1_000)
+#: What a format without a head is held against instead, since even draws would look like its keys: the runs of ordinary
+#: text, by shares of small letters, digits, capitals and the six other characters, and a mean length of six.
+PLAIN = {"a": math.log(0.80 / 26), "9": math.log(0.12 / 10), "A": math.log(0.06 / 26)}
+PLAIN_OTHER, PLAIN_LENGTH = math.log(0.02 / 6), 6.0
 #: Deviation of the length factor, as a share of a labelled length; one character at least.
 LENGTH_SHARE = 0.05
 LENGTH_SLACK = 1.0
-#: Most labelled strings that are used in training, by format.
+#: Most labelled strings that are used in training, by format: those of least SHA-256. A bound of the driver's work.
 MOST_LABELLED = 400
 
 
-def symbols(s: str) -> list[str]:
+def shared_head(strings: Iterable[str]) -> int:
+    """How many first characters are a head: the longest length at which the strings have few beginnings, each of several."""
+    strings = list(strings)
+    length = 0
+    while length < LITERAL and len({s[: length + 1] for s in strings}) <= min(HEADS, len(strings) // 2):
+        length += 1
+    return length
+
+
+def symbols(s: str, literal: int = LITERAL) -> list[str]:
     out = []
     for i, c in enumerate(s):
-        if i < LITERAL or not c.isalnum():
+        if i < literal or not c.isalnum():
             out.append(c)
         else:
             out.append("9" if c.isdigit() else "a" if c.islower() else "A")
@@ -69,18 +85,23 @@ def symbols(s: str) -> list[str]:
 class Automaton:
     """A deterministic automaton with symbol and stop probabilities, and the lengths of its strings."""
 
-    def __init__(self, states: list[tuple[dict[str, tuple[int, float]], float]], lengths: Iterable[int], alphabet: Iterable[str] = ()):
-        self.states, self.alphabet = states, frozenset(alphabet)
+    def __init__(self, states: list[tuple[dict[str, tuple[int, float]], float]], lengths: Iterable[int], alphabet: Iterable[str] = (), literal: int = LITERAL):
+        self.states, self.alphabet, self.literal = states, frozenset(alphabet), literal
         seen = Counter(lengths)
         total = sum(seen.values())
         self.lengths = [(n, max(1.0, LENGTH_SHARE * n), math.log(k / total)) for n, k in sorted(seen.items())]
         self.by_length: dict[int, float] = {}
         #: No longer string can reach MARGIN: each character adds ``most`` at most, and the length factor falls faster.
-        most = max([0.0, *(p - (math.log(10 if c == "9" else 26) if c in "9aA" else 0.0) - EVEN for steps, _ in states for c, (_, p) in steps.items())])
+        most = max([0.0, *(p - (math.log(10 if c == "9" else 26) if c in "9aA" else 0.0) - self.plain(c) for steps, _ in states for c, (_, p) in steps.items())])
+        bound = lambda n: self.length(n) + n * most - literal * EVEN - self.plain_length(n)
         self.reach = max(seen)
-        while self.length(self.reach) + self.reach * most - LITERAL * EVEN - EVEN_LENGTH >= MARGIN:
+        while bound(self.reach) >= MARGIN:
             self.reach += 1
-        #: What the strings begin with, LITERAL characters or the whole of a shorter string.
+        #: No shorter string can reach it either.
+        self.least = min(seen)
+        while self.least > 1 and bound(self.least - 1) >= MARGIN:
+            self.least -= 1
+        #: What the strings begin with, the head or the whole of a shorter string; the empty text where they have no head.
         self.heads = self._heads()
 
     def _heads(self) -> set[str]:
@@ -88,7 +109,7 @@ class Automaton:
         while todo:
             state, head = todo.pop()
             steps = self.states[state][0]
-            if len(head) == LITERAL or not steps:
+            if len(head) == self.literal or not steps:
                 out.add(head)
             else:
                 todo += [(to, head + c) for c, (to, _) in steps.items()]
@@ -96,6 +117,13 @@ class Automaton:
                     out.add(head)
         return out
 
+    def plain(self, c: str) -> float:
+        """Log-probability of a symbol's character in what the format is held against."""
+        return EVEN if self.literal else PLAIN.get(c, PLAIN_OTHER)
+
+    def plain_length(self, n: int) -> float:
+        return EVEN_LENGTH if self.literal else (n - 1) * math.log(1 - 1 / PLAIN_LENGTH) - math.log(PLAIN_LENGTH)
+
     def length(self, n: int) -> float:
         """Log-density of the length ``n``."""
         if n not in self.by_length:
@@ -107,15 +135,15 @@ class Automaton:
     def scores(self, s: str, start: int, ends: set[int]) -> Iterator[tuple[float, float, int]]:
         """``score``, length factor and end of the pieces of ``s`` from ``start`` to each of ``ends`` that is not refused."""
         state, total = 0, 0.0
-        for i, c in enumerate(symbols(s[start : start + self.reach]), 1):
+        for i, c in enumerate(symbols(s[start : start + self.reach], self.literal), 1):
             step = self.states[state][0].get(c)
             if step is None:
                 return
             state = step[0]
             at = start + i
-            total += step[1] - (0.0 if i <= LITERAL or not s[at - 1].isalnum() else math.log(10 if c == "9" else 26))
+            total += step[1] - (0.0 if i <= self.literal or not s[at - 1].isalnum() else math.log(10 if c == "9" else 26)) - self.plain(c)
             if at in ends:
-                yield total + self.states[state][1] + self.length(i) - EVEN_LENGTH - i * EVEN, self.length(i), at
+                yield total + self.states[state][1] + self.length(i) - self.plain_length(i), self.length(i), at
 
     def score(self, s: str) -> float:
         """Log-likelihood over even draws; minus infinity if the automaton refuses the string."""
@@ -125,12 +153,13 @@ class Automaton:
 def infer(strings: Iterable[str], alpha: float = 0.05) -> Automaton:
     """ALERGIA: merge statistically compatible states of the prefix tree of ``strings``."""
     strings = sorted(strings)
+    literal = shared_head(strings)
     nxt: list[dict[str, int]] = [{}]
     come, stop, used = [0], [0], [Counter()]
     for s in strings:
         q = 0
         come[0] += 1
-        for c in symbols(s):
+        for c in symbols(s, literal):
             used[q][c] += 1
             if c not in nxt[q]:
                 nxt[q][c] = len(nxt)
@@ -183,7 +212,7 @@ def infer(strings: Iterable[str], alpha: float = 0.05) -> Automaton:
         if not blue:
             break
         q, r, c = min(blue, key=lambda x: (-come[x[0]], x))
-        # the likest compatible state first; the root stays apart, so what has been read within LITERAL is kept
+        # the likest compatible state first; the root stays apart, so what has been read of a head is kept
         near = next((p for p in sorted(red[1:], key=lambda p: (apart_by(p, q), p)) if compatible(p, q)), None)
         if near is None:
             red.append(q)
@@ -195,7 +224,7 @@ def infer(strings: Iterable[str], alpha: float = 0.05) -> Automaton:
     for q in red:
         total = come[q] + 0.5 * (len(nxt[q]) + 1)
         states.append(({c: (name[p], math.log((used[q][c] + 0.5) / total)) for c, p in nxt[q].items()}, math.log((stop[q] + 0.5) / total)))
-    return Automaton(states, map(len, strings), set().union(*strings))
+    return Automaton(states, map(len, strings), set().union(*strings), literal)
 
 
 def labelled_examples(each: int = 200, seed: int = 7) -> list[tuple[str, str]]:
@@ -244,28 +273,31 @@ class Scanner:
     def __init__(self, model: dict[str, Automaton]):
         self.by_head: dict[str, list[Automaton]] = defaultdict(list)
         for a in model.values():
-            for h in a.heads:
+            for h in a.heads - {""}:
                 self.by_head[h].append(a)
+        self.headless = [a for a in model.values() if "" in a.heads]
         #: Places (by look-ahead, so they may overlap) at which a string may begin.
         self.begin = re.compile("(?=(" + "|".join(re.escape(h) for h in sorted(self.by_head, key=lambda h: (-len(h), h))) + "))") if self.by_head else None
-        self.run = re.compile("[" + re.escape("".join(sorted({*TOKEN}.union(*(a.alphabet for a in model.values()))))) + "]*")
+        token = "[" + re.escape("".join(sorted({*TOKEN}.union(*(a.alphabet for a in model.values()))))) + "]"
+        self.run = re.compile(token + "*")
+        self.long_run = re.compile(f"{token}{{{min(a.least for a in self.headless)},}}") if self.headless else None
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind's place, end) of candidates that an automaton makes likelier than even draws by MARGIN."""
-        if self.begin is None:
-            return []
         found: list[tuple[float, int, int]] = []
         stop = -1
-        for m in self.begin.finditer(text):
+        for m in self.begin.finditer(text) if self.begin else ():
             start = m.start()
             if start >= stop:
                 stop = max(start + 1, self.run.match(text, start).end())
                 ends = {x for x in (stop, *(x.start() for x in SEPARATOR.finditer(text, start, stop))) if text[x - 1] != "."}
             automata = {id(a): a for n in range(LITERAL + 1) for a in self.by_head.get(text[start : start + n], ())}
-            for a in automata.values():
-                if some := [x for x in a.scores(text, start, ends) if x[0] >= MARGIN]:
-                    best = max(some)
-                    found.append((best[0], start, max(end for _, length, end in some if length >= best[1] - LENGTH_SLACK)))
+            self._score(text, start, ends, automata.values(), found)
+        for m in self.long_run.finditer(text) if self.long_run else ():
+            breaks = list(SEPARATOR.finditer(text, m.start(), m.end()))
+            ends = {x for x in (m.end(), *(b.start() for b in breaks)) if text[x - 1] != "."}
+            for start in (m.start(), *(b.end() for b in breaks)):
+                self._score(text, start, ends, [a for a in self.headless if m.end() - start >= a.least], found)
         taken: list[tuple[int, int]] = []
         for _, start, end in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
             at = bisect_left(taken, (start, end))
@@ -274,6 +306,15 @@ class Scanner:
         return [(a, 3, b) for a, b in taken]
 
 
+    @staticmethod
+    def _score(text: str, start: int, ends: set[int], automata: Iterable[Automaton], found: list) -> None:
+        """Add the best piece from ``start`` under each automaton that makes one likely enough."""
+        for a in automata:
+            if some := [x for x in a.scores(text, start, ends) if x[0] >= MARGIN]:
+                best = max(some)
+                found.append((best[0], start, max(end for _, length, end in some if length >= best[1] - LENGTH_SLACK)))
+
+
 def grammar_spans(text: str, model: dict[str, Automaton]) -> list[tuple[int, int, int]]:
     return Scanner(model).spans(text)
 

@@ -100,6 +100,31 @@ def test_grammar_finds_unseen_credentials():
     assert sum(bool(secrets.grammar_spans(s, model)) for s in plain) <= 2
 
 
+@pytest.mark.parametrize("kind", ["uuid", "key"])
+@pytest.mark.parametrize("n", [20, 200])
+def test_formats_without_a_head(kind, n):
+    """UUIDs and keys of 40 random characters: found in text, behind = and in quotes; words and hex strings of 40 are none of the keys."""
+    import uuid
+
+    draw = random.Random(5)
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    one = lambda: str(uuid.UUID(int=draw.getrandbits(128), version=4)) if kind == "uuid" else "".join(draw.choice(alnum) for _ in range(40))
+    model = secrets.train([(kind, one()) for _ in range(n)])
+    assert model[kind].literal == 0
+    fresh = [one() for _ in range(100)]
+    found = sum((4, 3, 4 + len(v)) in secrets.grammar_spans(f"see {v} here", model) for v in fresh)
+    found += sum((3, 3, 3 + len(v)) in secrets.grammar_spans(f'k="{v}", /{v}', model) for v in fresh)
+    assert found >= 180
+    words = " ".join("".join(draw.choice("etaoinshrdlu") for _ in range(draw.randint(1, 14))) for _ in range(5_000))
+    assert not secrets.grammar_spans(words, model)
+    if kind == "key":
+        assert sum(bool(secrets.grammar_spans("".join(draw.choice("0123456789abcdef") for _ in range(40)), model)) for _ in range(100)) <= 5
+
+
+def test_heads_are_what_strings_share():
+    assert [secrets.shared_head(x) for x in (["ghp_a1", "ghp_b2"], ["ghp_a1", "ghs_b2"] * 4, ["abc"], ["xa", "xb"], [])] == [4, 4, 0, 1, 0]
+
+
 def test_secret_scan_odd_rows(odd):
     got = secrets.scan(odd).collect()
     assert len(got) == len(ODD)
