@@ -196,6 +196,44 @@ def test_main_text(spark):
     assert got[1:] == [(2, "", 0), (3, "", 0), (3, "", 0)]
 
 
+HAND_MADE = {
+    "<html><body><nav>Menu</nav><h1>The harbour in winter</h1><p>The boats lay still between the stones, and nobody walked along the quay before noon that day.</p></body></html>": 2,
+    "<body><p>We use cookies to improve your experience. Accept all</p><h1>A walk by the sea</h1><p>In the early morning the old road was empty and the light came slowly over the hills, so that the houses looked like paper.</p><p>People in the market said that the winter would be long, and that the river had never been so low in all their years.</p><p>Subscribe to our newsletter for weekly updates!</p><p>Great article, thanks for sharing! I agree with every word.</p></body>": 3,
+    "<html><body bgcolor=white><center><font size=5>Old page</font></center><p>This page was written long ago by hand and it has nothing but paragraphs of text in it, as pages then had.</p><p>It ends here, without any menu.</p></body></html>": 3,
+    "<body><article><h1>News</h1><p>The council met on Monday and talked about the bridge, which has been closed to lorries since the flood of last spring.</p><p>All rights reserved.</p></article><p>3 comments</p><p>Posted by Ann: nice post</p><footer>Copyright 2020</footer></body>": 3,
+}
+
+
+def test_pages_whose_notices_only_say_so():
+    """Menus, notices, calls and comments without telling markup go; of an article nothing goes for its words."""
+    field = html_crf.default_field()
+    for page, n in HAND_MADE.items():
+        got = html_crf.extract(page, field).split("\n")
+        every = [b[0] for b in html_crf.blocks(page)]
+        assert len(got) == n, got
+        assert got == [b for b in every if b in got]
+        assert not any(w in " ".join(got) for w in ("Menu", "cookies", "Subscribe", "thanks", "comments", "Posted", "Copyright"))
+    test = html_crf.noted_pages(80, seed=92)
+    right = [field.decode(html_crf.features(html_crf.blocks(h, field.index))) == y for h, y in test]
+    assert np.mean(right) > 0.8
+
+
+def test_field_against_all_paths():
+    """Viterbi and the sums over paths, against every path of short pages."""
+    import itertools
+
+    draw = np.random.default_rng(3)
+    for n in range(1, 9):
+        e, t = draw.normal(size=(n, 2)), draw.normal(size=(2, 2))
+        paths = {p: e[range(n), p].sum() + sum(t[a, b] for a, b in itertools.pairwise(p)) for p in itertools.product((0, 1), repeat=n)}
+        z, fwd, bwd = html_crf.both_ways(e, t)
+        assert abs(z - np.logaddexp.reduce(list(paths.values()))) < 1e-9
+        for i in range(n):
+            assert abs(np.exp(fwd[i, 1] + bwd[i, 1] - z) - sum(np.exp(s - z) for p, s in paths.items() if p[i])) < 1e-9
+        field = html_crf.Field({str(i): i for i in range(n)}, e, t)
+        assert tuple(field.decode([[str(i)] for i in range(n)])) == max(paths, key=paths.get)
+
+
 def test_field_on_unseen_layouts():
     field = html_crf.default_field()
     test = html_crf.labelled_pages(80, seed=91)
