@@ -9,6 +9,7 @@ from ..functions.names import judge
 from ..functions.text import common_substring, same_place_ratio
 from . import tables
 from .components import connected_components
+from .ordered import nearest_known, prefix_roots
 
 
 def free_of(other: Column) -> Column:
@@ -125,16 +126,25 @@ def edition_pairs(df: DataFrame, text: str, blocks: Column, num: int = 6, den: i
 def audit_new(new: DataFrame, known: DataFrame, head: int = 6, common: int = 8) -> DataFrame:
     """id and level of every new item (id, isbn, key) against known ones (isbn, key): isbn, exact, prefix, common or none.
 
-    prefix: one key begins with the other; common: they begin with ``common`` equal characters. Known keys are made
-    distinct first, and a new key meets those of its first ``head`` characters only; shorter keys are compared exactly.
+    prefix: one key begins with the other; common: they begin with ``common`` equal characters. Only keys of ``head``
+    characters or more are looked at for these two; shorter ones are compared exactly.
+
+    Keys that begin with one text are neighbours in order, so no key meets all of a popular beginning: each new key looks
+    at the known key before and behind it, and at the shortest known key that the one before begins with.
     """
     by_isbn = new.join(known.where("isbn is not null").select("isbn").distinct(), "isbn", "left_semi").select("id", F.lit(1).alias("rank"))
     keys = known.where("key <> ''").select(F.col("key").alias("k")).distinct()
     exact = new.join(keys, F.col("key") == F.col("k"), "left_semi").select("id", F.lit(2).alias("rank"))
-    a = new.where(F.char_length("key") >= head).withColumn("head", F.left("key", F.lit(head)))
-    b = keys.where(F.char_length("k") >= head).withColumn("head", F.left("k", F.lit(head)))
-    rank = F.when(F.startswith("key", "k") | F.startswith("k", "key"), 3).when((F.char_length("key") >= common) & (F.left("key", F.lit(common)) == F.left("k", F.lit(common))), 4)
-    near = a.join(b, "head").select("id", rank.alias("rank")).where("rank is not null")
+    roots = prefix_roots(keys.where(F.char_length("k") >= head), "k").select(F.col("k").alias("key"), F.struct("k", "root").alias("known"))
+    asked = new.where(F.char_length("key") >= head).select("key").distinct().select("key", F.lit(None).cast(roots.schema["known"].dataType).alias("known"))
+    # of equal keys the known one stands first, so it is before and not behind
+    both = roots.select("key", "known", F.lit(0).alias("asked")).unionByName(asked.select("key", "known", F.lit(1).alias("asked")))
+    both = nearest_known(both.withColumn("one", F.lit(1)), ["one"], ["key", "asked"], F.col("known"), "before")
+    both = nearest_known(both, ["one"], ["key", "asked"], F.col("known"), "behind", forward=False).where("asked = 1")
+    begins = F.coalesce(F.startswith("key", "before.root") | F.startswith("behind.k", "key"), F.startswith("key", "before.root"), F.startswith("behind.k", "key"))
+    alike = lambda k: F.coalesce(F.left(k, F.lit(common)) == F.left("key", F.lit(common)), F.lit(False))
+    rank = F.when(begins, 3).when((F.char_length("key") >= common) & (alike("before.k") | alike("behind.k")), 4)
+    near = new.join(both.select("key", rank.alias("rank")).where("rank is not null"), "key").select("id", "rank")
     best = by_isbn.unionByName(exact).unionByName(near).groupBy("id").agg(F.min("rank").alias("rank"))
     names = F.array(*[F.lit(x) for x in ("isbn", "exact", "prefix", "common")])
     return new.select("id").join(best, "id", "left").select("id", F.coalesce(F.get(names, F.col("rank") - 1), F.lit("none")).alias("level"))

@@ -11,6 +11,9 @@ key of their own. Columns of any name pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +67,35 @@ def neighbours(df: DataFrame, keys: list[str], order: list[str], value: Column,
     return both.withColumns({before: F.col(before)["x"], behind: F.col(behind)["x"]})
 
 
+def prefix_roots(df: DataFrame, key: str) -> DataFrame:
+    """k and root of each distinct key: the shortest key of the table that it begins with, mostly itself.
+
+    In order, the keys that begin with one of them stand right behind it. A task streams its range and holds the last root;
+    a root of an earlier range that a range begins under is carried from its edges, a row a range.
+    """
+    rows = df.select(F.col(key).alias("k")).where("k is not null").distinct()
+    rows = cut(rows.repartitionByRange("k").sortWithinPartitions("k").withColumn("part", F.spark_partition_id()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root = None
+        for b in batches:
+            roots = []
+            for k in b.column(0).to_pylist():
+                root = root if root is not None and k.startswith(root) else k
+                roots.append(root)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(roots, pa.string())], ["k", "part", "root"])
+
+    local = rows.mapInArrow(run, "k string, part int, root string")
+    edges = local.groupBy("part").agg(F.max("k").alias("last"), F.max_by("root", "k").alias("root")).collect()
+    carried, before = [], None
+    for e in sorted(edges, key=lambda e: e["part"]):
+        carried.append((e["part"], before))
+        before = before if before is not None and e["last"].startswith(before) else e["root"]
+    table = df.sparkSession.createDataFrame(carried, "part int, before string")  # a row a range
+    made = local.join(F.broadcast(table), "part", "left")
+    return made.select("k", F.when(F.startswith("k", "before"), F.col("before")).otherwise(F.col("root")).alias("root"))
+
+
 def orbit(points: DataFrame, step: int) -> DataFrame:
     """The points (k, m) that are reached: each key's first, and from a reached one the first that is ``step`` or more behind it.
 

@@ -94,3 +94,34 @@ def test_carried_values_cross_ranges_of_one_key():
     edges = [edge(0, "a", "b", None, Tail(("b", 1, 10))), edge(1, "b", "b"), edge(2, "b", "c"), edge(3, "c", "c", None, Tail(("c", 2, 7))), edge(4, "c", "d")]
     assert ordered._carried(edges, True) == [(1, ("b",), 10), (2, ("b",), 10), (4, ("c",), 7)]
     assert [a for a, b in pairwise([x[0] for x in ordered._carried(edges, True)]) if a >= b] == []
+
+
+def test_audit_by_order(many_ranges):
+    """A beginning that most keys share: levels as by comparing every pair."""
+    from stacksift.operators import imports
+
+    draw = random.Random(3)
+    word = lambda: "".join(draw.choice("ab") for _ in range(draw.randint(1, 14)))
+    new = [(i, draw.choice([None, str(i % 9)]), draw.choice(["popular", "popular", "", "日本語日本語"]) + word()) for i in range(250)]
+    known = [(draw.choice([None, "4", "5"]), draw.choice(["popular", "popular", "", "日本語日本語"]) + word()) for _ in range(250)] + [(None, ""), ("4", None)]
+    a, b = many_ranges.createDataFrame(new, "id long, isbn string, key string"), many_ranges.createDataFrame(known, "isbn string, key string")
+    want = {}
+    for i, isbn, key in new:
+        levels = ["none"]
+        for other, k in known:
+            if isbn and isbn == other:
+                levels.append("isbn")
+            if k and key == k:
+                levels.append("exact")
+            if k and len(key) >= 6 and len(k) >= 6:
+                if key.startswith(k) or k.startswith(key):
+                    levels.append("prefix")
+                elif len(key) >= 8 and key[:8] == k[:8]:
+                    levels.append("common")
+        want[i] = min(levels, key=["isbn", "exact", "prefix", "common", "none"].index)
+    assert {r["id"]: r["level"] for r in imports.audit_new(a, b).collect()} == want
+    assert len(set(want.values())) == 5
+    keys = sorted({k for _, k in known if k})
+    got = {r["k"]: r["root"] for r in ordered.prefix_roots(b.where("key <> ''"), "key").collect()}
+    assert got == {k: min((p for p in keys if k.startswith(p)), key=len) for k in keys}
+    assert imports.audit_new(a, b.where("false")).where("level <> 'none'").count() == 0
