@@ -28,8 +28,7 @@ def isbn13_of_10(s: Column) -> Column:
 
 def isbn13(s: Column) -> Column:
     """The 13-digit form of either number, or null."""
-    c = clean_isbn(s)
-    return F.when(F.length(c) == 13, c).when(F.length(c) == 10, isbn13_of_10(c))
+    return _bound(clean_isbn(s), lambda c: F.when(F.length(c) == 13, c).when(F.length(c) == 10, isbn13_of_10(c)))
 
 
 def is_isbn13(s: Column) -> Column:
@@ -46,12 +45,21 @@ def pick_isbn(field: Column, meta: Column) -> Column:
     return F.when(a.isNotNull() & (m.isNull() | (a == m)), a).otherwise(m)
 
 
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is made once, however often ``f`` uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def resolve_isbn(barcode: Column, field: Column) -> Column:
     """struct(isbn, status): ok, conflict or invalid, after check digits."""
-    one = F.when(is_isbn13(isbn13(barcode)), isbn13(barcode))
-    two = F.when(is_isbn13(isbn13(field)), isbn13(field))
-    status = F.when(one.isNull() & two.isNull(), "invalid").when(one.isNotNull() & two.isNotNull() & (one != two), "conflict").otherwise("ok")
-    return F.struct(F.when(status != "conflict", F.coalesce(one, two)).alias("isbn"), status.alias("status"))
+    valid = lambda s: _bound(isbn13(s), lambda n: F.when(is_isbn13(n), n))
+
+    def judged(x: Column) -> Column:
+        one, two = x["one"], x["two"]
+        status = F.when(one.isNull() & two.isNull(), "invalid").when(one.isNotNull() & two.isNotNull() & (one != two), "conflict").otherwise("ok")
+        return F.struct(F.when(one.isNull() | two.isNull() | (one == two), F.coalesce(one, two)).alias("isbn"), status.alias("status"))
+
+    return _bound(F.struct(valid(barcode).alias("one"), valid(field).alias("two")), judged)
 
 
 def only_isbn(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("catalogue", "linking", "texts", "audits", "rules", "streams", "persons", "policies", "imports", "reads", "files")
+MODULES = ("catalogue", "linking", "texts", "audits", "rules", "streams", "persons", "policies", "imports", "reads", "files", "numbers")
 
 _queries: dict[str, Callable] = {}
 _sql: dict[str, str] = {}
