@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed
+
 ROUNDS = 10
 KEY = "stacksift-demo-key"
 FIRST_DAY, DAY_SIDE = "1900-01-01", 272
