@@ -96,7 +96,7 @@ def flatten_aliases(df: DataFrame, key: str, to: str) -> DataFrame:
     """
     state = written(df.select(F.col(key).alias("k"), F.when(F.col(to) != F.col(key), F.col(to)).alias("t"), F.col(key).alias("low")))
     most = state.where("t is not null").count().bit_length() + 1
-    for done in range(1, most + 1):
+    for _ in range(most):
         far = state.select(F.col("k").alias("t"), F.col("t").alias("far"), F.col("low").alias("far_low"))
         nxt = state.join(far, "t", "left").select("k", F.col("t").alias("was"), F.coalesce("far", "t").alias("t"), F.least("low", F.coalesce("far_low", "low")).alias("low"))
         nxt = written(nxt)
@@ -104,7 +104,8 @@ def flatten_aliases(df: DataFrame, key: str, to: str) -> DataFrame:
         state = nxt.select("k", "t", "low")
         if not moved:
             break
-        if done == most:
-            state = state.select("k", F.when(F.col("low") != F.col("k"), F.col("low")).alias("t"), "low")
-            break
+    # a chain's target is an end, which points nowhere; on a cycle, or on the way into one, the target points on
+    beyond = state.select(F.col("k").alias("t"), F.col("t").alias("beyond"))
+    least = F.when(F.col("low") != F.col("k"), F.col("low"))
+    state = state.join(beyond, "t", "left").select("k", F.when(F.col("beyond").isNotNull(), least).otherwise(F.col("t")).alias("t"))
     return state.select(F.col("k").alias(key), F.col("t").alias(to))
