@@ -9,6 +9,7 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.checkpoint import spread
 from .persons import LABEL_CUTS, ROLE_WORDS, TAIL_NOTES, name_kind
 from .text import loose_key
 
@@ -132,9 +133,10 @@ def people(df: DataFrame, key: str, credit: str) -> DataFrame:
     role words or fillers are nobody. A held piece keeps its name as written and gives no role of its own. Places rise
     along the line; pieces that are nobody leave a gap.
     """
-    lines = df.select(F.col(key).alias("of"), F.col(credit).alias("credit_line"))
+    lines = spread(df.select(F.col(key).alias("of"), F.col(credit).alias("credit_line")))
     cut = lines.lateralJoin(credit_pieces(F.col("credit_line").outer()))
-    judged = cut.select("of", "piece_no", "piece", "shared", name_kind(F.col("piece"), F.col("n_people"), F.col("fragment")).alias("k"))
+    # a generator gives its rows once; a filter on a column would have the column's expression copied into it
+    judged = cut.select("of", "piece_no", "piece", "shared", F.explode(F.array(name_kind(F.col("piece"), F.col("n_people"), F.col("fragment")))).alias("k"))
     held = F.col("k.hold").isNotNull()
     somebody = judged.where(~F.col("k.kind").isin("role_word", "filler") & (held | (F.col("k.clean") != "")))
     name = F.when(held, F.col("piece")).otherwise(F.col("k.clean"))

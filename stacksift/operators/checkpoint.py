@@ -1,4 +1,4 @@
-"""Lineage cuts and working folders in the shared folder that the cluster names."""
+"""Lineage cuts, even partitions and working folders in the shared folder that the cluster names."""
 
 from __future__ import annotations
 
@@ -23,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over the session's shuffle partitions before costly work on each row: a small file is read by one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     shared_folder(df.sparkSession)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from stacksift.operators import imports
+from stacksift.plans import registry
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 def test_edition_pairs_of_many_rows_of_a_title(spark, monkeypatch):
@@ -22,3 +27,12 @@ def test_edition_pairs_of_many_rows_of_a_title(spark, monkeypatch):
     assert Counter(tuple(r) for r in made.collect()) == want
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("Exchange")  # pairs are not shuffled
+
+
+@pytest.mark.parametrize("name", ["name_notes", "name_kinds", "merge_ratios", "resplit_additions", "credit_people", "credit_lines"])
+def test_lines_of_a_small_file_are_dealt_to_all_tasks(spark, name):
+    """Costly expressions run on even partitions, and none is copied into filters or into its own branches."""
+    made = registry.queries()[name](spark, SF)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange RoundRobinPartitioning" in plan
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("EndsWith") <= 4
