@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, persons
+from ..operators.checkpoint import spread
 from ..sources.readers import parquet
 from .registry import query
 
@@ -15,11 +16,11 @@ LINES = ["文/圖", "等", "其他", "圖", "王小明；李四", "王小明、
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """c_custkey and line."""
+    """c_custkey and line, in even partitions."""
     k = F.col("c_custkey")
     at = lambda values, i: F.get(F.array(*[F.lit(v) for v in values]), i.cast("int"))
     made = F.concat(at(NAMES, k % len(NAMES)), at(ENDINGS, F.floor(k / len(NAMES)) % len(ENDINGS)))
-    return parquet(spark, sf_dir, "customer").select("c_custkey", F.when(k % 4 == 0, at(LINES, F.floor(k / 4) % len(LINES))).otherwise(made).alias("line"))
+    return spread(parquet(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", F.when(k % 4 == 0, at(LINES, F.floor(k / 4) % len(LINES))).otherwise(made).alias("line"))
 
 
 def _sql(values) -> str:
@@ -141,9 +142,10 @@ old as (select c_custkey as item, t_in as person, 'author' as role from tails wh
 select item, person, role, 'old' as origin from old union all select item, person, role, 'new' from found where not exists (select 1 from old where old.item = found.item and old.person = found.person and old.role = found.role)""")
 def resplit_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links between items and people after a new split: missing ones are added, none is taken away, a held name adds nobody."""
-    t = _lines(spark, sf_dir).select(F.col("c_custkey").alias("item"), persons.trimmed(F.col("line")).alias("s"), persons.tail_note(F.col("line")).alias("t"))
-    old = t.where("item % 3 = 0").select("item", F.col("s").alias("person"), F.lit("author").alias("role"))
-    found = t.where("t.hold is null and t.clean <> ''").select("item", F.col("t.clean").alias("person"), F.coalesce("t.role", F.lit("author")).alias("role"))
+    lines = _lines(spark, sf_dir).select(F.col("c_custkey").alias("item"), persons.trimmed(F.col("line")).alias("s"))
+    old = lines.where("item % 3 = 0").select("item", F.col("s").alias("person"), F.lit("author").alias("role"))
+    t = lines.select("item", F.inline(F.array(persons.tail_note(F.col("s")))))
+    found = t.where("hold is null and clean <> ''").select("item", F.col("clean").alias("person"), F.coalesce("role", F.lit("author")).alias("role"))
     return old.withColumn("origin", F.lit("old")).unionByName(found.join(old, ["item", "person", "role"], "left_anti").withColumn("origin", F.lit("new")))
 
 
