@@ -130,10 +130,11 @@ def glyph_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {_CTE}, src as (select c_custkey, {_TRIM.format('line')} as s from lines), {_tail_sql('src')}, known as (select distinct t_in as nm from tails) select t_note as note, count(*) as stripped, count(nm) as merged, round(100.0 * count(nm) / count(*), 4) as percent from tails left join known on nm = t_clean where t_note is not null group by 1")
 def merge_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each note: how many names it was taken off, and how many of the results are names that stand in the table too."""
-    t = _lines(spark, sf_dir).select(persons.trimmed(F.col("line")).alias("s"), persons.tail_note(F.col("line")).alias("t"))
-    known = t.select(F.col("s").alias("nm")).distinct()
-    made = t.where("t.note is not null").select("t.note", "t.clean").join(known, F.col("clean") == F.col("nm"), "left")
-    return made.groupBy("note").agg(F.count("*").alias("stripped"), F.count("nm").alias("merged")).withColumn("percent", F.round(100 * F.col("merged") / F.col("stripped"), 4))
+    lines = _lines(spark, sf_dir).select(persons.trimmed(F.col("line")).alias("s"))
+    t = lines.select(F.inline(F.array(persons.tail_note(F.col("s"))))).where("note is not null").groupBy("note", "clean").agg(F.count("*").alias("n"))
+    made = t.join(lines.select(F.col("s").alias("nm")).distinct(), F.col("clean") == F.col("nm"), "left")
+    made = made.groupBy("note").agg(F.sum("n").alias("stripped"), F.sum(F.when(F.col("nm").isNotNull(), F.col("n")).otherwise(0)).alias("merged"))
+    return made.withColumn("percent", F.round(100 * F.col("merged") / F.col("stripped"), 4))
 
 
 @query(f"""with {_CTE}, src as (select c_custkey, {_TRIM.format('line')} as s from lines), {_tail_sql('src')},
