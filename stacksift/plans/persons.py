@@ -111,7 +111,7 @@ def name_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each line is: nobody, several people, a passage, or a name with or without notes."""
     lines = _lines(spark, sf_dir)
     several = F.when(persons.trimmed(F.col("line")).rlike("[;、]"), 2).otherwise(1)
-    return lines.select("c_custkey", persons.name_kind(F.col("line"), several).alias("k")).select("c_custkey", "k.kind", "k.clean", "k.role", "k.hold")
+    return lines.select("c_custkey", F.inline(F.array(persons.name_kind(F.col("line"), several))))
 
 
 _USUAL = f"translate(nm, '{''.join(persons.VARIANTS.values())}', '{''.join(persons.VARIANTS)}')"
