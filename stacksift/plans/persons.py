@@ -51,7 +51,7 @@ tails as (select c_custkey, s as t_in, t_hold, case when t_hold is null and note
 @query(f"with {_CTE}, src as (select c_custkey, {_TRIM.format('line')} as s from lines), {_tail_sql('src')} select c_custkey, t_clean as clean, t_role as role, t_note as note, t_hold as hold from tails")
 def name_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The note at the end of a name taken off, or the reason why it stays."""
-    return _lines(spark, sf_dir).select("c_custkey", persons.tail_note(F.col("line")).alias("t")).select("c_custkey", "t.clean", "t.role", "t.note", "t.hold")
+    return _lines(spark, sf_dir).select("c_custkey", F.inline(F.array(persons.tail_note(F.col("line"))))).select("c_custkey", "clean", "role", "note", "hold")
 
 
 _OPEN, _CLOSE = "(（[［【", ")）]］】"
