@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from datetime import timedelta
+from datetime import datetime, time, timedelta, timezone
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,49 +42,61 @@ class _Skips(StatefulProcessor):
         self.failures = handle.getMapState("failures", "day date", "times int")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
-        attempts = pd.concat(list(rows)).sort_values(["at", "attempt"], kind="stable")
-        first, last, times = self.entry.get() if self.entry.exists() else (None, None, 0)
-        out, failed = [], {}
-        for attempt, at, outcome in zip(attempts["attempt"].tolist(), attempts["at"], attempts["outcome"], strict=True):
-            if last is not None and at.to_pydatetime().replace(tzinfo=None) < pd.Timestamp(last) + self.wait:
+        # each call on state or timers is a message to the store, so a key pays only for those that change something
+        frames = list(rows)
+        attempts = frames[0] if len(frames) == 1 else pd.concat(frames)
+        attempts = attempts.iloc[np.lexsort((attempts["attempt"].to_numpy(), attempts["at"].to_numpy()))]
+        entry = self.entry.get()
+        first, last, times = entry or (None, None, 0)
+        until = self._end(last)
+        out, failed, kept = [], {}, entry is not None
+        for attempt, at, outcome in zip(attempts["attempt"].tolist(), attempts["at"].tolist(), attempts["outcome"].tolist(), strict=True):
+            if last is not None and at.replace(tzinfo=None) < until:
                 decision = "skipped"
             elif outcome == "bad":
                 decision, last = "failed", at.date()
-                first, times = first or last, times + 1
+                first, times, until = first or last, times + 1, self._end(last)
                 failed[last] = failed.get(last, 0) + 1
             elif outcome == "ok":
                 decision, first, last, times = "ok", None, None, 0
-                failed = {}
-                self.failures.clear()
+                failed, kept = {}, False
             else:
                 decision = "error"  # the fetch failed, which says nothing about the page
             out.append((attempt, decision, times, first, last))
-        if last is None:
-            self.entry.clear()
-        else:
-            self.entry.update((first, last, times))
+        if entry and not kept:
+            self.failures.clear()
+        if last is not None:
+            if (first, last, times) != entry:
+                self.entry.update((first, last, times))
             for day, n in failed.items():
-                known = self.failures.getValue((day,))[0] if self.failures.containsKey((day,)) else 0
+                known = self.failures.getValue((day,))[0] if kept and self.failures.containsKey((day,)) else 0
                 self.failures.updateValue((day,), (known + n,))
-        self._wake(last)
+        elif entry:
+            self.entry.clear()
+        self._wake(last, entry and entry[1])
         yield self._rows(key, out)
 
-    def _wake(self, last) -> None:
-        """One timer, at the day from which the key may be tried again."""
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
+    def _end(self, last) -> datetime | None:
+        return None if last is None else datetime.combine(last, time.min) + self.wait
+
+    def _wake(self, last, before) -> None:
+        """One timer, at the day from which the key may be tried again; keys without an entry have none."""
+        if before is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
         if last is not None:
-            self.handle.registerTimer(int((pd.Timestamp(last, tz="UTC") + self.wait).timestamp() * 1000))
+            self.handle.registerTimer(int(self._end(last).replace(tzinfo=timezone.utc).timestamp() * 1000))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.entry.exists():
-            first, last, times = self.entry.get()
+        entry = self.entry.get()
+        if entry:
+            first, last, times = entry
             yield self._rows(key, [(None, "due", times, first, last)])
 
     def _rows(self, key, rows: list) -> pd.DataFrame:
-        made = pd.DataFrame(rows, columns=["attempt", "decision", "times", "first_failed", "last_failed"])
-        made.insert(0, self.key, [key[0]] * len(made))
-        return made.astype({"attempt": "Int64", "times": "int32"})
+        attempt, decision, times, first, last = zip(*rows, strict=True)
+        made = {self.key: [key[0]] * len(rows), "attempt": pd.array(attempt, dtype="Int64"), "decision": decision, "times": np.array(times, np.int32), "first_failed": first, "last_failed": last}
+        return pd.DataFrame(made)
 
     def close(self) -> None:
         pass

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import datetime
 import os
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from stacksift.operators import imports
 from stacksift.plans import registry
+from stacksift.streaming import skips
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -36,3 +39,51 @@ def test_lines_of_a_small_file_are_dealt_to_all_tasks(spark, name):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "Exchange RoundRobinPartitioning" in plan
     assert made._jdf.queryExecution().optimizedPlan().toString().count("EndsWith") <= 4
+
+
+class _Store:
+    """State and timers of one key, with the messages that a processor sends to them."""
+
+    def __init__(self):
+        self.value, self.days, self.timers, self.sent = None, {}, [], []
+
+    def __getattr__(self, name):
+        def send(*args):
+            self.sent.append(name)
+            return getattr(self, f"_{name}")(*args)
+
+        return send
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    getMapState = getValueState  # noqa: N815
+    _exists = lambda self: self.value is not None
+    _get = lambda self: self.value
+    _update = lambda self, value: setattr(self, "value", value)
+    _containsKey = lambda self, day: day in self.days  # noqa: E731, N815
+    _getValue = lambda self, day: self.days[day]  # noqa: E731, N815
+    _updateValue = lambda self, day, n: self.days.update({day: n})  # noqa: E731, N815
+    _listTimers = lambda self: iter(self.timers)  # noqa: E731, N815
+    _deleteTimer = lambda self, t: self.timers.remove(t)  # noqa: E731, N815
+    _registerTimer = lambda self, t: self.timers.append(t)  # noqa: E731, N815
+
+    def _clear(self):
+        self.value = None
+        self.days.clear()
+
+
+def test_a_new_key_sends_few_messages_to_the_state_store():
+    day = lambda d: pd.Timestamp(f"2024-01-{d:02d} 10:00:00")
+    batch = lambda *rows: iter([pd.DataFrame(rows, columns=["attempt", "at", "outcome"])])
+    store = _Store()
+    made = skips._Skips("user_id", 7)
+    made.init(store)
+    (out,) = made.handleInputRows((5,), batch((3, day(9), "bad"), (1, day(1), "ok"), (2, day(1), "ok")), None)
+    assert out[["attempt", "decision", "times"]].values.tolist() == [[1, "ok", 0], [2, "ok", 0], [3, "failed", 1]]
+    assert store.sent == ["get", "update", "updateValue", "registerTimer"]
+    failed = datetime.date(2024, 1, 9)
+    assert store.value == (failed, failed, 1) and store.days == {(failed,): (1,)} and len(store.timers) == 1
+    (out,) = made.handleInputRows((5,), batch((4, day(10), "ok"), (5, day(20), "bad"), (6, day(28), "error"), (7, day(29), "ok")), None)
+    assert out["decision"].tolist() == ["skipped", "failed", "error", "ok"] and out["attempt"].tolist() == [4, 5, 6, 7]
+    assert store.value is None and store.days == {} and store.timers == []
