@@ -1,9 +1,10 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. One pass over all documents counts in how many passages (48 words) each hashed word occurs, and keeps
-   a bounded sample of passages, those of least hash (SAMPLE, a parameter).
-2. A randomised SVD of the TF-IDF matrix of the sample and the benchmark's passages gives the latent
-   space: products with the matrix are made by tasks over its rows, the driver orthonormalises.
+1. One pass over all documents counts in how many passages (48 words) each hashed word occurs, and writes
+   the word counts of every passage to the shared folder.
+2. A randomised SVD of the TF-IDF matrix of all of these and the benchmark's passages gives the latent
+   space: products with the matrix are made by tasks over its rows and summed by Spark, block by block of
+   words; the driver orthonormalises.
 3. A second pass embeds windows of every document (12, 24 and 48 words, half overlapping; sums of word
    vectors) and compares them by cosine with every benchmark passage of about that length: a word vector
    table of fixed size and the benchmark (in blocks of at most BLOCK passages) are what a task holds.
@@ -31,6 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +41,10 @@ from .common import SLICE_ROWS, cut, slices, small_batches, text_or_empty
 
 BUCKETS = 1 << 16
 RANK = 48
-SAMPLE, SAMPLE_A_TASK = 8_192, 512
+#: Passages in a row of the matrix's table, which are multiplied at once (a slice of all, none is left out), and those of one task.
+SAMPLE, TASK_PASSAGES = 64, 131_072
+#: Words whose rows of a product are summed together.
+WORD_BLOCK = 128
 STEP, SHORT, LONG = 12, 24, 48
 MIN_WORDS = 6
 RUN, SHORT_RUN = 4, 3
@@ -98,91 +103,141 @@ def _blocks(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return at[row] + size * (np.arange(len(row)) - first[row]), row
 
 
-def count_passages(docs: DataFrame) -> tuple[np.ndarray, int, list[bytes]]:
-    """Passages by hashed word, number of passages, and the sample (buckets of each passage's words)."""
+def _packed(bucket: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each passage in ascending order, how often each occurs there, and how many each passage has."""
+    order = np.argsort(bucket.astype(np.uint16), kind="stable")
+    order = order[np.argsort(passage[order], kind="stable")]
+    x, y = bucket[order], passage[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    first = np.flatnonzero(new)
+    return x[first].astype(np.uint16), np.diff(np.append(first, len(x))).astype(np.uint8), np.bincount(y[first])
+
+
+def _rows(words: np.ndarray, times: np.ndarray, sizes: np.ndarray, every: int) -> list[tuple[bytes, bytes, bytes]]:
+    """The packed passages in rows of ``every``."""
+    ends = np.append(0, np.cumsum(sizes))
+    out = []
+    for lo in range(0, len(sizes), every):
+        hi = min(lo + every, len(sizes))
+        out.append((words[ends[lo] : ends[hi]].tobytes(), times[ends[lo] : ends[hi]].tobytes(), sizes[lo:hi].astype(np.uint8).tobytes()))
+    return out
+
+
+#: Words, how often each occurs and words by passage, packed.
+PASSAGE = "passage binary, times binary, sizes binary"
+
+
+def count_passages(docs: DataFrame) -> tuple[np.ndarray, int, DataFrame]:
+    """Passages by hashed word, number of passages, and the word counts of all passages, SAMPLE in a row."""
+
+    def made_of(words, counts, packed) -> pa.RecordBatch:
+        kinds = {"word": pa.int32(), "n": pa.int64(), "passage": pa.binary(), "times": pa.binary(), "sizes": pa.binary()}
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array(counts, pa.int64()), *(pa.array(c, pa.binary()) for c in packed)], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BUCKETS, np.int64), 0
-        keys, kept = np.zeros(0, _U), []
         for b in slices(batches):
             for _, hashes, at in folded_words(b.column(0)):
                 if not len(hashes):
                     continue
-                bucket = _bucket(hashes)
                 starts, _ = _blocks(at, LONG)
                 passage = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(hashes))))
-                order = np.argsort(bucket.astype(np.uint16), kind="stable")
-                x, y = bucket[order], passage[order]
-                new = np.ones(len(x), bool)
-                new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-                df += np.bincount(x[new], minlength=BUCKETS)
+                packed = _packed(_bucket(hashes), passage)
+                df += np.bincount(packed[0], minlength=BUCKETS)
                 n += len(starts)
-                key = S.mix(np.add.reduceat(hashes, starts))
-                least = np.argsort(key)[:SAMPLE_A_TASK]
-                ends = np.append(starts, len(hashes))
-                keys = np.concatenate([keys, key[least]])
-                kept += [bucket[ends[i] : ends[i + 1]].astype(np.uint16).tobytes() for i in least]
-                if len(keys) > 4 * SAMPLE_A_TASK:
-                    best = np.argsort(keys)[:SAMPLE_A_TASK]
-                    keys, kept = keys[best], [kept[i] for i in best]
-        best = np.argsort(keys)[:SAMPLE_A_TASK]
+                rows = _rows(*packed, SAMPLE)
+                yield made_of([-2] * len(rows), [None] * len(rows), zip(*rows, strict=True))
         some = np.flatnonzero(df)
-        rows = 1 + len(some) + len(best)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([[-1], some, np.full(len(best), -2)]).astype(np.int32)),
-                pa.array(np.concatenate([[n], df[some], keys[best].view(np.int64)]).astype(np.int64)),
-                pa.array([None] * (rows - len(best)) + [kept[i] for i in best], pa.binary()),
-            ],
-            ["word", "n", "passage"],
-        )
-
-    made = cut(docs.select(text_or_empty().alias("text")).mapInArrow(run, "word int, n long, passage binary"))
+        rows = 1 + len(some)
+        yield made_of(np.append(-1, some).astype(np.int32), np.append(n, df[some]), [[None] * rows] * 3)
+
+    made = cut(docs.select(text_or_empty().alias("text")).mapInArrow(run, f"word int, n long, {PASSAGE}"))
     df, total = np.zeros(BUCKETS), 0
     for r in made.where("word >= -1").groupBy("word").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS + 1 rows
         if r["word"] < 0:
             total = r["n"]
         else:
             df[r["word"]] = r["n"]
-    sample = made.where("word = -2").select("n", "passage").distinct().orderBy("n", "passage").limit(SAMPLE).collect()
-    return df, total, [bytes(r["passage"]) for r in sample]
+    return df, total, made.where("word = -2").select("passage", "times", "sizes")
+
 
+def _product(words: np.ndarray, times: np.ndarray, sizes: np.ndarray, q: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
+    """Adds A'Aq to ``out``, A being the normed TF-IDF rows of some packed passages."""
+    at = np.cumsum(sizes) - sizes
+    value = times * weight[words]
+    value /= np.repeat(np.maximum(np.sqrt(np.add.reduceat(value * value, at)), 1e-9), sizes)
+    word, place = np.unique(words, return_inverse=True)
+    rows = np.zeros((len(sizes), len(word)), np.float32)
+    rows[np.repeat(np.arange(len(sizes)), sizes), place] = value
+    out[word] += rows.T @ (rows @ q[word])
 
-def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int = RANK, extra: int = 8, rounds: int = 2, parts: int = 4, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
-    """Right singular vectors and singular values of the TF-IDF matrix with a row for each passage.
 
-    Rows of the matrix live in tasks, one task for each SAMPLE rows or ``parts``. A round multiplies A'A with the current basis: each task sends the
-    sum over its rows, a BUCKETS x (rank + extra) matrix, so what meets at the driver is bounded.
+def _gram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a'b in double precision, by slices."""
+    out = np.zeros((a.shape[1], b.shape[1]))
+    for lo in range(0, len(a), 4_096):
+        out += a[lo : lo + 4_096].T.astype(np.float64) @ b[lo : lo + 4_096].astype(np.float64)
+    return out
+
+
+def _turned(a: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """``a`` times ``turn``, by slices, so no copy in double precision stands beside it."""
+    out = np.empty((len(a), turn.shape[1]), np.float32)
+    for lo in range(0, len(a), 4_096):
+        out[lo : lo + 4_096] = a[lo : lo + 4_096].astype(np.float64) @ turn
+    return out
+
+
+def _orthonormal(z: np.ndarray) -> np.ndarray:
+    """Orthonormal columns that span those of ``z``; directions that it lacks become zero."""
+    for _ in range(2):  # the second time mends what rounding left
+        size, turn = np.linalg.eigh(_gram(z, z))
+        there = size > 1e-13 * max(float(size[-1]), 1e-300)
+        z = _turned(z, turn * np.where(there, 1.0 / np.sqrt(np.where(there, size, 1.0)), 0.0))
+    return z
+
+
+def randomised_svd(passages: DataFrame, idf: np.ndarray, tasks: int, rank: int = RANK, extra: int = 8, rounds: int = 2, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Right singular vectors and singular values of the TF-IDF matrix with a row for each packed passage.
+
+    A round multiplies A'A with the current basis. Each of at most ``tasks`` tasks sums over its rows, and blocks of
+    WORD_BLOCK words are summed over the tasks; what meets at the driver is one BUCKETS x (rank + extra) matrix.
     """
     spark, size = passages.sparkSession, rank + extra
-    rows = cut(passages.repartition(max(parts, -(-passages.count() // SAMPLE))))
-    basis = np.random.default_rng(seed).standard_normal((BUCKETS, size)).astype(np.float32)
-    for _ in range(rounds):
+    rows = passages.coalesce(tasks)
+    basis = np.random.default_rng(seed).standard_normal((BUCKETS, size), dtype=np.float32)
+    for turn_no in range(rounds):
         shared = spark.sparkContext.broadcast((basis, idf.astype(np.float32)))
 
         def multiply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q, weight = shared.value
             out = np.zeros((BUCKETS, size), np.float32)
             for b in batches:
-                for p in b.column(0).to_pylist():
-                    w, tf = np.unique(np.frombuffer(p, np.uint16), return_counts=True)
-                    value = tf * weight[w]
-                    value /= max(1e-9, float(np.sqrt((value * value).sum())))
-                    out[w] += value[:, None] * (value @ q[w])
-            some = np.flatnonzero(out.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array([some.astype(np.int32).tobytes()], pa.binary()), pa.array([out[some].tobytes()], pa.binary())], ["at", "part"])
-
-        z = np.zeros((BUCKETS, size), np.float32)
-        for r in rows.mapInArrow(multiply, "at binary, part binary").toLocalIterator():
-            z[np.frombuffer(r["at"], np.int32)] += np.frombuffer(r["part"], np.float32).reshape(-1, size)
-        small = basis.T @ z
-        last = basis
-        basis = np.linalg.qr(z)[0].astype(np.float32)
-        shared.unpersist()
+                for words, times, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    _product(np.frombuffer(words, np.uint16), np.frombuffer(times, np.uint8).astype(np.float32), np.frombuffer(sizes, np.uint8).astype(np.int64), q, weight, out)
+            blocks = out.reshape(-1, WORD_BLOCK * size)
+            some = np.flatnonzero(blocks.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([int(TaskContext.get().partitionId())] * len(some), pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "task", "part"])
+
+        def total(group: pa.Table) -> pa.Table:
+            group = group.sort_by("task")  # sums of floats depend on their order
+            out = np.zeros(WORD_BLOCK * size)
+            for part in group.column("part"):
+                out += np.frombuffer(part.as_buffer(), np.float32)
+            return pa.table({"block": group.column("block").slice(0, 1), "part": pa.array([out.astype(np.float32).tobytes()], pa.binary())})
+
+        z = np.zeros((BUCKETS // WORD_BLOCK, WORD_BLOCK * size), np.float32)
+        for r in rows.mapInArrow(multiply, "block int, task int, part binary").groupBy("block").applyInArrow(total, "block int, part binary").toLocalIterator():
+            z[r["block"]] = np.frombuffer(r["part"], np.float32)
+        z = z.reshape(BUCKETS, size)
+        shared.destroy()
+        small, last = _gram(basis, z), basis
+        basis = _orthonormal(z) if turn_no < rounds - 1 else None
     # Rayleigh-Ritz on the basis that the last product was made with
-    values, turn = np.linalg.eigh((small + small.T).astype(np.float64) / 2)
+    values, turn = np.linalg.eigh((small + small.T) / 2)
     best = np.argsort(values)[::-1][:rank]
-    return (last @ turn[:, best]).astype(np.float32), np.sqrt(np.maximum(values[best], 1e-12))
+    return _turned(last, turn[:, best]), np.sqrt(np.maximum(values[best], 1e-12))
 
 
 def _rare(key: np.ndarray, piece: np.ndarray) -> np.ndarray:
@@ -263,10 +318,25 @@ class Index:
             out += [sorted((i, *v) for i, v in f.items()) for f in found]
         return out
 
+    def _sums(self, hashes: np.ndarray, at: np.ndarray, step: int, half: tuple | None) -> np.ndarray:
+        """Sum of the word vectors of each block; from those of blocks of half the size, if they are there."""
+        starts, row = _blocks(at, step)
+        if half is None:
+            return np.add.reduceat(self.words[_bucket(hashes)], starts, axis=0)
+        finer, _, sums = half
+        place = np.searchsorted(finer, starts)
+        out = sums[place].copy()
+        two = np.append(place[1:], len(finer)) - place > 1
+        out[two] += sums[place[two] + 1]
+        return out
+
     def _windows(self, hashes: np.ndarray, at: np.ndarray, found: list[dict]) -> None:
+        made: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for step, blocks, every, which, q in self.gates:
-            starts, row = _blocks(at, step)
-            sums = np.add.reduceat(self.words[_bucket(hashes)], starts, axis=0)
+            if step not in made:
+                half = made.get(step // 2)
+                made[step] = (*_blocks(at, step), self._sums(hashes, at, step, half))
+            starts, row, sums = made[step]
             last = np.searchsorted(row, np.arange(len(at) - 1), side="right")[row] - 1  # each row's last block
             first = np.arange(len(starts))
             if every > 1:
@@ -334,7 +404,7 @@ class Index:
 
 
 def benchmark_pieces(benchmark: DataFrame) -> DataFrame:
-    """item_id, text, place, word hashes and buckets of every piece of at most LONG words."""
+    """item_id, text, place, word hashes and packed word counts of every piece of at most LONG words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -343,27 +413,26 @@ def benchmark_pieces(benchmark: DataFrame) -> DataFrame:
                 for i in range(len(at) - 1):
                     n = int(at[i + 1] - at[i])
                     if n:
-                        rows += [(ids[row + i], texts[row + i], k, p.tobytes(), _bucket(p).astype(np.uint16).tobytes()) for k, p in enumerate(np.array_split(hashes[at[i] : at[i + 1]], -(-n // LONG)))]
-            kinds = {"item_id": pa.int64(), "text": pa.string(), "place": pa.int32(), "words": pa.binary(), "passage": pa.binary()}
+                        rows += [(ids[row + i], texts[row + i], k, p.tobytes(), *_rows(*_packed(_bucket(p), np.zeros(len(p), np.int64)), 1)[0]) for k, p in enumerate(np.array_split(hashes[at[i] : at[i + 1]], -(-n // LONG)))]
+            kinds = {"item_id": pa.int64(), "text": pa.string(), "place": pa.int32(), "words": pa.binary(), "passage": pa.binary(), "times": pa.binary(), "sizes": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], list(kinds))
 
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NO_ID)).alias("item_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(run, "item_id long, text string, place int, words binary, passage binary")
+    return rows.mapInArrow(run, f"item_id long, text string, place int, words binary, {PASSAGE}")
 
 
 def build(docs: DataFrame, benchmark: DataFrame) -> Iterator[Index]:
     """Search structures for blocks of the benchmark's passages, fitted on the corpus's counts."""
     spark = docs.sparkSession
     small_batches(spark)
-    df, n, sample = count_passages(docs)
+    df, n, passages = count_passages(docs)
     idf = np.log((1.0 + n) / (1.0 + df)).astype(np.float32) + 1e-3
     made = cut(benchmark_pieces(benchmark))
     if not n or not made.limit(1).count():
         return
-    fitted = made.select("passage").unionAll(spark.createDataFrame([(p,) for p in sample], "passage binary"))
-    vectors, values = randomised_svd(fitted, idf)
-    weight = np.where(values > LEAST_VALUE * values.max(), 1.0 / np.maximum(values, 1e-12), 0.0)
-    words = (vectors * idf[:, None] * weight[None, :]).astype(np.float32)
+    words, values = randomised_svd(passages.unionAll(made.select("passage", "times", "sizes")), idf, max(spark.sparkContext.defaultParallelism, -(-n // TASK_PASSAGES)))
+    words *= np.where(values > LEAST_VALUE * values.max(), 1.0 / np.maximum(values, 1e-12), 0.0).astype(np.float32)
+    words *= idf[:, None]
     pieces = ((r["item_id"], np.frombuffer(r["words"], _U)) for r in made.orderBy("item_id", "text", "place").select("item_id", "words").toLocalIterator())
     while some := list(islice(pieces, BLOCK)):
         yield Index(words, idf, some)

@@ -1,5 +1,9 @@
 """Cases that once went wrong: many hot ids, long common beginnings, sizes of buckets, items without an id, names of columns."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from stacksift.llm import decontaminate, fingerprints, hilbert, near_dup, pii, toxicity
@@ -75,3 +79,22 @@ def test_columns_of_any_name(spark):
     assert toxicity.drop_toxic(df, none).columns == df.columns
     twice = spark.createDataFrame([(1, "same text here", "b"), (1, "same text here", "a")], "doc_id long, text string, note string")
     assert [r["note"] for r in near_dup.keep_one(twice).collect()] == ["a"]
+
+
+def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
+    """However few passages are multiplied at once, the singular values are those of the whole matrix."""
+    monkeypatch.setattr(decontaminate, "SAMPLE", 4)
+    draw = random.Random(5)
+    texts = [" ".join(f"w{min(draw.randrange(60), draw.randrange(60))}" for _ in range(150)) for _ in range(40)]
+    df, n, passages = decontaminate.count_passages(spark.createDataFrame([(t,) for t in texts], "text string"))
+    words = [w for ((_, h, _),) in (decontaminate.folded_words(pa.array([t])) for t in texts) for w in np.array_split(decontaminate._bucket(h), range(decontaminate.LONG, len(h), decontaminate.LONG))]
+    assert n == len(words) == 160
+    whole = np.array([np.bincount(w, minlength=decontaminate.BUCKETS) for w in words], np.float64)
+    assert (df == (whole > 0).sum(axis=0)).all()
+    idf = np.log((1.0 + n) / (1.0 + df)) + 1e-3
+    whole = whole[:, df > 0] * idf[df > 0]
+    whole /= np.linalg.norm(whole, axis=1, keepdims=True)
+    vectors, values = decontaminate.randomised_svd(passages, idf, 3, rounds=4)
+    want = np.linalg.svd(whole, compute_uv=False)
+    assert np.allclose(values[:20], want[:20], rtol=0.02)
+    assert np.allclose(vectors.T @ vectors, np.eye(vectors.shape[1]), atol=1e-4)
