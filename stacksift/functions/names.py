@@ -123,7 +123,8 @@ class _Credits:
             yield place, piece, len(segments(piece)[0]), has_reference(piece), shared or None
 
 
-credit_pieces = F.udtf(_Credits, returnType="piece_no int, piece string, n_people int, fragment boolean, shared array<string>", useArrow=True)
+# rows go to it in batches; with Arrow each line would be a call of its own, with a frame made of its pieces
+credit_pieces = F.udtf(_Credits, returnType="piece_no int, piece string, n_people int, fragment boolean, shared array<string>", useArrow=False)
 
 
 def people(df: DataFrame, key: str, credit: str) -> DataFrame:
