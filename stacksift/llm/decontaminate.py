@@ -14,6 +14,7 @@
 4. Each candidate is checked exactly: the longest common subsequence of words of the passage and the
    window's surroundings must cover LCS_SHARE of the passage, and the passage's rarest words, its answer,
    must be among them by ANSWER_SHARE. So passages with words changed, dropped or put in are found too.
+   The answers of all candidates of a slice by cosine are looked up at once, before the subsequence.
 
 Words are runs of letters and digits in lower case; in scripts without blanks each character is a word. Benchmark items of over 48 words are searched by
 pieces of at most 48 words; a document leaks an item if it has one of its pieces.
@@ -52,6 +53,8 @@ COSINE = 0.5
 LCS_SHARE, ANSWER_SHARE = 0.65, 0.6
 #: Pieces that one pass over the documents looks for; an index of so many has about 50 MB and is what is broadcast.
 BLOCK = 32_768
+#: Cosines that are worked out at once, of some windows with all pieces.
+COSINES = 1 << 20
 #: Pieces that a worker keeps ready for the exact check.
 READY = 4_096
 #: Directions of a singular value below this share of the largest are left out.
@@ -90,6 +93,24 @@ def folded_words(column) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield row, hashes, at
 
 
+def _take(a: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``a[at]`` along the first axis, which is much slower for rows of a wide table; places beyond the end take the last."""
+    return a.take(at, axis=0, mode="clip")
+
+
+def _slots(keys: np.ndarray) -> np.ndarray:
+    """A bit for each of 1 << SLOTS slots: whether a key begins so."""
+    seen = np.zeros(1 << SLOTS, bool)
+    seen[keys >> _U(64 - SLOTS)] = True
+    return np.packbits(seen, bitorder="little")
+
+
+def _seen(slots: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes that may be among the keys of the slots."""
+    slot = (hashes >> _U(64 - SLOTS)).astype(np.int64)
+    return np.flatnonzero(_take(slots, slot >> 3) >> (slot & 7).astype(np.uint8) & 1)
+
+
 def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> _U(48)).astype(np.int64)
 
@@ -105,13 +126,11 @@ def _blocks(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _packed(bucket: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words of each passage in ascending order, how often each occurs there, and how many each passage has."""
-    order = np.argsort(bucket.astype(np.uint16), kind="stable")
-    order = order[np.argsort(passage[order], kind="stable")]
-    x, y = bucket[order], passage[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    key = np.sort(passage << 16 | bucket)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
     first = np.flatnonzero(new)
-    return x[first].astype(np.uint16), np.diff(np.append(first, len(x))).astype(np.uint8), np.bincount(y[first])
+    return key[first].astype(np.uint16), np.diff(np.append(first, len(key))).astype(np.uint8), np.bincount(key[first] >> 16)
 
 
 def _rows(words: np.ndarray, times: np.ndarray, sizes: np.ndarray, every: int) -> list[tuple[bytes, bytes, bytes]]:
@@ -162,15 +181,19 @@ def count_passages(docs: DataFrame) -> tuple[np.ndarray, int, DataFrame]:
     return df, total, made.where("word = -2").select("passage", "times", "sizes")
 
 
-def _product(words: np.ndarray, times: np.ndarray, sizes: np.ndarray, q: np.ndarray, weight: np.ndarray, out: np.ndarray) -> None:
-    """Adds A'Aq to ``out``, A being the normed TF-IDF rows of some packed passages."""
+def _product(words: np.ndarray, times: np.ndarray, sizes: np.ndarray, q: np.ndarray, weight: np.ndarray, out: np.ndarray, column: np.ndarray) -> None:
+    """Adds A'Aq to ``out``, A being the normed TF-IDF rows of some packed passages; ``column`` has room for a number for each bucket."""
     at = np.cumsum(sizes) - sizes
-    value = times * weight[words]
+    value = times * _take(weight, words)
     value /= np.repeat(np.maximum(np.sqrt(np.add.reduceat(value * value, at)), 1e-9), sizes)
-    word, place = np.unique(words, return_inverse=True)
+    word = np.sort(words)
+    word = word[np.append(True, word[1:] != word[:-1])]
+    column[word] = np.arange(len(word))
     rows = np.zeros((len(sizes), len(word)), np.float32)
-    rows[np.repeat(np.arange(len(sizes)), sizes), place] = value
-    out[word] += rows.T @ (rows @ q[word])
+    rows.reshape(-1)[np.repeat(np.arange(len(sizes)) * len(word), sizes) + _take(column, words)] = value
+    part = rows.T @ (rows @ _take(q, word))
+    part += _take(out, word)
+    out[word] = part
 
 
 def _gram(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -212,10 +235,10 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, tasks: int, rank: int =
 
         def multiply(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             q, weight = shared.value
-            out = np.zeros((BUCKETS, size), np.float32)
+            out, column = np.zeros((BUCKETS, size), np.float32), np.zeros(BUCKETS, np.int64)
             for b in batches:
                 for words, times, sizes in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    _product(np.frombuffer(words, np.uint16), np.frombuffer(times, np.uint8).astype(np.float32), np.frombuffer(sizes, np.uint8).astype(np.int64), q, weight, out)
+                    _product(np.frombuffer(words, np.uint16), np.frombuffer(times, np.uint8).astype(np.float32), np.frombuffer(sizes, np.uint8).astype(np.int64), q, weight, out, column)
             blocks = out.reshape(-1, WORD_BLOCK * size)
             some = np.flatnonzero(blocks.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([int(TaskContext.get().partitionId())] * len(some), pa.int32()), pa.array([blocks[i].tobytes() for i in some], pa.binary())], ["block", "task", "part"])
@@ -260,6 +283,13 @@ class Index:
         length = np.array([len(h) for _, h in pieces])
         self.at = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
         self._ready: dict[int, tuple[dict[int, int], frozenset]] = {}
+        answers = [self._answer(h) for _, h in pieces]
+        self.need = np.array([ANSWER_SHARE * len(a) for a in answers])
+        # the words of all answers, and for each piece the places of its own there
+        self.rare, of = np.unique(np.concatenate([np.zeros(0, _U), *answers]), return_inverse=True)
+        self.answer_at = np.concatenate([[0], np.cumsum([len(a) for a in answers])]).astype(np.int64)
+        self.answer = of.astype(np.int32)
+        self.rare_slots = _slots(self.rare)
         q = np.add.reduceat(words[_bucket(self.hashes)], self.at[:-1], axis=0)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
         self.q = q
@@ -285,16 +315,19 @@ class Index:
                 keep = _rare(key, piece)
                 key, piece, place = key[keep], piece[keep], place[keep]
             order = np.argsort(key, kind="stable")
-            seen = np.zeros(1 << SLOTS, bool)
-            seen[key >> _U(64 - SLOTS)] = True
-            self.runs.append((n, whole, key[order], piece[order], place[order], np.packbits(seen, bitorder="little")))
+            self.runs.append((n, whole, key[order], piece[order], place[order], _slots(key)))
 
     def piece(self, i: int) -> np.ndarray:
         """Word hashes of a piece."""
         return self.hashes[self.at[i] : self.at[i + 1]]
 
+    def _answer(self, h: np.ndarray) -> np.ndarray:
+        """The words of a piece's answer: the rarest quarter, two at least."""
+        rare = np.unique(h)
+        return rare[np.argsort(-self.idf[_bucket(rare)], kind="stable")][: max(2, len(rare) // 4)]
+
     def ready(self, i: int) -> tuple[dict[int, int], frozenset]:
-        """Places of each word of a piece, as bits, and the words of its answer: the rarest quarter, two at least."""
+        """Places of each word of a piece, as bits, and the words of its answer."""
         if i not in self._ready:
             if len(self._ready) >= READY:
                 self._ready.clear()
@@ -302,9 +335,7 @@ class Index:
             places: dict[int, int] = {}
             for k, w in enumerate(h.tolist()):
                 places[w] = places.get(w, 0) | 1 << k
-            rare = np.unique(h)
-            rare = rare[np.argsort(-self.idf[_bucket(rare)], kind="stable")][: max(2, len(rare) // 4)]
-            self._ready[i] = (places, frozenset(rare.tolist()))
+            self._ready[i] = (places, frozenset(self.rare[self.answer[self.answer_at[i] : self.answer_at[i + 1]]].tolist()))
         return self._ready[i]
 
     def search(self, column) -> list[list[tuple[int, float, float]]]:
@@ -322,42 +353,80 @@ class Index:
         """Sum of the word vectors of each block; from those of blocks of half the size, if they are there."""
         starts, row = _blocks(at, step)
         if half is None:
-            return np.add.reduceat(self.words[_bucket(hashes)], starts, axis=0)
+            bucket = _bucket(hashes)
+            out = _take(self.words, _take(bucket, starts + 1))
+            for k in (*range(2, step), 0):
+                out += _take(self.words, _take(bucket, starts + k))
+            size = np.diff(np.append(starts, len(hashes)))
+            short = np.flatnonzero(size < step)  # last ones of their rows
+            if len(short):
+                size = size[short]
+                first = np.cumsum(size) - size
+                word = np.arange(size.sum()) + np.repeat(starts[short] - first, size)
+                out[short] = np.add.reduceat(_take(self.words, bucket[word]), first, axis=0)
+            return out
         finer, _, sums = half
         place = np.searchsorted(finer, starts)
-        out = sums[place].copy()
+        out = _take(sums, place)
         two = np.append(place[1:], len(finer)) - place > 1
         out[two] += sums[place[two] + 1]
         return out
 
     def _windows(self, hashes: np.ndarray, at: np.ndarray, found: list[dict]) -> None:
         made: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        rare = self._rare_places(hashes)
         for step, blocks, every, which, q in self.gates:
             if step not in made:
                 half = made.get(step // 2)
-                made[step] = (*_blocks(at, step), self._sums(hashes, at, step, half))
+                starts, row = _blocks(at, step)
+                # a row of zeros behind them stands for blocks beyond a text's end
+                made[step] = (starts, row, np.append(self._sums(hashes, at, step, half), np.zeros((1, self.words.shape[1]), np.float32), axis=0))
             starts, row, sums = made[step]
             last = np.searchsorted(row, np.arange(len(at) - 1), side="right")[row] - 1  # each row's last block
             first = np.arange(len(starts))
             if every > 1:
                 first = first[(first - np.searchsorted(row, row)) % every == 0]
-            w = sums[first].copy()
+            w = _take(sums, first)
             for k in range(1, blocks):
-                here = first + k <= last[first]
-                w[here] += sums[first[here] + k]
+                w += _take(sums, np.where(first + k <= last[first], first + k, len(starts)))
             norm = np.maximum(np.sqrt(np.einsum("ij,ij->i", w, w)), 1e-9)
-            for lo in range(0, len(w), 16_384):
-                cos = w[lo : lo + 16_384] @ q
-                near = cos >= COSINE * norm[lo : lo + 16_384, None]
-                for i, j in np.argwhere(near):
-                    self._check(hashes, at, starts[first[lo + i]], int(row[first[lo + i]]), blocks * step, int(which[j]), float(cos[i, j] / norm[lo + i]), found)
+            some = max(1, COSINES // len(which))
+            for lo in range(0, len(w), some):
+                cos = w[lo : lo + some] @ q
+                i, j = np.divmod(np.flatnonzero(cos >= COSINE * norm[lo : lo + some, None]), cos.shape[1])
+                block = first[lo + i]
+                keep = self._answered(rare, at, starts[block], row[block], blocks * step, which[j])
+                for b, x, y in zip(block[keep].tolist(), i[keep].tolist(), j[keep].tolist(), strict=True):
+                    self._check(hashes, at, int(starts[b]), int(row[b]), blocks * step, int(which[y]), float(cos[x, y] / norm[lo + x]), found)
+
+    def _rare_places(self, hashes: np.ndarray) -> np.ndarray:
+        """Word of an answer (its place among them) and place in the texts, as one number, of each of these words there; ascending."""
+        place = _seen(self.rare_slots, hashes)
+        word = np.minimum(np.searchsorted(self.rare, hashes[place]), len(self.rare) - 1)
+        there = self.rare[word] == hashes[place]
+        return np.sort(word[there] << 40 | place[there])
+
+    def _answered(self, rare: np.ndarray, at: np.ndarray, start: np.ndarray, row: np.ndarray, size: int, piece: np.ndarray) -> np.ndarray:
+        """Candidates with as many words of the piece's answer around the window as ``_check`` asks for."""
+        n = self.at[piece + 1] - self.at[piece]
+        begin, end = np.maximum(at[row], start - n), np.minimum(at[row + 1], start + size + n)
+        kept = []
+        for lo in range(0, len(piece), 16_384):
+            p = piece[lo : lo + 16_384]
+            words = self.answer_at[p + 1] - self.answer_at[p]
+            of = np.repeat(np.arange(len(p)), words)
+            word = self.answer[np.arange(len(of)) + np.repeat(self.answer_at[p] - (np.cumsum(words) - words), words)].astype(np.int64) << 40
+            # the word's first place from the beginning on
+            next_ = np.append(rare, 1 << 62)[np.searchsorted(rare, word | begin[lo + of])]
+            there = np.bincount(of[next_ < (word | end[lo + of])], minlength=len(p))
+            kept.append(lo + np.flatnonzero(there >= self.need[p]))
+        return np.concatenate([np.zeros(0, np.int64), *kept])
 
     def _shared_runs(self, hashes: np.ndarray, at: np.ndarray, found: list[dict]) -> None:
         """Candidates that share a run of words with a passage, laid along the passage."""
         for n, whole, key, piece, place, seen in self.runs:
             run = _runs(hashes, n)
-            slot = (run >> _U(64 - SLOTS)).astype(np.int64)
-            start = np.flatnonzero(seen[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            start = _seen(seen, run)
             lo, hi = np.searchsorted(key, run[start], side="left"), np.searchsorted(key, run[start], side="right")
             start, lo, hi = start[hi > lo], lo[hi > lo], hi[hi > lo]
             row = np.searchsorted(at, start, side="right") - 1

@@ -98,3 +98,36 @@ def test_latent_space_is_fitted_on_every_passage(spark, monkeypatch):
     want = np.linalg.svd(whole, compute_uv=False)
     assert np.allclose(values[:20], want[:20], rtol=0.02)
     assert np.allclose(vectors.T @ vectors, np.eye(vectors.shape[1]), atol=1e-4)
+
+
+def test_windows_without_the_answer_are_not_checked_one_by_one(monkeypatch):
+    """Where all is alike in the latent space, only windows with words of a passage's answer get the exact check, and what that finds everywhere is found."""
+    draw = random.Random(11)
+    some = lambda n: [f"v{draw.randrange(3_000)}" for _ in range(n)]
+    items = [some(n) for n in (6, 9, 14, 19, 30, 30, 31, 40, 48)]
+    texts = [some(draw.randint(0, 200)) for _ in range(40)]
+    for i, item in enumerate(items):
+        changed = [w if draw.random() < 0.85 else "other" for w in item]
+        texts += [some(i) + item, some(25) + changed + some(i), item[: len(item) // 2] + some(3)]
+    texts += [[], items[4] + items[5] + items[4]]
+    column = pa.array([" ".join(t) for t in texts])
+    hashes = [h for ((_, h, _),) in (decontaminate.folded_words(pa.array([" ".join(i)])) for i in items)]
+    vectors = np.ones((decontaminate.BUCKETS, 4), np.float32)
+    idf = np.random.default_rng(3).random(decontaminate.BUCKETS).astype(np.float32)
+    index = decontaminate.Index(vectors, idf, list(enumerate(hashes)))
+    plain, calls = decontaminate.Index._check, []
+    monkeypatch.setattr(decontaminate.Index, "_check", lambda self, *x: (calls.append(x), plain(self, *x))[1])
+    got = [[(i, share) for i, _, share in found] for found in index.search(column)]
+    assert sum(map(len, got)) >= 2 * len(items)
+    assert len(calls) < 1_000  # all pairs of a window and a passage near it are over 4,000
+    ((_, every, at),) = decontaminate.folded_words(column)
+    want = []
+    for r in range(len(texts)):
+        found = [{}]
+        for size, step, which in ((12, 6, (0, 1, 2)), (24, 12, (3, 4, 5)), (48, 24, (6, 7, 8))):
+            for start in range(int(at[r]), int(at[r + 1]), step):
+                for p in which:
+                    plain(index, every, np.array([at[r], at[r + 1]]), start, 0, size, p, 1.0, found)
+        index._shared_runs(every[at[r] : at[r + 1]], np.array([0, at[r + 1] - at[r]]), found)
+        want.append(sorted((i, share) for i, (_, share) in found[0].items()))
+    assert got == want
